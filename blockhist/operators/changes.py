@@ -58,8 +58,11 @@ def judged(records: DataFrame) -> DataFrame:
                .when(is_free | is_write, range_reason)
                .otherwise("unknown keyword"))
     op = F.when((obj == DATA_OBJECT) & is_free, "FREE").when((obj == DATA_OBJECT) & is_write, "WRITE")
-    return (records.withColumns({"reason": reason, "op": op, "off": off, "len": length})
-                   .withColumn("op", F.when(F.col("reason").isNull(), F.col("op"))))
+    op = F.when(reason.isNull(), op)
+    # generated as one row each: a filter on the result is not pushed below, which would
+    # evaluate the parsed fields again for every condition
+    verdict = F.struct(reason.alias("reason"), op.alias("op"), off.alias("off"), length.alias("len"))
+    return records.select("*", F.inline(F.array(verdict)))
 
 
 def classify_changes(records: DataFrame) -> DataFrame:

@@ -66,18 +66,13 @@ def fingerprint_history(history: DataFrame, versions: DataFrame, lanes: int = L.
     return _accumulate(version_deltas(history, versions, lanes, cell_size), versions, lanes)
 
 
-def fingerprint_image(history: DataFrame, versions: DataFrame, lanes: int = L.LANES,
-                      cell_size: int | None = None) -> DataFrame:
-    """The same fingerprints by full reads: each live cell is counted for each version.
+def fingerprint_image(history: DataFrame, at, lanes: int = L.LANES, cell_size: int | None = None) -> DataFrame:
+    """Fingerprint of one version by reading its complete image: the cross-check.
 
-    Cost is cells x versions; use it as a cross-check on a few versions.
+    ``at`` = a version number, or (dataset, at) with one version per dataset.
     """
-    from .history import validity
-    live = validity(history, versions).filter(~is_hole("payload", cell_size))
-    per_version = live.join(versions.select("dataset", F.col("ord").alias("at")), "dataset").filter(
-        "at >= ord and (nxt is null or at < nxt)").select("dataset", F.col("at").alias("ord"), "cell", "payload")
-    acc = lthash(per_version, ["dataset", "ord"], lanes, cell_size)
-    return versions.join(acc, ["dataset", "ord"], "left").withColumn("acc", F.coalesce("acc", L.zero_acc(lanes)))
+    from .history import as_of
+    return lthash(as_of(history, at), ["dataset"], lanes, cell_size)
 
 
 def covered_prefix(existing: DataFrame, versions: DataFrame) -> DataFrame:

@@ -10,20 +10,19 @@ from ..functions.cells import col
 SUMMARY_WORDS = ["SUMMARY:", "SUMMARY", "Total", "Estimated"]
 
 
-def words(line) -> Column:
-    """Whitespace-separated words of a line (no empty ones)."""
-    return F.regexp_extract_all(col(line), F.lit(r"(\S+)"), F.lit(1))
+# a word that is followed by '=' and another word; neighbouring triples may overlap
+_NAME = r"(\S+)(?=\s+=\s+\S)"
+_VALUE = r"\S+(?=\s+=\s+(\S+))"
 
 
 def field_map(line) -> Column:
     """All ``name = value`` triples of a line; a repeated name keeps its last value."""
-    w = words(line)
-    at = F.filter(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.get(w, i) == "=")
-    last = F.filter(at, lambda i: ~F.exists(at, lambda k: (k > i) & (F.get(w, k - 1) == F.get(w, i - 1))))
-    pairs = F.transform(last, lambda i: F.struct(F.get(w, i - 1).alias("key"), F.get(w, i + 1).alias("value")))
-    empty = F.map_from_entries(F.filter(
-        F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value"))), lambda _: F.lit(False)))
-    return F.when(F.size(w) >= 3, F.map_from_entries(pairs)).otherwise(empty)
+    names = F.regexp_extract_all(col(line), F.lit(_NAME), F.lit(1))
+    values = F.regexp_extract_all(col(line), F.lit(_VALUE), F.lit(1))
+    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
+    last = F.filter(pairs, lambda p, i: i == F.size(names) - F.array_position(F.reverse(names), p["key"]).cast("int"))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names),
+                  F.map_from_arrays(names, values)).otherwise(F.map_from_entries(last))
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -31,13 +30,11 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
     Works alike on batch and streaming DataFrames.
     """
-    return (lines.withColumn("_w", words(line))
-                 .filter((F.size("_w") > 0)
-                         & ~F.coalesce(F.get("_w", F.lit(1)) == "=", F.lit(False))
-                         & ~F.get("_w", F.lit(0)).isin(SUMMARY_WORDS))
-                 .withColumn("keyword", F.get("_w", F.lit(0)))
-                 .withColumn("fields", field_map(line))
-                 .drop("_w"))
+    text = F.col(line)
+    return (lines.filter(text.rlike(r"\S") & ~text.rlike(r"^\s*\S+\s+=(\s|$)"))
+                 .withColumn("keyword", F.regexp_extract(text, r"^\s*(\S+)", 1))
+                 .filter(~F.col("keyword").isin(SUMMARY_WORDS))
+                 .withColumn("fields", field_map(line)))
 
 
 def with_line_numbers(raw: DataFrame) -> DataFrame:

@@ -117,13 +117,15 @@ def export_text(fps: DataFrame, complete: bool = True) -> DataFrame:
     per_file = fps.groupBy("dataset").agg(F.max("cell_size").alias("cs"), F.count(F.lit(1)).alias("n"),
                                           F.max("ord").alias("last"))
     state = "" if complete else " (in progress)"
-    heads = [F.struct(F.lit(1).cast("long").alias("line_no"), F.lit(TITLE).alias("line")),
-             F.struct(F.lit(2).cast("long"), F.concat(F.lit("# dataset "), "dataset", F.lit(state))),
-             F.struct(F.lit(3).cast("long"), F.concat(F.lit("# cellsize "), F.col("cs").cast("string"))),
-             F.struct(F.lit(4).cast("long"), F.lit(COLUMNS))]
+
+    def row(no, text):
+        return F.struct(no.cast("long").alias("line_no"), text.alias("line"))
+    heads = [row(F.lit(1), F.lit(TITLE)),
+             row(F.lit(2), F.concat(F.lit("# dataset "), "dataset", F.lit(state))),
+             row(F.lit(3), F.concat(F.lit("# cellsize "), F.col("cs").cast("string"))),
+             row(F.lit(4), F.lit(COLUMNS))]
     if complete:
-        heads.append(F.struct(F.col("last").cast("long") + 5,
-                              F.concat(F.lit("# dataset "), "dataset", F.lit(" complete ("),
-                                       F.col("n").cast("string"), F.lit(" snapshots)"))))
+        heads.append(row(F.col("last") + 5, F.concat(F.lit("# dataset "), "dataset", F.lit(" complete ("),
+                                                     F.col("n").cast("string"), F.lit(" snapshots)"))))
     head = per_file.select("dataset", F.inline(F.array(*heads)))
     return head.unionByName(body)
