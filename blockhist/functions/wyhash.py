@@ -150,7 +150,7 @@ def partial_sums(batches, keys: list[str], roles: list[tuple[str, int]], lanes:
         arrays = [pa.array([n[i] for n in names], type=types[i]) for i in range(len(keys) + 1)]
         arrays.append(pa.array([held[n].tobytes() for n in names], type=pa.binary()))
         held.clear()
-        return pa.RecordBatch.from_arrays(arrays, names=keys + ["ord", "acc"])
+        return pa.RecordBatch.from_arrays(arrays, names=keys + ["_v", "acc"])
 
     types = None
     for batch in batches:

@@ -209,19 +209,19 @@ def _streamed(df: DataFrame, part: list[str], order: list[str], fn, schema) -> D
 
 
 def _wy_sums(seeded: DataFrame, keys: list[str], roles: list[tuple[str, int]]) -> DataFrame:
-    """Accumulators per (keys, version): partial sums per task, then one streamed merge."""
+    """Accumulators per (keys, version ``_v``): partial sums per task, then one streamed merge."""
     fields = [f for f in seeded.schema.fields if f.name in keys]
     fields.sort(key=lambda f: keys.index(f.name))
-    schema = T.StructType(fields + [T.StructField("ord", T.IntegerType()), T.StructField("acc", T.BinaryType())])
+    schema = T.StructType(fields + [T.StructField("_v", T.IntegerType()), T.StructField("acc", T.BinaryType())])
     part = seeded.mapInArrow(lambda it: wyhash.partial_sums(it, keys, roles), schema)
-    group = keys + ["ord"]
+    group = keys + ["_v"]
     return _streamed(part, group, [], lambda it: wyhash.streamed_totals(it, group), schema)
 
 
 def wy_lthash(cells: DataFrame, keys: list[str]) -> DataFrame:
     """1,024-lane accumulator per key of cells ``(keys, cell, payload)``."""
-    seeded = wy_seeds(cells.select(*keys, "cell", "payload")).withColumn("ord", F.lit(0))
-    return _wy_sums(seeded.drop("cell"), keys, [("ord", 1)]).drop("ord")
+    seeded = wy_seeds(cells.select(*keys, "cell", "payload")).withColumn("_one", F.lit(0))
+    return _wy_sums(seeded.drop("cell"), keys, [("_one", 1)]).drop("_v")
 
 
 def _wy_history(history: DataFrame, versions: DataFrame) -> DataFrame:
@@ -231,6 +231,7 @@ def _wy_history(history: DataFrame, versions: DataFrame) -> DataFrame:
                                             F.col("nxt").cast("int").alias("nxt"), "seed")
     # a seed counts from its own version until the next change of the cell
     deltas = _wy_sums(spans.filter("seed <> 0"), ["dataset"], [("ord", 1), ("nxt", -1)])
+    deltas = deltas.withColumnRenamed("_v", "ord")
     zero = L.zero_acc(wyhash.WY_LANES)
     spine = (versions.select("dataset", "ord").join(deltas, ["dataset", "ord"], "left")
              .withColumn("acc", F.coalesce("acc", zero))
