@@ -28,28 +28,31 @@ def seed_digest(cell, payload, cell_size: int | None = None) -> Column:
     return F.when(~is_hole(payload, cell_size), F.sha2(keyed, 256))
 
 
-def digest_words(digest, lanes: int = LANES, prefix: str = "_w") -> dict[str, Column]:
-    """Words of a digest, as named columns (to be used with ``withColumns``)."""
-    names = word_names(lanes, prefix)
+def digest_words(digest: str, lanes: int = LANES, prefix: str = "_w") -> dict[str, Column]:
+    """Words of the digest column, as named columns (to be used with ``withColumns``)."""
     out = {}
-    for i, name in enumerate(names):
+    for i, name in enumerate(word_names(lanes, prefix)):
         group, at = divmod(i, 4)
-        h = col(digest) if group == 0 else F.sha2(F.concat(col(digest), F.lit(f":{group}")), 256)
+        h = digest if group == 0 else f"sha2(concat({digest}, ':{group}'), 256)"
         # a negative target base makes conv return the signed value, which fits BIGINT
-        out[name] = F.conv(F.substring(h, 16 * at + 1, 16), 16, -10).cast("long")
+        out[name] = F.expr(f"cast(conv(substring({h}, {16 * at + 1}, 16), 16, -10) as bigint)")
     return out
 
 
-def word_lane(word, j: int) -> Column:
+def _word_lane(word: str, j: int) -> str:
+    return f"(shiftright({word}, {48 - 16 * j}) & 65535L)"
+
+
+def word_lane(word: str, j: int) -> Column:
     """Lane ``j`` (0..3, most significant first) of a word; NULL words give NULL."""
-    return F.shiftright(col(word), 48 - 16 * j).bitwiseAND(F.lit(65535))
+    return F.expr(_word_lane(word, j))
 
 
 def lane_names(lanes: int = LANES, prefix: str = "_l") -> list[str]:
     return [f"{prefix}{i}" for i in range(lanes)]
 
 
-def lane_totals(lanes: int = LANES, plus: str | None = "_w", minus: str | None = None,
+def lane_totals(lanes: int = LANES, plus: str = "_w", minus: str | None = None,
                 out: str = "_l") -> list[Column]:
     """Aggregates: sum of the lanes of the ``plus`` words less those of the ``minus`` words.
 
@@ -59,34 +62,32 @@ def lane_totals(lanes: int = LANES, plus: str | None = "_w", minus: str | None =
     res = []
     for i in range(lanes):
         w, j = divmod(i, 4)
-        parts = []
-        if plus:
-            parts.append(F.coalesce(word_lane(f"{plus}{w}", j), F.lit(0)))
+        total = f"coalesce({_word_lane(f'{plus}{w}', j)}, 0L)"
         if minus:
-            parts.append(-F.coalesce(word_lane(f"{minus}{w}", j), F.lit(0)))
-        total = parts[0] if len(parts) == 1 else parts[0] + parts[1]
-        res.append(F.sum(total).alias(f"{out}{i}"))
+            total += f" - coalesce({_word_lane(f'{minus}{w}', j)}, 0L)"
+        res.append(F.expr(f"sum({total}) as {out}{i}"))
     return res
 
 
+def _two_bytes(lane: str) -> str:
+    """Four hex digits of a lane value in 0..65535, low byte first."""
+    return f"lpad(hex(((({lane}) & 255L) << 8) | shiftright({lane}, 8)), 4, '0')"
+
+
 def pack_lanes(lanes: int = LANES, prefix: str = "_l") -> Column:
     """Lane columns (any BIGINT) -> accumulator binary."""
-    digits = []
-    for i in range(lanes):
-        v = F.pmod(F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)), F.lit(MOD))
-        swapped = F.shiftleft(v.bitwiseAND(F.lit(255)), 8).bitwiseOR(F.shiftright(v, 8))
-        digits.append(F.lpad(F.hex(swapped), 4, "0"))
-    return F.unhex(F.concat(*digits))
+    digits = [_two_bytes(f"pmod(coalesce({n}, 0L), {MOD}L)") for n in lane_names(lanes, prefix)]
+    return F.expr(f"unhex(concat({', '.join(digits)}))")
 
 
-def lane_of(acc, i: int) -> Column:
-    """Lane ``i`` of an accumulator binary."""
-    h = F.hex(F.substring(col(acc), 2 * i + 1, 2))
-    return F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("long")
+def lane_text(acc: str, i: int) -> str:
+    at = f"hex(substring({acc}, {2 * i + 1}, 2))"
+    return f"cast(conv(concat(substring({at}, 3, 2), substring({at}, 1, 2)), 16, 10) as bigint)"
 
 
-def unpack_lanes(acc, lanes: int = LANES, prefix: str = "_l") -> dict[str, Column]:
-    return {f"{prefix}{i}": lane_of(acc, i) for i in range(lanes)}
+def unpack_lanes(acc: str, lanes: int = LANES, prefix: str = "_l") -> dict[str, Column]:
+    """Lanes of an accumulator column, as named columns."""
+    return {f"{prefix}{i}": F.expr(lane_text(acc, i)) for i in range(lanes)}
 
 
 def zero_acc(lanes: int = LANES) -> Column:
@@ -96,11 +97,12 @@ def zero_acc(lanes: int = LANES) -> Column:
 def _combine(a, b, sign: int) -> Column:
     a, b = col(a), col(b)
 
+    def at(x, i):
+        h = F.hex(F.substring(x, i * 2 + 1, F.lit(2)))
+        return F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("long")
+
     def lane(i):
-        def at(x):
-            h = F.hex(F.substring(x, 2 * i + F.lit(1), F.lit(2)))
-            return F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("long")
-        v = F.pmod(at(a) + F.lit(sign) * at(b), F.lit(MOD))
+        v = F.pmod(at(a, i) + at(b, i) * sign, F.lit(MOD))
         swapped = F.shiftleft(v.bitwiseAND(F.lit(255)), 8).bitwiseOR(F.shiftright(v, 8))
         return F.lpad(F.hex(swapped), 4, "0")
 

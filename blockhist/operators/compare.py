@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ordered
 from ..functions.cells import is_hole
+from ..session import materialise
 from .regrain import to_finer
 
 KEY = ["dataset", "cell"]
@@ -175,7 +176,8 @@ def compare_history(a: DataFrame, versions_a: DataFrame, b: DataFrame, versions_
     grain = min(cell_a, cell_b)
     pairs = paired_versions(versions_a, versions_b, mode, snap)
     ga, gb = common_grain(a, cell_a, grain), common_grain(b, cell_b, grain)
-    spans = differing_spans(ga, gb, pairs)
+    # small where the histories agree, and read twice below: written once
+    spans = materialise(differing_spans(ga, gb, pairs), "spans")
     counts = differing_counts(spans, pairs)
     offsets = first_diff(first_cells(spans, pairs), ga, gb, grain)
     common = F.least("size_a", "size_b")

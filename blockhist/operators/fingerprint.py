@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import lanes as L, ordered, wyhash
-from ..functions.cells import is_hole
+from ..session import materialise
 
 KEY = ["dataset", "cell"]
 WY = "lt-wy"
@@ -31,30 +31,32 @@ def lthash(rows: DataFrame, keys: list[str], lanes: int = L.LANES, cell_size: in
     return sums.select(*keys, L.pack_lanes(lanes).alias("acc"))
 
 
-def _unchanged_out(rows: DataFrame, lanes: int, versions: DataFrame) -> DataFrame:
+def _changed(seeded: DataFrame, lanes: int, chunk) -> DataFrame:
+    """Add the cell's words before each row (``_o``); rows that change nothing go."""
     words, olds = L.word_names(lanes), L.word_names(lanes, "_o")
-    prev = ordered.previous(rows, KEY, "ord", dict(zip(olds, words)), ordered.history_chunk(versions))
-    same = F.lit(True)
-    for w, o in zip(words, olds):
-        same = same & F.col(w).eqNullSafe(F.col(o))
-    return prev.filter(~same)
+    prev = ordered.previous(seeded, KEY, "ord", dict(zip(olds, words)), chunk)
+    return prev.filter("not (" + " and ".join(f"{w} <=> {o}" for w, o in zip(words, olds)) + ")")
 
 
 def version_deltas(history: DataFrame, versions: DataFrame, lanes: int = L.LANES,
                    cell_size: int | None = None) -> DataFrame:
     """Lane changes per (dataset, ord): new content minus old content of touched cells."""
+    return _deltas(history, lanes, cell_size, ordered.history_chunk(versions))
+
+
+def _deltas(history, lanes, cell_size, chunk) -> DataFrame:
     seeded = with_seeds(history, lanes, cell_size).select("dataset", "cell", "ord", *L.word_names(lanes))
-    return (_unchanged_out(seeded, lanes, versions)
-            .groupBy("dataset", "ord").agg(*L.lane_totals(lanes, "_w", "_o")))
+    return (_changed(seeded, lanes, chunk).groupBy("dataset", "ord").agg(*L.lane_totals(lanes, "_w", "_o")))
 
 
-def _accumulate(deltas: DataFrame, spine: DataFrame, lanes: int) -> DataFrame:
+def _accumulate(deltas: DataFrame, spine: DataFrame, lanes: int, chunk) -> DataFrame:
     """Running lane sums over the version spine; versions without changes keep the sum."""
     names = L.lane_names(lanes)
-    filled = (spine.join(deltas, ["dataset", "ord"], "left")
-              .withColumns({n: F.pmod(F.coalesce(F.col(n), F.lit(0)), F.lit(L.MOD)) for n in names}))
-    sums = ordered.running_sums(filled, ["dataset"], ["ord"], {f"_s{i}": n for i, n in enumerate(names)},
-                                ordered.int_chunk("ord", ordered.SPINE_CHUNK))
+    filled = spine.join(deltas, ["dataset", "ord"], "left").selectExpr(
+        *spine.columns, *[f"pmod(coalesce({n}, 0L), {L.MOD}L) as {n}" for n in names])
+    if chunk is not None:
+        chunk = ordered.int_chunk("ord", ordered.SPINE_CHUNK)
+    sums = ordered.running_sums(filled, ["dataset"], ["ord"], {f"_s{i}": n for i, n in enumerate(names)}, chunk)
     return sums.select(*spine.columns, L.pack_lanes(lanes, "_s").alias("acc"))
 
 
@@ -63,7 +65,8 @@ def fingerprint_history(history: DataFrame, versions: DataFrame, lanes: int = L.
     """Fingerprint of every version in ``versions``, also of those without any change."""
     if algo == WY:
         return _wy_history(history, versions)
-    return _accumulate(version_deltas(history, versions, lanes, cell_size), versions, lanes)
+    chunk = ordered.history_chunk(versions)
+    return _accumulate(_deltas(history, lanes, cell_size, chunk), versions, lanes, chunk)
 
 
 def fingerprint_image(history: DataFrame, at, lanes: int = L.LANES, cell_size: int | None = None) -> DataFrame:
@@ -83,14 +86,12 @@ def covered_prefix(existing: DataFrame, versions: DataFrame) -> DataFrame:
     """
     e = existing.select("dataset", "snap", F.col("version_id").alias("_id"), F.col("size").alias("_size"),
                         F.lit(True).alias("_found"))
-    m = versions.join(e, ["dataset", "snap"], "left")
-    kept = F.col("_found") & F.col("_id").eqNullSafe(F.col("version_id")) & F.col("_size").eqNullSafe(F.col("size"))
-    m = m.withColumn("_kept", F.coalesce(kept, F.lit(False)))
-    ends = m.groupBy("dataset").agg(F.min(F.when(~F.col("_kept"), F.col("ord"))).alias("_gap"),
-                                    F.max("ord").alias("last"))
-    return (m.join(ends, "dataset").groupBy("dataset").agg(
-        F.max(F.when(F.col("_gap").isNull() | (F.col("ord") < F.col("_gap")), F.col("ord"))).alias("base"),
-        F.max("last").alias("last")))
+    m = versions.join(e, ["dataset", "snap"], "left").selectExpr(
+        "dataset", "ord", "coalesce(_found and _id <=> version_id and _size <=> size, false) as _kept")
+    line = ordered.previous(m, ["dataset"], "ord", {"_prev": "ord"}, ordered.history_chunk(versions))
+    gap = F.expr("min_by(struct(_prev), ord) filter (where not _kept)")
+    return line.groupBy("dataset").agg(gap.alias("_gap"), F.max("ord").alias("last")).selectExpr(
+        "dataset", "case when _gap is null then last else _gap._prev end as base", "last")
 
 
 def checked_cell_size(existing: DataFrame, cell_size: int) -> DataFrame:
@@ -122,21 +123,20 @@ def extend_fingerprints(existing: DataFrame, history: DataFrame, versions: DataF
     Only changes after the base are hashed, and the old content of the cells they touch;
     the base's accumulator comes from the stored row.
     """
-    prefix = covered_prefix(existing, versions)
-    spine = versions.join(prefix.select("dataset", "base"), "dataset")
+    bases = materialise(covered_prefix(existing, versions).select("dataset", "base"), "bases")
+    chunk = ordered.history_chunk(versions)
+    spine = versions.join(bases, "dataset")
     kept = spine.filter("ord <= base").join(existing.select("dataset", "snap", "acc"), ["dataset", "snap"])
     start = kept.filter("ord = base").select("dataset", F.col("acc").alias("_start"))
-    todo = spine.filter("base is null or ord > base")
+    todo = spine.filter("base is null or ord > base").select(*versions.columns)
 
-    bases = prefix.select("dataset", "base")
     fresh = history.join(bases, "dataset").filter("base is null or ord > base").select(*history.columns)
     rows = fresh.unionByName(old_content(history, bases).select(*history.columns))
-    words = L.word_names(lanes)
-    seeded = with_seeds(rows, lanes, cell_size).select("dataset", "cell", "ord", *words)
-    changed = _unchanged_out(seeded, lanes, versions)
-    deltas = (changed.join(bases, "dataset").filter("base is null or ord > base")
+    seeded = with_seeds(rows, lanes, cell_size).select("dataset", "cell", "ord", *L.word_names(lanes))
+    # the old content stands at the base itself: it is subtracted, but is no change
+    deltas = (_changed(seeded, lanes, chunk).join(bases, "dataset").filter("base is null or ord > base")
               .groupBy("dataset", "ord").agg(*L.lane_totals(lanes, "_w", "_o")))
-    added = _accumulate(deltas, todo.select(*versions.columns), lanes)
+    added = _accumulate(deltas, todo, lanes, chunk)
     whole = added.join(start, "dataset", "left").withColumn(
         "acc", F.when(F.col("_start").isNull(), F.col("acc")).otherwise(L.acc_add("acc", "_start"))).drop("_start")
     return kept.select(*versions.columns, "acc").unionByName(whole.select(*versions.columns, "acc"))

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockhist.operators import compare as CMP, history as H, regrain as G
-from blockhist.sources import catalog
+from blockhist.session import materialise
+from blockhist.sources import catalog, images
 
 from . import views as V
 from .q_history import NUMBERED, doc_versions, numbered
 from .q_sources import doc_images
 from .registry import query
-from blockhist.sources import images
 
 D = V.duck
 
 # a copy of the document versions: some texts cut, some changed inside, some with extra bytes at
 # the end, some versions absent
 DOC_COPY = f"""
-select dataset, ord, case when ord=2 and n%7=0 then substr(text, 1, cast(length(text)/2 as int))
+select dataset, ord, case when ord=2 and n%7=0 then substr(text, 1, cast(floor(length(text)/2) as int))
   when ord=3 and n%11=0 then concat(substr(text, 1, 600), '#', substr(text, 602))
   when ord>=2 and n%13=0 then concat(text, 'tail') else text end text
 from (select *, cast(substr(dataset, 2) as bigint) n from ({V.DOC_VERSIONS}) v) w where not (ord=2 and n%17=0)"""
@@ -47,8 +47,9 @@ def _versions(spark, sf, text):
 
 
 def sides(spark, sf):
-    return (_history(spark, sf, DOC_COPY, COPY), _versions(spark, sf, DOC_COPY),
-            _history(spark, sf, V.DOC_VERSIONS, ORIG), _versions(spark, sf, V.DOC_VERSIONS))
+    """Both histories as stored tables, with their versions."""
+    return (materialise(_history(spark, sf, DOC_COPY, COPY), "copy"), _versions(spark, sf, DOC_COPY),
+            materialise(_history(spark, sf, V.DOC_VERSIONS, ORIG), "original"), _versions(spark, sf, V.DOC_VERSIONS))
 
 
 REPORT = f"""a as (select dataset, ord, encode(text) b from ({D(DOC_COPY)})), o as (select dataset, ord, encode(text) b from ({D(V.DOC_VERSIONS)})),
