@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def col(c) -> Column:
@@ -56,3 +56,13 @@ def short_name(name) -> Column:
     c = col(name)
     at = F.instr(c, "@")
     return F.when(at > 0, F.substring(c, at + 1, F.length(c))).otherwise(c)
+
+
+def generated(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns through a generated row.
+
+    A plain projection would be merged into the filters and projections above it, which
+    evaluates its expressions once per use; and separate steps keep the generated code small
+    enough for the JVM to compile.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cells import generated
+
 # Fixed values of the change-log format.
 IGNORED_KEYWORDS = ["BEGIN", "END", "OBJECT"]
 DATA_OBJECT = 1
@@ -17,13 +19,9 @@ _UNSIGNED = r"^[0-9]+$"
 _SIGNED = r"^-?[0-9]+$"
 
 
-def _field(name: str) -> Column:
-    return F.try_element_at(F.col("fields"), F.lit(name))
-
-
-def _number(text: Column, pattern: str = _UNSIGNED) -> Column:
+def _number(name: str, pattern: str = _UNSIGNED) -> Column:
     """Strictly numeric text as BIGINT, else NULL (also when it does not fit)."""
-    return F.when(text.rlike(pattern), text.try_cast("long"))
+    return F.expr(f"case when {name} rlike '{pattern}' then try_cast({name} as bigint) end")
 
 
 def judged(records: DataFrame) -> DataFrame:
@@ -32,37 +30,36 @@ def judged(records: DataFrame) -> DataFrame:
     ``reason`` is set on records that must not be skipped silently; records with neither
     ``op`` nor ``reason`` carry no data.
     """
-    k = F.col("keyword")
-    is_free, is_write = k == "FREE", k.startswith("WRITE")
-    obj, off = _number(_field("object")), _number(_field("offset"))
-    size_text = F.coalesce(*[_field(n) for n in LENGTH_FIELDS])
-    length = F.when(is_free, _number(_field("length"), _SIGNED)).otherwise(_number(size_text, _SIGNED))
-    first, count = _number(_field("firstobj")), _number(_field("numobjs"))
-
-    freed_ok = (first == FREED_OBJECTS[0]) & (first + count == FREED_OBJECTS[1])
-    freed_reason = (F.when(first.isNull() | count.isNull(), "not a number")
-                     .when(~freed_ok, "unexpected object range"))
+    def field(name):
+        return F.try_element_at("fields", F.lit(name))
+    is_free, is_write = F.col("keyword") == "FREE", F.col("keyword").startswith("WRITE")
+    texts = generated(records, _object=field("object"), _offset=field("offset"),
+                     _length=F.when(is_free, field("length")).otherwise(F.coalesce(*[field(n) for n in LENGTH_FIELDS])),
+                     _first=field("firstobj"), _count=field("numobjs"))
+    numbers = generated(texts, _o=_number("_object"), off=_number("_offset"), len=_number("_length", _SIGNED),
+                       _f=_number("_first"), _n=_number("_count"))
+
+    freed_reason = (F.when(F.expr("_f is null or _n is null"), "not a number")
+                     .when(~((F.col("_f") == FREED_OBJECTS[0]) & (F.col("_f") + F.col("_n") == FREED_OBJECTS[1])),
+                           "unexpected object range"))
     range_reason = (
-        F.when(_field("object").isNull(), "field missing")
-         .when(obj.isNull(), "not a number")
-         .when(obj == PROPERTY_OBJECT, F.lit(None))
-         .when(obj != DATA_OBJECT, "unexpected object")
-         .when(_field("offset").isNull(), "field missing")
-         .when(off.isNull(), "not a number")
-         .when(is_write & size_text.isNull(), "no length")
-         .when(is_free & _field("length").isNull(), "field missing")
-         .when(length.isNull(), "not a number"))
-    reason = (F.when(k.isin(IGNORED_KEYWORDS), F.lit(None))
-               .when(k == "REDACT", "redacted")
-               .when(k == "FREEOBJECTS", freed_reason)
+        F.when(F.expr("_object is null"), "field missing")
+         .when(F.expr("_o is null"), "not a number")
+         .when(F.col("_o") == PROPERTY_OBJECT, F.lit(None))
+         .when(F.col("_o") != DATA_OBJECT, "unexpected object")
+         .when(F.expr("_offset is null"), "field missing")
+         .when(F.expr("off is null"), "not a number")
+         .when(F.expr("_length is null"), F.when(is_free, "field missing").otherwise("no length"))
+         .when(F.expr("len is null"), "not a number"))
+    reason = (F.when(F.col("keyword").isin(IGNORED_KEYWORDS), F.lit(None))
+               .when(F.col("keyword") == "REDACT", "redacted")
+               .when(F.col("keyword") == "FREEOBJECTS", freed_reason)
                .when(is_free | is_write, range_reason)
                .otherwise("unknown keyword"))
-    op = F.when((obj == DATA_OBJECT) & is_free, "FREE").when((obj == DATA_OBJECT) & is_write, "WRITE")
-    op = F.when(reason.isNull(), op)
-    # generated as one row each: a filter on the result is not pushed below, which would
-    # evaluate the parsed fields again for every condition
-    verdict = F.struct(reason.alias("reason"), op.alias("op"), off.alias("off"), length.alias("len"))
-    return records.select("*", F.inline(F.array(verdict)))
+    op = F.when(F.col("_o") == DATA_OBJECT, F.when(is_free, "FREE").when(is_write, "WRITE"))
+    verdict = generated(numbers, reason=reason, _op=op)
+    return verdict.withColumn("op", F.when(F.col("reason").isNull(), F.col("_op"))).select(
+        *records.columns, "reason", "op", "off", "len")
 
 
 def classify_changes(records: DataFrame) -> DataFrame:

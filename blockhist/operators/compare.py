@@ -174,7 +174,8 @@ def compare_history(a: DataFrame, versions_a: DataFrame, b: DataFrame, versions_
     """
     cell_b = cell_b or cell_a
     grain = min(cell_a, cell_b)
-    pairs = paired_versions(versions_a, versions_b, mode, snap)
+    # one row per version, read by every step below
+    pairs = materialise(paired_versions(versions_a, versions_b, mode, snap), "pairs")
     ga, gb = common_grain(a, cell_a, grain), common_grain(b, cell_b, grain)
     # small where the histories agree, and read twice below: written once
     spans = materialise(differing_spans(ga, gb, pairs), "spans")

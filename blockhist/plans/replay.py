@@ -9,6 +9,7 @@ from ..operators.changes import clamp_ranges
 from ..operators.history import apply_resize
 from ..operators.ranges import cells_in_ranges, dedupe_cells, ranges_to_cells
 from ..operators.regrain import assemble, drop_unchanged, overlay_cells, ratio, to_finer
+from ..session import materialise
 
 KEYS = ["dataset", "ord"]
 
@@ -56,4 +57,6 @@ def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int,
     content = image_at_grain(images, touched.select(*KEYS, "cell"), old, new)
     rows = overlay_cells(touched, content).select("dataset", "ord", "cell", "payload")
     rows = rows.withColumn("payload", F.when(~is_hole("payload", new), F.col("payload")))
+    # the rebuilt content is read by two branches below: written once
+    rows = materialise(rows, "rebuilt")
     return drop_unchanged(apply_resize(rows, versions, new), versions, new)

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.cells import col
+from ..functions.cells import col, generated
 
 # Fixed values of the log format: first words of the summary block at the end of a log.
 SUMMARY_WORDS = ["SUMMARY:", "SUMMARY", "Total", "Estimated"]
 
 
-# a word that is followed by '=' and another word; neighbouring triples may overlap
-_NAME = r"(\S+)(?=\s+=\s+\S)"
-_VALUE = r"\S+(?=\s+=\s+(\S+))"
+# a word that is followed by '=' and another word; neighbouring triples may overlap. Matches
+# start at word borders only and never give characters back.
+_NAME = r"(?<!\S)(\S++)(?=\s++=\s++\S)"
+_VALUE = r"(?<!\S)\S++(?=\s++=\s++(\S++))"
 
 
-def field_map(line) -> Column:
-    """All ``name = value`` triples of a line; a repeated name keeps its last value."""
-    names = F.regexp_extract_all(col(line), F.lit(_NAME), F.lit(1))
-    values = F.regexp_extract_all(col(line), F.lit(_VALUE), F.lit(1))
-    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
-    last = F.filter(pairs, lambda p, i: i == F.size(names) - F.array_position(F.reverse(names), p["key"]).cast("int"))
-    return F.when(F.size(F.array_distinct(names)) == F.size(names),
-                  F.map_from_arrays(names, values)).otherwise(F.map_from_entries(last))
+def with_fields(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Add ``fields``: all ``name = value`` triples of a line; a repeated name keeps its last
+    value."""
+    found = generated(lines, _names=F.regexp_extract_all(col(line), F.lit(_NAME), F.lit(1)),
+                      _values=F.regexp_extract_all(col(line), F.lit(_VALUE), F.lit(1)))
+    pairs = F.arrays_zip(F.col("_names").alias("key"), F.col("_values").alias("value"))
+    last = F.filter(pairs, lambda p, i: i == F.size("_names") - F.array_position(F.reverse("_names"), p["key"]).cast("int"))
+    fields = F.when(F.size(F.array_distinct("_names")) == F.size("_names"),
+                    F.map_from_arrays("_names", "_values")).otherwise(F.map_from_entries(last))
+    return found.withColumn("fields", fields).drop("_names", "_values")
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -31,10 +34,10 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     Works alike on batch and streaming DataFrames.
     """
     text = F.col(line)
-    return (lines.filter(text.rlike(r"\S") & ~text.rlike(r"^\s*\S+\s+=(\s|$)"))
-                 .withColumn("keyword", F.regexp_extract(text, r"^\s*(\S+)", 1))
-                 .filter(~F.col("keyword").isin(SUMMARY_WORDS))
-                 .withColumn("fields", field_map(line)))
+    records = (lines.filter(text.rlike(r"\S") & ~text.rlike(r"^\s*\S+\s+=(\s|$)"))
+                    .withColumn("keyword", F.regexp_extract(text, r"^\s*(\S+)", 1))
+                    .filter(~F.col("keyword").isin(SUMMARY_WORDS)))
+    return with_fields(records, line)
 
 
 def with_line_numbers(raw: DataFrame) -> DataFrame:
