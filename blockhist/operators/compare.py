@@ -46,6 +46,19 @@ def paired_versions(a: DataFrame, b: DataFrame, mode: str = "all", snap: str | N
         "dataset", "snap", "is_head", "ord_a", "ord_b", "size_a", "size_b")
 
 
+def same_order(pairs: DataFrame) -> DataFrame:
+    """Fail the job when common versions come in another order on the two sides: then no
+    numbering fits both (see ``version_list_diff``)."""
+    both = pairs.filter("ord_a is not null")
+    chunk = ordered.history_chunk(both.select(F.col("ord_b").alias("ord")))
+    chunk = None if chunk is None else ordered.int_chunk("ord_b")
+    line = ordered.previous(both, ["dataset"], "ord_b", {"_before": "ord_a"}, chunk)
+    text = F.concat(F.lit("versions are in another order: "), "dataset", F.lit("@"), "snap")
+    checked = line.withColumn("ord_a", F.when(F.col("_before") > F.col("ord_a"), F.raise_error(text).cast("int"))
+                              .otherwise(F.col("ord_a")))
+    return checked.select(*pairs.columns).unionByName(pairs.filter("ord_a is null"))
+
+
 def _numbered(pairs: DataFrame) -> DataFrame:
     """Give the compared versions one common number ``v``: the original's."""
     return pairs.withColumn("v", F.col("ord_b"))
@@ -176,6 +189,7 @@ def compare_history(a: DataFrame, versions_a: DataFrame, b: DataFrame, versions_
     grain = min(cell_a, cell_b)
     # one row per version, read by every step below
     pairs = materialise(paired_versions(versions_a, versions_b, mode, snap), "pairs")
+    pairs = materialise(same_order(pairs), "pairs")
     ga, gb = common_grain(a, cell_a, grain), common_grain(b, cell_b, grain)
     # small where the histories agree, and read twice below: written once
     spans = materialise(differing_spans(ga, gb, pairs), "spans")
