@@ -77,6 +77,8 @@ def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str) -> DataF
     top = ordered.history_chunk(line)
     chunk = None if top is None else -ordered.int_chunk("ord")
     mapped = ordered.carry_forward(line, ["dataset"], "_neg", ["v"], chunk).filter("v is not null")
+    # one row per version: with its size known the history need not move to be numbered
+    mapped = materialise(mapped, "numbers")
     rows = history.withColumn("_d", F.when(~is_hole("payload"), F.sha2("payload", 256)))
     return (rows.join(mapped.select("dataset", "ord", "v"), ["dataset", "ord"])
             .groupBy(*KEY, "v").agg(F.max_by(F.struct("_d", "ord"), F.col("ord")).alias("_r"))
@@ -156,10 +158,18 @@ def first_cells(spans: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def first_diff(firsts: DataFrame, a: DataFrame, b: DataFrame, cell_size: int) -> DataFrame:
-    """Byte offset of the first difference per version; reads two payloads per version."""
+    """Byte offset of the first difference per version; reads two payloads per version.
+
+    ``firsts`` is written first: its size is known then, and the histories are scanned for the
+    few wanted payloads without being shuffled (or not at all when nothing differs).
+    """
+    firsts = materialise(firsts, "firsts")
+
     def payloads(history, side):
-        return history.select("dataset", "cell", F.col("ord").alias(f"at_{side}"),
-                              F.col("payload").alias(f"_p{side}"))
+        keys = ["dataset", "cell", f"at_{side}"]
+        wanted = firsts.filter(F.col(f"at_{side}").isNotNull()).select(*keys).distinct()
+        return (history.select("dataset", "cell", F.col("ord").alias(f"at_{side}"), F.col("payload").alias(f"_p{side}"))
+                .join(wanted, keys))
     blank = F.lit(bytes(cell_size))
     both = (firsts.join(payloads(a, "a"), ["dataset", "cell", "at_a"], "left")
             .join(payloads(b, "b"), ["dataset", "cell", "at_b"], "left")

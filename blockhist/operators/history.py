@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ordered
-from ..functions.cells import align_size, cell_count, idiv, is_hole, pad_cell
+from ..functions.cells import align_size, cell_count, hole_to_null, is_hole, pad_cell
+from ..session import materialise
 from .ranges import cells_in_ranges
 
 KEY = ["dataset", "cell"]
@@ -28,7 +29,7 @@ def as_of(history: DataFrame, ord: int | DataFrame) -> DataFrame:
     latest row per cell is found by an aggregate that combines on the map side.
     """
     if isinstance(ord, DataFrame):
-        rows = history.join(ord.select("dataset", F.col("at").alias("_at")), "dataset").filter("ord <= _at")
+        rows = _up_to(history, ord)
     else:
         rows = history.filter(F.col("ord") <= ord)
     return (rows.groupBy(*KEY).agg(F.max_by(F.struct("payload"), F.col("ord")).alias("_v"))
@@ -36,6 +37,16 @@ def as_of(history: DataFrame, ord: int | DataFrame) -> DataFrame:
             .filter(~is_hole("payload")))
 
 
+def _up_to(history: DataFrame, at: DataFrame) -> DataFrame:
+    """Rows up to one version per dataset (``at`` = (dataset, at)).
+
+    The list is written first: with its size known Spark joins it without moving the
+    history when it is small, and splits skewed datasets when it is not.
+    """
+    points = materialise(at.select("dataset", F.col("at").alias("_at")), "points")
+    return history.join(points, "dataset").filter("ord <= _at")
+
+
 def validity(history: DataFrame, versions: DataFrame) -> DataFrame:
     """Add ``nxt``: the next version that changes the cell (NULL = none)."""
     chunk = ordered.history_chunk(versions)
@@ -64,20 +75,25 @@ def apply_resize(history: DataFrame, versions: DataFrame, cell_size: int) -> Dat
     its cell, so only the shrinks in between matter. After each, the cell keeps the smallest
     part that any of them left over.
     """
-    live = validity(history, versions)
+    rows = history.select("dataset", "ord", "cell", "payload")
+    live = validity(rows.select("dataset", "ord", "cell", F.isnotnull("payload").alias("_live")), versions)
     lost = shrinks(versions).withColumn("off", F.col("size")).withColumn("len", F.col("prev_size") - F.col("size"))
-    hit = cells_in_ranges(lost, live.filter(F.col("payload").isNotNull()), cell_size).filter(
-        (F.col("at") > F.col("ord")) & (F.col("nxt").isNull() | (F.col("at") < F.col("nxt"))))
+    hit = cells_in_ranges(lost, live.filter("_live").drop("_live"), cell_size).filter(
+        "at > ord and (nxt is null or at < nxt)")
     kept = F.greatest(F.col("size") - F.col("cell") * cell_size, F.lit(0)).cast("long")
     w = Window.partitionBy(*KEY, "ord").orderBy("at")
-    cut = (hit.select(*KEY, "ord", "at", "payload", F.least(kept, F.lit(cell_size)).alias("_keep"))
+    cut = (hit.select(*KEY, "ord", "at", F.least(kept, F.lit(cell_size)).alias("_keep"))
            .withColumn("_least", F.min("_keep").over(w.rowsBetween(Window.unboundedPreceding, 0)))
            .withColumn("_was", F.lag("_least").over(w))
            .filter(F.col("_was").isNull() | (F.col("_least") < F.col("_was"))))
+    # written once: its size is known then, and payloads are fetched for the few cut cells only
+    cut = materialise(cut.select(*KEY, "ord", "at", "_least"), "cuts")
+    holes = cut.filter("_least = 0").select("dataset", F.col("at").alias("ord"), "cell",
+                                            F.lit(None).cast("binary").alias("payload"))
     short = pad_cell(F.substring("payload", F.lit(1), F.col("_least").cast("int")), cell_size)
-    extra = cut.select("dataset", F.col("at").alias("ord"), "cell", F.when(F.col("_least") > 0, short).alias("payload"))
-    extra = extra.withColumn("payload", F.when(~is_hole("payload", cell_size), F.col("payload")))
-    return history.select("dataset", "ord", "cell", "payload").unionByName(extra)
+    parts = (rows.join(cut.filter("_least > 0"), KEY + ["ord"])
+             .select("dataset", F.col("at").alias("ord"), "cell", hole_to_null(short, cell_size).alias("payload")))
+    return rows.unionByName(holes).unionByName(parts)
 
 
 def _digest(history: DataFrame) -> DataFrame:
@@ -132,7 +148,7 @@ def written_since(history: DataFrame, points: DataFrame) -> DataFrame:
     work on the dataset starts.
     """
     rows = (_digest(history).withColumn("_n", F.coalesce(F.octet_length("payload"), F.lit(0)))
-            .join(points, "dataset").filter("ord <= head"))
+            .join(materialise(points, "points"), "dataset").filter("ord <= head"))
     o = F.col("ord")
     state = rows.groupBy(*KEY).agg(
         F.max_by(F.struct("_d", "_n"), F.when(o <= F.col("base"), o)).alias("_a"),
@@ -146,7 +162,7 @@ def written_since(history: DataFrame, points: DataFrame) -> DataFrame:
 
 def referenced(history: DataFrame, at: DataFrame) -> DataFrame:
     """Bytes held by the live cells of one version per dataset (``at`` = (dataset, at))."""
-    rows = history.join(at.select("dataset", F.col("at").alias("_at")), "dataset").filter("ord <= _at")
+    rows = _up_to(history, at)
     size = F.when(is_hole("payload"), 0).otherwise(F.octet_length("payload"))
     live = (rows.withColumn("_n", size).groupBy(*KEY).agg(F.max_by("_n", "ord").alias("_n")))
     return live.groupBy("dataset").agg(F.sum("_n").cast("long").alias("referenced"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ordered
 from ..functions.cells import align_size, idiv
 
-#: cells enumerated by one generated row; longer ranges are first cut into spans
-SPAN = 1 << 12
-#: cells per bucket when ranges are matched with cells that exist
-BUCKET = 1 << 20
+#: cells enumerated by one generated row; longer ranges are first cut into spans, twice
+SPANS = (1 << 24, 1 << 12)
+#: sizes (as powers of two) of the aligned blocks that stand for the inside of a range
+BLOCK_LEVELS = (0, 6, 12, 18)
 
 
 def coalesce_ranges(changes: DataFrame, chunk_width: int = ordered.SAFE_GROUP) -> DataFrame:
@@ -32,22 +32,18 @@ def coalesce_ranges(changes: DataFrame, chunk_width: int = ordered.SAFE_GROUP) -
             .drop("_island"))
 
 
-def _spans(ranges: DataFrame, unit: int, width: int) -> DataFrame:
-    """Add ``_first``/``_last`` cell of each range, cut into spans of ``width`` cells."""
-    first, last = idiv("off", unit), idiv(F.col("off") + F.col("len") - 1, unit)
-    return (ranges.withColumn("_f", first).withColumn("_l", last)
-            .withColumn("_first", F.explode(F.sequence("_f", "_l", F.lit(width).cast("long"))))
-            .withColumn("_last", F.least(F.col("_first") + (width - 1), F.col("_l")))
-            .drop("_f", "_l"))
-
-
 def ranges_to_cells(changes: DataFrame, cell_size: int, spread: bool = False) -> DataFrame:
     """One row per (range, touched cell); ``covered`` = the cell lies fully in the range.
 
     A long range is enumerated span by span; with ``spread`` the spans are shuffled first,
     so that one range over a whole dataset is not one task's work.
     """
-    spans = _spans(changes, cell_size, SPAN)
+    spans = (changes.withColumn("_first", idiv("off", cell_size))
+             .withColumn("_last", idiv(F.col("off") + F.col("len") - 1, cell_size)))
+    for width in SPANS:
+        spans = (spans.withColumn("_at", F.explode(F.sequence("_first", "_last", F.lit(width).cast("long"))))
+                 .withColumn("_last", F.least(F.col("_at") + (width - 1), F.col("_last")))
+                 .withColumn("_first", F.col("_at")).drop("_at"))
     if spread:
         spans = spans.repartition("dataset", "ord", "_first")
     at = F.col("cell") * cell_size
@@ -84,18 +80,44 @@ def split_free(changes: DataFrame, grain: int) -> DataFrame:
             .select("dataset", "ord", "seq", "p.action", "p.off", "p.len").filter("len > 0"))
 
 
-def cells_in_ranges(ranges: DataFrame, cells: DataFrame, cell_size: int, bucket: int = BUCKET) -> DataFrame:
+def _blocks() -> Column:
+    """Aligned blocks that make up the cells ``_lo .. _hi``: whole blocks of the biggest size
+    inside, smaller ones towards both ends (at most 126 per smaller size)."""
+    def run(first, end):
+        return f"if({first} < {end}, sequence({first}, {end} - 1L), cast(array() as array<bigint>))"
+
+    def start(level):
+        return f"shiftright(_lo + {(1 << level) - 1}L, {level})"
+
+    def stop(level):
+        return f"shiftright(_hi + 1L, {level})"
+    parts = []
+    for level, bigger in zip(BLOCK_LEVELS, BLOCK_LEVELS[1:] + (None,)):
+        a, b = start(level), stop(level)
+        blocks = run(a, b)
+        if bigger is not None:
+            step = bigger - level
+            inner_a, inner_b = f"({start(bigger)} << {step})", f"({stop(bigger)} << {step})"
+            ends = f"concat({run(a, inner_a)}, {run(inner_b, b)})"
+            blocks = f"if({start(bigger)} < {stop(bigger)}, {ends}, {blocks})"
+        parts.append(f"transform({blocks}, x -> struct({level} as _level, x as _block))")
+    return F.expr(f"concat({', '.join(parts)})")
+
+
+def cells_in_ranges(ranges: DataFrame, cells: DataFrame, cell_size: int) -> DataFrame:
     """Match byte ranges with existing cells without enumerating the cells of a range.
 
-    Ranges are cut at bucket borders and joined on (dataset, bucket): an equi join, whose
-    residual condition picks the cells. Rows: all columns of both sides, and ``covered``.
+    A range becomes aligned blocks of a few sizes, a cell names the block of each size it lies
+    in, and both meet in an equi join in which every pair is a true match. A block holds at
+    most 2^18 cells, which bounds the rows under one join key. ``cells`` should be narrow.
+    Rows: all columns of both sides, and ``covered``.
     """
     r = (ranges.withColumn("_lo", idiv("off", cell_size))
                .withColumn("_hi", idiv(F.col("off") + F.col("len") - 1, cell_size))
-               .withColumn("_bucket", F.explode(F.sequence(idiv("_lo", bucket), idiv("_hi", bucket)))))
-    c = cells.withColumn("_bucket", idiv("cell", bucket))
+               .select(*ranges.columns, F.inline(_blocks())))
+    ups = ", ".join(f"struct({n} as _level, shiftright(cell, {n}) as _block)" for n in BLOCK_LEVELS)
+    c = cells.select("*", F.expr(f"inline(array({ups}))"))
     at = F.col("cell") * cell_size
-    return (c.join(r, ["dataset", "_bucket"])
-            .filter(F.col("cell").between(F.col("_lo"), F.col("_hi")))
+    return (c.join(r, ["dataset", "_level", "_block"])
             .withColumn("covered", (at >= F.col("off")) & (at + cell_size <= F.col("off") + F.col("len")))
-            .drop("_lo", "_hi", "_bucket"))
+            .drop("_level", "_block"))

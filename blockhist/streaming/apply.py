@@ -48,8 +48,10 @@ def apply_batch(changes: DataFrame, batch: int, images: DataFrame, path: str, gr
     fine, late = split_late(changes, stored.select("dataset", "ord"))
     writes = ranges_to_cells(fine.filter("op = 'WRITE'"), grain).select(
         "dataset", "ord", "cell", "seq", "op", "covered")
-    ever = writes.select("dataset", "cell").unionByName(stored.select("dataset", "cell")).distinct()
-    frees = cells_in_ranges(fine.filter("op = 'FREE'"), ever, grain).select(
+    freed = fine.filter("op = 'FREE'")
+    ever = writes.select("dataset", "cell").unionByName(stored.select("dataset", "cell"))
+    ever = ever.join(freed.select("dataset").distinct(), "dataset", "left_semi").distinct()
+    frees = cells_in_ranges(freed, ever, grain).select(
         "dataset", "ord", "cell", "seq", "op", "covered")
     touched = dedupe_cells(writes.unionByName(frees), ["seq", "op", "covered"])
     cells = overlay_cells(touched, images).select("dataset", "ord", "cell", "seq", "payload")

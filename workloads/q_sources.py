@@ -68,10 +68,11 @@ def change_log_records(spark, sf):
 
 
 def log_files(spark, sf, label):
-    """The log as text files named ``<dataset>@<ord>.log``, one per version, in log order."""
+    """The log as text files, a folder per version; a big version has several files, in order."""
     path = scratch_path(spark, label)
     lines = V.view(spark, sf, V.LOG)
-    (lines.repartition("dataset", "ord").sortWithinPartitions("dataset", "ord", "seq")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (lines.repartitionByRange(n, "dataset", "ord", "seq").sortWithinPartitions("dataset", "ord", "seq")
      .select(F.concat_ws("@", "dataset", F.col("ord").cast("string")).alias("version"), "line")
      .write.partitionBy("version").text(path))
     return path
@@ -88,7 +89,8 @@ def change_log_files(spark, sf):
     version = F.regexp_extract(F.url_decode("file"), r"version=([^/]+)/", 1)
     named = raw.withColumn("dataset", F.split(version, "@")[0]).withColumn("ord", F.split(version, "@")[1].cast("int"))
     records = change_log.parse_lines(named)
-    numbered = ordered.row_numbers(records, ["dataset", "ord"], ["seq"], "pos", ordered.int_chunk("seq"))
+    cut = ordered.range_chunks(records, ["dataset", "ord"], ["file", "seq"])
+    numbered = ordered.row_numbers(cut, ["dataset", "ord"], ["file", "seq"], "pos", "_chunk")
     return numbered.select("dataset", "ord", "keyword", F.try_element_at("fields", F.lit("offset")).alias("off_text"),
                            F.col("pos").cast("long").alias("pos"))
 

@@ -18,20 +18,18 @@ from blockhist.session import scratch_path
 D = V.duck
 
 
-def by_version(df, path):
-    """One file per version number, in order, as a source that grows version by version."""
-    df.repartition("ord").sortWithinPartitions("ord").write.partitionBy("ord").parquet(path)
+def arrivals(df, label, order, run):
+    """Let ``df`` arrive in three parts along ``order``; ``run(path)`` handles what is new.
 
-
-def ordered_files(spark, df, label, order):
-    """Write the batches one after the other, so that file times follow the version order."""
-    path = scratch_path(spark, label)
-    bounds = sorted(r[0] for r in df.select(order).distinct().collect())
-    third = max(1, -(-len(bounds) // 3))
-    for i in range(0, len(bounds), third):
-        part = df.filter(F.col(order).isin(bounds[i:i + third]))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    Every part is one run of the stream with the same state, so it is one micro-batch.
+    """
+    path = scratch_path(df.sparkSession, label)
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = -(-(hi - lo + 1) // 3)
+    for i in range(3):
+        part = df.filter(F.col(order).between(lo + i * width, lo + (i + 1) * width - 1))
+        part.write.mode("append").parquet(path)
+        run(path).awaitTermination()
 
 
 @query("stream_ingest", f"""with {JUDGED}
@@ -60,21 +58,24 @@ GRAIN = 4096
 
 def applied(spark, sf):
     changes = clamped(spark, sf)
-    src = ordered_files(spark, changes, "changes", "ord")
     out, ck = scratch_path(spark, "applied"), scratch_path(spark, "apply-state")
     ever = changes.filter("op = 'WRITE'").select("dataset", "ord", F.explode(F.sequence(
         F.expr(f"off div {GRAIN}"), F.expr(f"(off + len - 1) div {GRAIN}"))).alias("cell")).distinct()
     text = F.concat_ws(":", F.lit("image"), "dataset", F.col("ord").cast("string"), F.col("cell").cast("string"))
     image = ever.withColumn("payload", text.cast("binary"))
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    apply.stream_apply(stream, image, out, GRAIN, ck).awaitTermination()
+
+    def run(path):
+        stream = spark.readStream.schema(changes.schema).parquet(path)
+        return apply.stream_apply(stream, image, out, GRAIN, ck)
+    arrivals(changes, "changes", "ord", run)
     return apply.applied_history(spark, out)
 
 
 @query("stream_apply", f"""with {TOUCHED},
 ever as (select dataset, cell, min(ord) since from touched where op = 'WRITE' group by 1, 2),
 last as (select t.dataset, t.ord, t.cell, arg_max(op, seq) op, arg_max(covered, seq) covered, bool_or(op = 'WRITE') wrote from touched t group by 1, 2, 3),
-b as (select ord, (dense_rank() over (order by ord) - 1) // cast(ceil(n / 3.0) as bigint) batch from (select distinct ord, (select count(distinct ord) from clamped) n from clamped)),
+lim as (select min(ord) lo, cast(ceil((max(ord) - min(ord) + 1) / 3.0) as int) width from clamped),
+b as (select distinct ord, (ord - lo) // width batch from clamped, lim),
 seen as (select e.dataset, e.cell, b.batch from ever e join b on b.ord = e.since)
 select l.dataset, l.ord, l.cell, case when not (op = 'FREE' and covered) and wrote then 'image:'||l.dataset||':'||l.ord||':'||l.cell end payload
 from last l join b on b.ord = l.ord join seen s on s.dataset = l.dataset and s.cell = l.cell and s.batch <= b.batch""")
@@ -89,10 +90,12 @@ join top on top.dataset = s.dataset and s.ord <= last""")
 def stream_fingerprints(spark, sf):
     """Cell changes in three batches of versions, the accumulator carried from batch to batch."""
     cells = V.cells(spark, sf)
-    src = ordered_files(spark, cells, "cells", "ord")
     out, ck = scratch_path(spark, "prints"), scratch_path(spark, "print-state")
-    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    fingerprint.stream_fingerprints(stream, V.spine(spark, sf), out, ck).awaitTermination()
+
+    def run(path):
+        stream = spark.readStream.schema(cells.schema).parquet(path)
+        return fingerprint.stream_fingerprints(stream, V.spine(spark, sf), out, ck)
+    arrivals(cells, "cells", "ord", run)
     return fingerprint.stored_fingerprints(spark, out).select("dataset", "snap", "ord", L.acc_to_text("acc").alias("acc"))
 
 
