@@ -172,13 +172,17 @@ def table_fingerprint(df: DataFrame, key: list[str], cols: list[str], groups: li
                       lanes: int = L.LANES) -> DataFrame:
     """Fingerprint of a keyed table: a row is a cell, its key the position.
 
-    Values are rendered as JSON arrays, so NULL and separators inside texts are kept apart.
-    The key need not be unique: equal rows count as often as they occur.
+    Every value is written as its length, a colon and its text (NULL as ``-``), so that no two
+    different rows read alike. The key need not be unique: equal rows count as often as they
+    occur.
     """
     groups = groups or []
-    position = F.to_json(F.array(*[F.col(k).cast("string") for k in key]))
-    content = F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
-    rows = df.select(*groups, F.sha2(F.concat(position, F.lit(":"), content), 256).alias("_h"))
+
+    def value(name):
+        t = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t, F.lit(",")), F.lit("-,"))
+    row = F.concat(*[value(k) for k in key], F.lit("="), *[value(c) for c in cols])
+    rows = df.select(*groups, F.sha2(row, 256).alias("_h"))
     sums = rows.withColumns(L.digest_words("_h", lanes)).groupBy(*groups).agg(
         *L.lane_totals(lanes), F.count(F.lit(1)).alias("rows"))
     return sums.select(*groups, "rows", L.pack_lanes(lanes).alias("acc"))

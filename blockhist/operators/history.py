@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import ordered
 from ..functions.cells import align_size, cell_count, hole_to_null, is_hole, pad_cell
 from ..session import materialise
-from .ranges import cells_in_ranges
+from .ranges import cells_in_ranges, merge_adjacent
 
 KEY = ["dataset", "cell"]
 
@@ -113,20 +113,11 @@ def version_delta(history: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def cells_to_ranges(delta: DataFrame, cell_size: int, chunk_width: int = ordered.SAFE_GROUP) -> DataFrame:
-    """Join runs of neighbouring cells with one ``op`` into ranges ``(off, len)``.
-
-    A run is found by its distance from a running count; the count works in chunks of the
-    cell number.
-    """
-    keys, chunk = ["dataset", "ord"], ordered.int_chunk("cell", chunk_width)
-    prev = ordered.previous(delta, keys, "cell", {"_pc": "cell", "_pop": "op"}, chunk)
-    same = (F.col("_pc") == F.col("cell") - 1) & (F.col("_pop") == F.col("op"))
-    runs = ordered.running_sums(prev.withColumn("_new", F.when(same, 0).otherwise(1)), keys, ["cell"],
-                                {"_run": "_new"}, chunk)
-    return (runs.groupBy(*keys, "_run").agg(F.first("op").alias("op"),
-                                            (F.min("cell") * cell_size).alias("off"),
-                                            (F.count(F.lit(1)) * cell_size).cast("long").alias("len"))
-            .drop("_run"))
+    """Join runs of neighbouring cells with one ``op`` into ranges ``(off, len)``."""
+    pieces = delta.select("dataset", "ord", "cell", "op", (F.col("cell") * cell_size).alias("off"),
+                          F.lit(cell_size).cast("long").alias("len"))
+    return merge_adjacent(pieces, ["dataset", "ord"], "cell", ordered.int_chunk("cell", chunk_width), "true").select(
+        "dataset", "ord", "op", "off", "len")
 
 
 def delta_between(history: DataFrame, i: int | Column, j: int | Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ordered
 from ..functions.cells import align_size, idiv
@@ -13,6 +13,45 @@ SPANS = (1 << 24, 1 << 12)
 BLOCK_LEVELS = (0, 6, 12, 18)
 
 
+def merge_adjacent(rows: DataFrame, keys: list[str], order: str, chunk: Column, condition: str) -> DataFrame:
+    """Merge rows ``(keys, order, op, off, len)`` into the row right before them.
+
+    A row continues its predecessor when it has the same ``op``, starts where that one ends
+    and ``condition`` holds for it. Runs are formed inside chunks of the order column, in one
+    shuffle; only the first and the last run of each chunk can go on across its border, and
+    these are merged in a second step over at most two rows per chunk.
+    """
+    part = keys + ["_chunk"]
+    line = Window.partitionBy(*part).orderBy(order)
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+
+    def link(w):
+        return F.expr(f"op = lag_op and off = lag_end and {condition}"), {
+            "lag_op": F.lag("op").over(w), "lag_end": F.lag("_end").over(w)}
+
+    def runs(df, w, upto, new):
+        joined, lags = link(w)
+        return (df.withColumns(lags).withColumn("_new", F.when(F.coalesce(new(joined), F.lit(False)), 0).otherwise(1))
+                .withColumn("_run", F.sum("_new").over(upto)))
+
+    def merged(df, by):
+        return df.groupBy(*by).agg(F.min(order).alias(order), F.first("op").alias("op"), F.min("off").alias("off"),
+                                   F.max("_end").alias("_end"), F.sum("merged").alias("merged"))
+    base = rows.select(*keys, order, "op", "off", (F.col("off") + F.col("len")).alias("_end"),
+                       F.lit(1).cast("long").alias("merged"), chunk.alias("_chunk"))
+    local = merged(runs(base, line, so_far, lambda j: j), part + ["_run"])
+    local = local.withColumn("_last", F.max("_run").over(Window.partitionBy(*part)))
+    edge = F.expr("_run = 1 or _run = _last")
+    inner = local.filter(~edge).select(*keys, order, "op", "off", "_end", "merged")
+
+    across = Window.partitionBy(*keys).orderBy(order)
+    edges = local.filter(edge).withColumnRenamed("_run", "_local")
+    chained = runs(edges, across, across.rowsBetween(Window.unboundedPreceding, 0),
+                   lambda j: j & (F.col("_local") == 1))
+    outer = merged(chained, keys + ["_run"]).select(*keys, order, "op", "off", "_end", "merged")
+    return inner.unionByName(outer).select(*keys, order, "op", "off", (F.col("_end") - F.col("off")).alias("len"), "merged")
+
+
 def coalesce_ranges(changes: DataFrame, chunk_width: int = ordered.SAFE_GROUP) -> DataFrame:
     """Merge each WRITE into the one right before it when it starts where that one ends.
 
@@ -20,16 +59,7 @@ def coalesce_ranges(changes: DataFrame, chunk_width: int = ordered.SAFE_GROUP) -
     kinds is kept. Works in chunks of the log position: a version with most of the changes
     is spread over many tasks.
     """
-    keys, chunk = ["dataset", "ord"], ordered.int_chunk("seq", chunk_width)
-    ends = changes.withColumn("_end", F.col("off") + F.col("len"))
-    prev = ordered.previous(ends, keys, "seq", {"_pop": "op", "_pend": "_end"}, chunk)
-    joins = (F.col("op") == "WRITE") & (F.col("_pop") == "WRITE") & (F.col("_pend") == F.col("off"))
-    marked = prev.withColumn("_new", F.when(joins, 0).otherwise(1))
-    island = ordered.running_sums(marked, keys, ["seq"], {"_island": "_new"}, chunk)
-    return (island.groupBy(*keys, "_island")
-            .agg(F.min("seq").alias("seq"), F.first("op").alias("op"), F.min("off").alias("off"),
-                 F.sum("len").cast("long").alias("len"), F.count(F.lit(1)).alias("merged"))
-            .drop("_island"))
+    return merge_adjacent(changes, ["dataset", "ord"], "seq", ordered.int_chunk("seq", chunk_width), "op = 'WRITE'")
 
 
 def ranges_to_cells(changes: DataFrame, cell_size: int, spread: bool = False) -> DataFrame:

@@ -207,7 +207,13 @@ def verify_totals(spark, sf):
     return FP.verify_totals(verified(spark, sf))
 
 
-TABLE_SEED = """sha256('["'||l_orderkey||'","'||l_linenumber||'"]:["'||l_partkey||'","'||l_suppkey||'","'||cast(round(l_quantity*100) as bigint)||'","'||l_returnflag||'","'||l_linestatus||'"]')"""
+def net(*values):
+    """DuckDB: each value as its length, a colon and its text."""
+    return "||".join(f"octet_length(encode(cast({v} as varchar)))||':'||cast({v} as varchar)||','" for v in values)
+
+
+TABLE_SEED = ("sha256(" + net("l_orderkey", "l_linenumber") + "||'='||" + net(
+    "l_partkey", "l_suppkey", "cast(round(l_quantity*100) as bigint)", "l_returnflag", "l_linestatus") + ")")
 
 
 @query("table_fingerprint", f"""with s as (select l_returnflag, {TABLE_SEED} h from lineitem), l as ({lanes_of('s')}),
@@ -222,8 +228,8 @@ def table_fingerprint(spark, sf):
 
 
 @query("table_replica_check", f"""with r as ({D(V.REPLICA)}),
-s as (select 'orders' side, sha256('["'||o_orderkey||'"]:["'||cast(round(o_totalprice*100) as bigint)||'"]') h from orders
-      union all select 'replica', sha256('["'||o_orderkey||'"]:["'||cents||'"]') from r), l as ({lanes_of('s')}),
+s as (select 'orders' side, sha256({net("o_orderkey")}||'='||{net("cast(round(o_totalprice*100) as bigint)")}) h from orders
+      union all select 'replica', sha256({net("o_orderkey")}||'='||{net("cents")}) from r), l as ({lanes_of('s')}),
 t as (select side, lane, sum(x) v from l group by 1, 2)
 select side, (select count(*) from s where s.side = t.side) "rows", {PACK} acc from t group by 1""")
 def table_replica_check(spark, sf):
