@@ -69,25 +69,11 @@ def lane_totals(lanes: int = LANES, plus: str = "_w", minus: str | None = None,
     return res
 
 
-def _two_bytes(lane: str) -> str:
-    """Four hex digits of a lane value in 0..65535, low byte first."""
-    return f"lpad(hex(((({lane}) & 255L) << 8) | shiftright({lane}, 8)), 4, '0')"
-
-
 def pack_lanes(lanes: int = LANES, prefix: str = "_l") -> Column:
-    """Lane columns (any BIGINT) -> accumulator binary."""
-    digits = [_two_bytes(f"pmod(coalesce({n}, 0L), {MOD}L)") for n in lane_names(lanes, prefix)]
-    return F.expr(f"unhex(concat({', '.join(digits)}))")
-
-
-def lane_text(acc: str, i: int) -> str:
-    at = f"hex(substring({acc}, {2 * i + 1}, 2))"
-    return f"cast(conv(concat(substring({at}, 3, 2), substring({at}, 1, 2)), 16, 10) as bigint)"
-
-
-def unpack_lanes(acc: str, lanes: int = LANES, prefix: str = "_l") -> dict[str, Column]:
-    """Lanes of an accumulator column, as named columns."""
-    return {f"{prefix}{i}": F.expr(lane_text(acc, i)) for i in range(lanes)}
+    """Lane columns (any BIGINT) -> accumulator binary: four hex digits each, low byte first."""
+    values = f"transform(array({', '.join(lane_names(lanes, prefix))}), v -> pmod(coalesce(v, 0L), {MOD}L))"
+    digits = f"transform({values}, v -> lpad(hex(((v & 255L) << 8) | shiftright(v, 8)), 4, '0'))"
+    return F.expr(f"unhex(array_join({digits}, ''))")
 
 
 def zero_acc(lanes: int = LANES) -> Column:

@@ -46,17 +46,12 @@ def paired_versions(a: DataFrame, b: DataFrame, mode: str = "all", snap: str | N
         "dataset", "snap", "is_head", "ord_a", "ord_b", "size_a", "size_b")
 
 
-def same_order(pairs: DataFrame) -> DataFrame:
-    """Fail the job when common versions come in another order on the two sides: then no
-    numbering fits both (see ``version_list_diff``)."""
+def order_conflicts(pairs: DataFrame) -> DataFrame:
+    """Common versions that come in another order on the two sides. No numbering fits both
+    then, and nothing can be compared (see ``version_list_diff``)."""
     both = pairs.filter("ord_a is not null")
-    chunk = ordered.history_chunk(both.select(F.col("ord_b").alias("ord")))
-    chunk = None if chunk is None else ordered.int_chunk("ord_b")
-    line = ordered.previous(both, ["dataset"], "ord_b", {"_before": "ord_a"}, chunk)
-    text = F.concat(F.lit("versions are in another order: "), "dataset", F.lit("@"), "snap")
-    checked = line.withColumn("ord_a", F.when(F.col("_before") > F.col("ord_a"), F.raise_error(text).cast("int"))
-                              .otherwise(F.col("ord_a")))
-    return checked.select(*pairs.columns).unionByName(pairs.filter("ord_a is null"))
+    line = ordered.previous(both, ["dataset"], "ord_b", {"_before": "ord_a"}, ordered.int_chunk("ord_b"))
+    return line.filter("_before > ord_a").select("dataset", "snap")
 
 
 def _numbered(pairs: DataFrame) -> DataFrame:
@@ -74,11 +69,10 @@ def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str) -> DataF
     known = history.select("dataset", "ord").distinct().withColumn("v", F.lit(None).cast("int"))
     line = (marks.unionByName(known).groupBy("dataset", "ord").agg(F.max("v").alias("v"))
             .withColumn("_neg", -F.col("ord")))
-    top = ordered.history_chunk(line)
-    chunk = None if top is None else -ordered.int_chunk("ord")
-    mapped = ordered.carry_forward(line, ["dataset"], "_neg", ["v"], chunk).filter("v is not null")
     # one row per version: with its size known the history need not move to be numbered
-    mapped = materialise(mapped, "numbers")
+    line = materialise(line, "numbers")
+    chunk = None if ordered.history_chunk(line) is None else -ordered.int_chunk("ord")
+    mapped = ordered.carry_forward(line, ["dataset"], "_neg", ["v"], chunk).filter("v is not null")
     rows = history.withColumn("_d", F.when(~is_hole("payload"), F.sha2("payload", 256)))
     return (rows.join(mapped.select("dataset", "ord", "v"), ["dataset", "ord"])
             .groupBy(*KEY, "v").agg(F.max_by(F.struct("_d", "ord"), F.col("ord")).alias("_r"))
@@ -199,7 +193,9 @@ def compare_history(a: DataFrame, versions_a: DataFrame, b: DataFrame, versions_
     grain = min(cell_a, cell_b)
     # one row per version, read by every step below
     pairs = materialise(paired_versions(versions_a, versions_b, mode, snap), "pairs")
-    pairs = materialise(same_order(pairs), "pairs")
+    turned = order_conflicts(pairs).limit(8).collect()
+    if turned:
+        raise ValueError("versions come in another order: " + ", ".join(f"{r['dataset']}@{r['snap']}" for r in turned))
     ga, gb = common_grain(a, cell_a, grain), common_grain(b, cell_b, grain)
     # small where the histories agree, and read twice below: written once
     spans = materialise(differing_spans(ga, gb, pairs), "spans")

@@ -32,7 +32,7 @@ def _history(spark, sf, text, cell_size):
     A version's image and the one before it are compared cell by cell.
     """
     rows = V.view(spark, sf, text).withColumn("bytes", F.encode("text", "UTF-8")).drop("text")
-    cells = images.to_cells(rows, ["dataset", "ord"], "bytes", cell_size)
+    cells = materialise(images.to_cells(rows, ["dataset", "ord"], "bytes", cell_size), "cells")
     v = rows.select("dataset", "ord", F.octet_length("bytes").cast("long").alias("size"))
     # a cell past the end of a shorter version becomes a tombstone
     shrunk = H.apply_resize(cells, v, cell_size)
