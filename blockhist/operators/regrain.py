@@ -69,9 +69,14 @@ def regrain_history(history: DataFrame, versions: DataFrame, old: int, new: int)
     changed = rows.select("dataset", "ord", idiv("cell", k).alias("_t")).distinct()
     parts = changed.select("dataset", "ord",
                            F.explode(F.sequence(F.col("_t") * k, F.col("_t") * k + (k - 1))).alias("cell"))
-    known = rows.withColumn("_v", F.struct("payload")).drop("payload")
-    slots = parts.join(known, ["dataset", "ord", "cell"], "left")
-    full = ordered.carry_forward(slots, ["dataset", "cell"], "ord", ["_v"], ordered.history_chunk(versions))
+    # slots and known rows stand on one line per part, a slot right after the row of its own
+    # version: payloads are shuffled once to be carried forward, without a join before it
+    slots = parts.select("dataset", "ord", "cell", (F.col("ord").cast("long") * 2 + 1).alias("_o"),
+                         F.lit(None).cast("struct<payload: binary>").alias("_v"))
+    known = rows.select("dataset", "ord", "cell", (F.col("ord").cast("long") * 2).alias("_o"),
+                        F.struct("payload").alias("_v"))
+    full = ordered.carry_forward(known.unionByName(slots), ["dataset", "cell"], "_o", ["_v"],
+                                 ordered.history_chunk(versions)).filter("_o % 2 = 1")
     whole = assemble(full.select("dataset", "ord", "cell", F.col("_v.payload").alias("payload")),
                      ["dataset", "ord"], old, new)
     return (changed.withColumnRenamed("_t", "cell")

@@ -7,19 +7,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas
 
 
-def write_history(history: DataFrame, path: str, cell_size: int, mode: str = "error") -> None:
+def write_history(history: DataFrame, path: str, cell_size: int, mode: str = "error",
+                  folders: bool = True) -> None:
     """Write a sparse cell history (``payload`` NULL = tombstone), one folder per dataset.
 
-    Rows are spread by (dataset, cell range) first: a dataset that holds most of the rows is
+    With very many small datasets use ``folders=False``: they then share files. Rows are spread by (dataset, cell range) first: a dataset that holds most of the rows is
     written by many tasks, a small one by one task, and files come out sorted so that row
     groups can be skipped by cell and version.
     """
     n = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (history.select("dataset", "ord", "cell", "payload")
-            .withColumn("cell_size", F.lit(cell_size).cast("long"))
-            .repartitionByRange(n, "dataset", "cell", "ord")
-            .sortWithinPartitions("dataset", "cell", "ord")
-            .write.partitionBy("dataset").mode(mode).parquet(path))
+    out = (history.select("dataset", "ord", "cell", "payload")
+           .withColumn("cell_size", F.lit(cell_size).cast("long"))
+           .repartitionByRange(n, "dataset", "cell", "ord")
+           .sortWithinPartitions("dataset", "cell", "ord").write.mode(mode))
+    (out.partitionBy("dataset") if folders else out).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str, cell_size: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.ranges import cells_in_ranges, dedupe_cells, ranges_to_cells
 from ..operators.regrain import overlay_cells
 
+SEEN = "dataset STRING, ord INT, batch BIGINT"
 TOUCHED = "dataset STRING, ord INT, cell BIGINT, seq BIGINT, payload BINARY, batch BIGINT"
 
 
@@ -45,7 +46,7 @@ def apply_batch(changes: DataFrame, batch: int, images: DataFrame, path: str, gr
     """
     spark = changes.sparkSession
     stored = _earlier(spark, f"{path}/cells", TOUCHED, batch)
-    fine, late = split_late(changes, stored.select("dataset", "ord"))
+    fine, late = split_late(changes, _earlier(spark, f"{path}/seen", SEEN, batch))
     writes = ranges_to_cells(fine.filter("op = 'WRITE'"), grain).select(
         "dataset", "ord", "cell", "seq", "op", "covered")
     freed = fine.filter("op = 'FREE'")
@@ -57,6 +58,7 @@ def apply_batch(changes: DataFrame, batch: int, images: DataFrame, path: str, gr
     cells = overlay_cells(touched, images).select("dataset", "ord", "cell", "seq", "payload")
     _write_batch(cells, f"{path}/cells", batch)
     _write_batch(late.select("dataset", "ord", "seq", "op", "off", "len"), f"{path}/late", batch)
+    _write_batch(fine.groupBy("dataset").agg(F.max("ord").alias("ord")), f"{path}/seen", batch)
 
 
 def stream_apply(changes: DataFrame, images: DataFrame, path: str, grain: int, checkpoint: str):

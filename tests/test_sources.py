@@ -109,9 +109,10 @@ def test_fingerprint_text_checks(spark):
 
 def test_history_of_another_grain_is_refused(spark, tmp_path):
     h = spark.createDataFrame([("a@b", 1, 0, b"x"), ("a@b", 2, 0, None)], "dataset string, ord int, cell bigint, payload binary")
-    history.write_history(h, str(tmp_path / "h"), 64)
-    assert sorted(map(tuple, history.read_history(spark, str(tmp_path / "h"), 64).collect()), key=str) == sorted(
-        map(tuple, h.collect()), key=str)
+    for name, folders in (("h", True), ("flat", False)):
+        history.write_history(h, str(tmp_path / name), 64, folders=folders)
+        assert sorted(map(tuple, history.read_history(spark, str(tmp_path / name), 64).collect()), key=str) == sorted(
+            map(tuple, h.collect()), key=str)
     with pytest.raises(Exception, match="cell size 64"):
         history.read_history(spark, str(tmp_path / "h"), 128).collect()
 
