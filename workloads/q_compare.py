@@ -67,14 +67,14 @@ report as (select j.dataset, 's'||j.ord snap, size_a, size_b, case when not gone
   from j left join off on off.dataset = j.dataset and off.ord = j.ord)"""
 
 
-@query("compare_histories", f"with {REPORT} select * from report")
+@query("compare_histories", f"with {REPORT} select * from report", text=('size_a', 'cells_differ', 'first_diff', 'identical'))
 def compare_histories(spark, sf):
     """All versions of a copy kept at 2048 bytes per cell against the original at 512."""
     a, va, b, vb = sides(spark, sf)
     return CMP.compare_history(a, va, b, vb, COPY, ORIG).drop("is_head")
 
 
-@query("compare_one_version", f"with {REPORT} select * from report where snap = 's3'")
+@query("compare_one_version", f"with {REPORT} select * from report where snap = 's3'", text=('size_a', 'cells_differ', 'first_diff', 'identical'))
 def compare_one_version(spark, sf):
     a, va, b, vb = sides(spark, sf)
     return CMP.verify_only(a, va, b, vb, COPY, ORIG, mode="one", snap="s3").drop("is_head")
@@ -100,7 +100,7 @@ j as (select sb.dataset, sb.ord, sb.cell, rpad(hex(encode(coalesce(sa.p, ''))),
 bad as (select dataset, ord, count(*) n, min(cell) c0, arg_min(xa, cell) xa, arg_min(xb, cell) xb from j where xa <> xb group by 1, 2)
 select s.dataset, s.snap, coalesce(n, 0) cells_differ,
   c0*32 + list_min(list_filter(range(0, 32), lambda i: substr(xa, 2*i+1, 2) <> substr(xb, 2*i+1, 2))) first_diff
-from spine s left join bad on bad.dataset = s.dataset and bad.ord = s.ord""")
+from spine s left join bad on bad.dataset = s.dataset and bad.ord = s.ord""", text=('first_diff',))
 def compare_long_histories(spark, sf):
     """Sixty versions per dataset; the copy lost some changes, the damage lasts until the next write."""
     b = V.cells(spark, sf)
@@ -124,7 +124,7 @@ def check_tail(spark, sf):
 b as (select dataset, snap, cast(row_number() over (partition by dataset order by created, version_id) as int) ord
   from ({D(V.CATALOG)}) where version_id % 101 <> 0)
 select coalesce(a.dataset, b.dataset) dataset, coalesce(a.snap, b.snap) snap, a.ord ord_a, b.ord ord_b
-from num a full join b on a.dataset = b.dataset and a.snap = b.snap where a.ord is distinct from b.ord""")
+from num a full join b on a.dataset = b.dataset and a.snap = b.snap where a.ord is distinct from b.ord""", text=('ord_a', 'ord_b'))
 def version_list_diff(spark, sf):
     b = catalog.version_catalog(V.view(spark, sf, V.CATALOG).filter("version_id % 101 <> 0"))
     return CMP.version_list_diff(numbered(spark, sf), b)

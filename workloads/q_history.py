@@ -141,7 +141,7 @@ from (select dataset, cast(substr(dataset,2) as int) d, case when cast(substr(da
 p as (select w.dataset, ord start from w left join num on num.dataset = w.dataset and num.snap = regexp_replace(resume_from, '^.*@', ''))
 select num.dataset, snap, ord, case when ord >= start then 'todo' when version_id % 40 = 0 then 'missing' else 'done' end status
 from num join p on p.dataset = num.dataset where start is not null
-union all select dataset, regexp_replace(resume_from, '^.*@', ''), null, 'unknown' from w where dataset in (select dataset from p where start is null)""")
+union all select dataset, regexp_replace(resume_from, '^.*@', ''), null, 'unknown' from w where dataset in (select dataset from p where start is null)""", text=('ord',))
 def resume_plan(spark, sf):
     source = numbered(spark, sf)
     target = source.filter(F.col("version_id") % 40 != 0)

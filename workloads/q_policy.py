@@ -77,7 +77,7 @@ w as (select dataset, ts, cast(sum(b) over (partition by dataset order by ts) as
 select w.dataset, epoch_us(ts) micros, done, window_bytes, window_bytes // {SPAN} rate, total,
   case when total > 0 then least(100, done * 100 // total) end percent,
   case when total > 0 and window_bytes // {SPAN} > 0 and total > done then (total - done) // (window_bytes // {SPAN}) end eta_seconds
-from w join t on t.dataset = w.dataset""")
+from w join t on t.dataset = w.dataset""", text=('percent', 'eta_seconds'))
 def throughput(spark, sf):
     """Trailing six hours; the total of one dataset is unknown."""
     e = V.view(spark, sf, V.PROGRESS)

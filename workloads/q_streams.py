@@ -35,7 +35,7 @@ def arrivals(df, label, order, run):
 @query("stream_ingest", f"""with {JUDGED}
 select dataset, ord, keyword_op op, case when reason is null then off end off, case when reason is null then len end len, reason, case when reason is not null then line end raw from (
   select *, case when reason is null and (keyword = 'FREE' or starts_with(keyword, 'WRITE')) and o = 1 then case when keyword = 'FREE' then 'FREE' else 'WRITE' end end keyword_op from judged)
-where keyword_op is not null or reason is not null""")
+where keyword_op is not null or reason is not null""", text=('off', 'len'))
 def stream_ingest(spark, sf):
     """Log lines as a stream of text files; changes and rejects in one sink."""
     src, out, ck = (scratch_path(spark, x) for x in ("lines", "ingested", "ingest-state"))
