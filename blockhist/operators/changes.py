@@ -40,7 +40,7 @@ def judged(records: DataFrame) -> DataFrame:
                        _f=_number("_first"), _n=_number("_count"))
 
     freed_reason = (F.when(F.expr("_f is null or _n is null"), "not a number")
-                     .when(~((F.col("_f") == FREED_OBJECTS[0]) & (F.col("_f") + F.col("_n") == FREED_OBJECTS[1])),
+                     .when(~((F.col("_f") == FREED_OBJECTS[0]) & (F.col("_n") == FREED_OBJECTS[1] - FREED_OBJECTS[0])),
                            "unexpected object range"))
     range_reason = (
         F.when(F.expr("_object is null"), "field missing")

@@ -40,6 +40,7 @@ def throughput(events: DataFrame, totals: DataFrame | None = None, span_seconds:
     return (out.join(totals, "dataset", "left")
             .withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
             .withColumn("percent", F.when(F.col("total") > 0, F.least(
-                F.lit(100).cast("long"), F.expr("try_divide(done * 100, total)").cast("long"))))
+                F.lit(100).cast("long"), F.expr(
+                    "case when total > 0 then cast(done as decimal(38,0)) * 100 div total end"))))
             .withColumn("eta_seconds", F.when((F.col("total") > 0) & (F.col("rate") > 0) & (left > 0),
                                               F.expr("case when rate > 0 then (total - done) div rate end"))))

@@ -47,6 +47,7 @@ def test_log_records(spark):
     ("FREE object = 1 offset = 0", "field missing"), ("WRITE object = 1 length = 4", "field missing"),
     ("FREEOBJECTS firstobj = 3 numobjs = 28", "unexpected object range"),
     ("FREEOBJECTS firstobj = 4 numobjs = 28", "unexpected object range"),
+    ("FREEOBJECTS firstobj = 9223372036854775807 numobjs = 5", "unexpected object range"),
     ("WRITE object = 1 offset = 0x10 length = 5", "not a number"),
     ("WRITE object = 1 offset = 99999999999999999999 length = 5", "not a number"),
     ("FREE object = one offset = 0 length = 5", "not a number")])
