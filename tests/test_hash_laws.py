@@ -5,7 +5,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from blockhist.functions import lanes as L, wyhash
 from blockhist.operators import fingerprint as FP

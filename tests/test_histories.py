@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from blockhist.functions import lanes as L
 from blockhist.operators import compare as CMP, fingerprint as FP, history as H, regrain as G
 from blockhist.plans import replay as RP
 from blockhist.session import materialise

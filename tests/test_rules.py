@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from blockhist.operators import changes as C, policy, progress, resume
 from blockhist.plans import dry_run, publish

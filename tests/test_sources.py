@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from blockhist.operators import changes as C
 from blockhist.sources import catalog, change_log, fingerprints as fp, history, images

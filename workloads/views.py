@@ -6,8 +6,6 @@ Spark and with the registered views on DuckDB.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHANGES = """
