@@ -3,6 +3,23 @@
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL = {
+    "op3_near_duplicates": f"""
+with recursive word as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+shingle as (
+  select distinct doc_id, array_to_string(w[s:s + 4], ' ') as sh
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as s from word where len(w) > 0)),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+link as (
+  select a.doc_id as a, b.doc_id as b from shingle a join shingle b on a.sh = b.sh and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id
+  having 100 * count(*) >= 85 * ((select n from size where doc_id = a.doc_id) + (select n from size where doc_id = b.doc_id) - count(*))),
+reach as (
+  select a as doc_id, a as other from link union select r.doc_id, l.b from reach r join link l on r.other = l.a),
+least_id as (select doc_id, min(other) as component_id from reach group by doc_id)
+select word.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, word.doc_id) as component_id,
+  coalesce(component_id, word.doc_id) = word.doc_id as kept
+from word left join size using (doc_id) left join least_id using (doc_id)""",
     "op5_url_filters": f"""
 with cut as (
   select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
