@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, minhash, mixing, pii, quality, tokens, urls
+from . import decontaminate, language, lines, minhash, mixing, pii, quality, repeats, tokens, urls
 from .names import table
 from .sql import SQL
 
@@ -19,6 +19,10 @@ def op1_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id",
@@ -68,7 +72,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pii, op3_near_duplicates, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_token_counts, op8_language_id, op9_source_mix,
+    op1_pii, op2_suffix_array_dedup, op3_near_duplicates, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_token_counts, op8_language_id, op9_source_mix,
     op10_decontamination)}
 
 
