@@ -42,6 +42,13 @@ def pad_cell(payload, cell_size: int) -> Column:
     return F.rpad(col(payload), F.lit(cell_size), F.lit(b"\0"))
 
 
+def full_cell(payload, cell_size: int) -> Column:
+    """The payload as a full cell: what is missing reads as zero; a longer payload fails the job."""
+    p = col(payload)
+    text = F.concat(F.lit(f"payload longer than the cell of {cell_size} bytes: "), F.octet_length(p).cast("string"))
+    return F.when(F.octet_length(p) > cell_size, F.raise_error(text).cast("binary")).otherwise(pad_cell(p, cell_size))
+
+
 def align_size(size, grain: int) -> Column:
     """Round a size up to a multiple of ``grain``."""
     return idiv(col(size) + F.lit(grain - 1), grain) * F.lit(grain)

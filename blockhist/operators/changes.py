@@ -81,10 +81,26 @@ def strict_changes(records: DataFrame) -> DataFrame:
     return j.withColumn("op", op).filter(F.col("op").isNotNull()).select("dataset", "ord", "seq", "op", "off", "len")
 
 
+def writes_past_end(changes: DataFrame, versions: DataFrame, size: str = "size") -> DataFrame:
+    """Writes that the version cannot hold: ``(dataset, ord, seq, off, len, reason)``.
+
+    The log and the image then disagree about the dataset, and cutting such a write would lose data
+    without a word. A free may reach past the end, and a write up to the end (-1) fits any size.
+    """
+    sizes = versions.select("dataset", "ord", F.col(size).alias("_size"))
+    reason = (F.when(F.col("_size").isNull(), "no such version")
+               .when(F.col("off") >= F.col("_size"), "starts past the end")
+               .when((F.col("len") > F.col("_size") - F.col("off")), "runs past the end"))
+    return (changes.filter("op = 'WRITE' and len <> 0").join(sizes, ["dataset", "ord"], "left")
+            .withColumn("reason", reason).filter("reason is not null")
+            .select("dataset", "ord", "seq", "off", "len", "reason"))
+
+
 def clamp_ranges(changes: DataFrame, versions: DataFrame, size: str = "size") -> DataFrame:
     """Cut ranges at the version's size; an open or overlong range ends there.
 
-    Ranges that start at or past the end, or are empty, go. ``size`` names the column to cut
+    Ranges that start at or past the end, or are empty, go; ``writes_past_end`` lists the writes
+    that lose bytes by this. ``size`` names the column to cut
     by: the version's own size, or the one rounded up to the new grain.
     """
     sizes = versions.select("dataset", "ord", F.col(size).alias("_size"))

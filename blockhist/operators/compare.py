@@ -1,7 +1,7 @@
 """Comparison of two histories, down to the first differing byte.
 
-Cells are compared by sha-256 digest, so the shuffle carries 64 characters per change instead
-of payloads. Payloads are read again only for the first differing cell of each version. A
+Cells are compared by the sha-256 digest of the whole cell (short payloads are padded with
+zeros), so the shuffle carries 32 bytes per change instead of payloads. Payloads are read again only for the first differing cell of each version. A
 change is compared once, however many versions share it.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ordered
-from ..functions.cells import is_hole
+from ..functions.cells import full_cell, is_hole
 from ..session import materialise
 from .regrain import to_finer
 
@@ -28,6 +28,8 @@ def paired_versions(a: DataFrame, b: DataFrame, mode: str = "all", snap: str | N
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    if mode == "one" and snap is None:
+        raise ValueError("mode 'one' needs the name of a version")
     side_a = a.select("dataset", "snap", "is_head", F.col("ord").alias("ord_a"), F.col("size").alias("size_a"))
     side_b = b.select("dataset", "snap", "is_head", F.col("ord").alias("ord_b"), F.col("size").alias("size_b"))
     if mode == "none":
@@ -35,8 +37,11 @@ def paired_versions(a: DataFrame, b: DataFrame, mode: str = "all", snap: str | N
     elif mode == "head":
         side_b = side_b.filter("is_head")
     elif mode == "one":
-        both = side_b.join(side_a, ["dataset", "snap", "is_head"], "full_outer").filter(
-            (F.col("snap") == F.lit(snap)) & ~F.col("is_head"))
+        # every dataset of either side is asked for, so that an absent version cannot pass
+        asked = (a.select("dataset").union(b.select("dataset")).distinct()
+                 .withColumn("snap", F.lit(snap)).withColumn("is_head", F.lit(False)))
+        both = (asked.join(side_b, ["dataset", "snap", "is_head"], "left")
+                .join(side_a, ["dataset", "snap", "is_head"], "left"))
         text = F.when(F.col("ord_b").isNull(), "not a version of the original").when(
             F.col("ord_a").isNull(), "missing on the target")
         checked = F.when(text.isNull(), F.col("ord_b")).otherwise(F.raise_error(text).cast("int"))
@@ -59,7 +64,13 @@ def _numbered(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("v", F.col("ord_b"))
 
 
-def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+def _last_byte(grain: int):
+    """Offset of a cell's last non-zero byte, -1 for a hole."""
+    length = F.call_function("div", F.length(F.rtrim(F.hex("payload"), F.lit("0"))) + 1, F.lit(2))
+    return F.when(F.col("_d").isNotNull(), F.col("cell") * grain + length - 1).otherwise(F.lit(-1).cast("long"))
+
+
+def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str, grain: int) -> DataFrame:
     """Rows with ``v`` = first compared version that sees the row.
 
     Both sides may number and skip versions differently. Of the rows of a cell that no
@@ -73,21 +84,32 @@ def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str) -> DataF
     line = materialise(line, "numbers")
     chunk = None if ordered.history_chunk(line) is None else -ordered.int_chunk("ord")
     mapped = ordered.carry_forward(line, ["dataset"], "_neg", ["v"], chunk).filter("v is not null")
-    rows = history.withColumn("_d", F.when(~is_hole("payload"), F.sha2("payload", 256)))
+    full = history.withColumn("payload", full_cell("payload", grain))
+    rows = full.withColumn("_d", F.when(~is_hole("payload", grain), F.unhex(F.sha2("payload", 256))))
+    rows = rows.withColumn("_last", _last_byte(grain))
     return (rows.join(mapped.select("dataset", "ord", "v"), ["dataset", "ord"])
-            .groupBy(*KEY, "v").agg(F.max_by(F.struct("_d", "ord"), F.col("ord")).alias("_r"))
-            .select(*KEY, "v", F.struct(F.col("_r._d").alias("d"), F.col("_r.ord").alias("at")).alias("_s")))
+            .groupBy(*KEY, "v").agg(F.max_by(F.struct("_d", "ord", "_last"), F.col("ord")).alias("_r"))
+            .select(*KEY, "v", F.struct(F.col("_r._d").alias("d"), F.col("_r.ord").alias("at"),
+                                        F.col("_r._last").alias("last")).alias("_s")))
+
 
+def _common_sizes(pairs: DataFrame) -> DataFrame:
+    """Smallest common size per dataset over the versions whose sizes differ."""
+    return (pairs.filter("ord_a is not null and size_a <> size_b").groupBy("dataset")
+            .agg(F.min(F.least("size_a", "size_b")).alias("_common")))
 
-def differing_spans(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Spans of versions ``[v, nxt)`` in which a cell differs: the core of the comparison.
 
-    Columns: dataset, cell, v, nxt (NULL = to the end), at_a, at_b: the stored rows that
-    hold the cell's content on each side (NULL = hole).
+def compared_spans(a: DataFrame, b: DataFrame, pairs: DataFrame, grain: int) -> DataFrame:
+    """Spans of versions ``[v, nxt)`` that matter: the core of the comparison.
+
+    Columns: dataset, cell, v, nxt (NULL = to the end), ``differs``: whether the cell differs,
+    at_a, at_b: the stored rows that hold the cell's content on each side (NULL = hole), and
+    ``last``: the offset of the last non-zero byte on either side. A span in which the sides agree is
+    listed only if it reaches past the common size of some version whose sizes differ.
     """
     p = _numbered(pairs)
-    left = _in_common_numbers(a, p, "a").select(*KEY, "v", F.col("_s").alias("sa"))
-    right = _in_common_numbers(b, p, "b").select(*KEY, "v", F.col("_s").alias("sb"))
+    left = _in_common_numbers(a, p, "a", grain).select(*KEY, "v", F.col("_s").alias("sa"))
+    right = _in_common_numbers(b, p, "b", grain).select(*KEY, "v", F.col("_s").alias("sb"))
     line = (left.unionByName(right, allowMissingColumns=True)
             .groupBy(*KEY, "v").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb")))
     chunk = ordered.history_chunk(p.select(F.col("v").alias("ord")))
@@ -96,15 +118,19 @@ def differing_spans(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     state = ordered.carry_forward(line, KEY, "v", ["sa", "sb"], chunk)
     back = state.withColumn("_back", -F.col("v").cast("long"))
     nxt = ordered.previous(back, KEY, "_back", {"nxt": "v"}, None if chunk is None else -ordered.int_chunk("v"))
-    return (nxt.filter(~F.col("sa.d").eqNullSafe(F.col("sb.d")))
-            .select(*KEY, "v", "nxt",
+    unequal = ~F.col("sa.d").eqNullSafe(F.col("sb.d"))
+    last = F.greatest(F.coalesce("sa.last", F.lit(-1)), F.coalesce("sb.last", F.lit(-1))).cast("long")
+    return (nxt.join(_common_sizes(p), "dataset", "left")
+            .withColumn("differs", unequal).withColumn("last", last)
+            .filter("differs or last >= _common")
+            .select(*KEY, "v", "nxt", "differs", "last",
                     F.when(F.col("sa.d").isNotNull(), F.col("sa.at")).alias("at_a"),
                     F.when(F.col("sb.d").isNotNull(), F.col("sb.at")).alias("at_b")))
 
 
 def differing_counts(spans: DataFrame, pairs: DataFrame) -> DataFrame:
     """Differing cells per compared version: +1 where a span starts, -1 where it ends."""
-    p = _numbered(pairs)
+    p, spans = _numbered(pairs), spans.filter("differs")
     starts = spans.select("dataset", "v", F.lit(1).alias("n"))
     ends = spans.filter("nxt is not null").select("dataset", F.col("nxt").alias("v"), F.lit(-1).alias("n"))
     steps = starts.unionByName(ends).groupBy("dataset", "v").agg(F.sum("n").alias("n"))
@@ -117,16 +143,28 @@ def differing_counts(spans: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def first_cells(spans: DataFrame, pairs: DataFrame) -> DataFrame:
-    """First differing cell of each compared version, without listing versions x cells.
+    """First differing cell of each compared version."""
+    return _least_per_version(spans.filter("differs"), pairs, F.struct("cell", "at_a", "at_b")).select(
+        "dataset", "snap", "is_head", "v", "_f.cell", "_f.at_a", "_f.at_b")
+
+
+def last_bytes(spans: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Offset of the last non-zero byte of each compared version that ``spans`` know of."""
+    return _least_per_version(spans, pairs, F.struct((-F.col("last")).alias("neg"))).select(
+        "dataset", "snap", "is_head", (-F.col("_f.neg")).alias("_last"))
+
+
+def _least_per_version(spans: DataFrame, pairs: DataFrame, value) -> DataFrame:
+    """Smallest ``value`` among the spans that hold each version, without listing versions x cells.
 
     A span of versions is cut into aligned blocks of a binary tree (at most two per level),
-    the smallest cell is kept per block, and each version looks up the blocks above it.
+    the smallest value is kept per block, and each version looks up the blocks above it.
     """
     last = pairs.groupBy("dataset").agg(F.max("ord_b").alias("_max"))
     s = spans.join(last, "dataset").select(
         "dataset", F.col("v").cast("long").alias("_lo"),
         F.coalesce(F.col("nxt"), F.col("_max") + 1).cast("long").alias("_hi"),
-        F.struct("cell", "at_a", "at_b").alias("_first"))
+        value.alias("_first"))
     s = s.groupBy("dataset", "_lo", "_hi").agg(F.min("_first").alias("_first"))
     levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
 
@@ -147,8 +185,7 @@ def first_cells(spans: DataFrame, pairs: DataFrame) -> DataFrame:
     asks = _numbered(pairs).select("dataset", "snap", "is_head", "v", F.explode(levels).alias("level")).withColumn(
         "block", F.call_function("shiftright", F.col("v").cast("long"), F.col("level")))
     return (asks.join(tree, ["dataset", "level", "block"])
-            .groupBy("dataset", "snap", "is_head", "v").agg(F.min("_first").alias("_f"))
-            .select("dataset", "snap", "is_head", "v", "_f.cell", "_f.at_a", "_f.at_b"))
+            .groupBy("dataset", "snap", "is_head", "v").agg(F.min("_first").alias("_f")))
 
 
 def first_diff(firsts: DataFrame, a: DataFrame, b: DataFrame, cell_size: int) -> DataFrame:
@@ -187,7 +224,9 @@ def compare_history(a: DataFrame, versions_a: DataFrame, b: DataFrame, versions_
 
     One row per compared version: sizes, ``identical`` bytes, number of differing cells,
     ``first_diff`` and ``status``: ``same``, ``differs`` (inside the common size), ``tail``
-    (bytes past the shorter size are not all zero) or ``missing`` (no such version in ``a``).
+    (bytes past the shorter size are not all zero, be they equal on both sides or not) or
+    ``missing`` (no such version in ``a``). Where the sides agree but hold bytes past the shorter
+    size, ``first_diff`` is the last of these bytes.
     """
     cell_b = cell_b or cell_a
     grain = min(cell_a, cell_b)
@@ -198,15 +237,20 @@ def compare_history(a: DataFrame, versions_a: DataFrame, b: DataFrame, versions_
         raise ValueError("versions come in another order: " + ", ".join(f"{r['dataset']}@{r['snap']}" for r in turned))
     ga, gb = common_grain(a, cell_a, grain), common_grain(b, cell_b, grain)
     # small where the histories agree, and read twice below: written once
-    spans = materialise(differing_spans(ga, gb, pairs), "spans")
+    spans = materialise(compared_spans(ga, gb, pairs, grain), "spans")
     counts = differing_counts(spans, pairs)
     offsets = first_diff(first_cells(spans, pairs), ga, gb, grain)
     common = F.least("size_a", "size_b")
+    beyond = (F.col("size_a") != F.col("size_b")) & (F.coalesce("_last", F.lit(-1)) >= common)
+    lost = F.raise_error(F.concat(F.lit("cells differ without a differing byte: "), "dataset", F.lit("@"), "snap")).cast("string")
     status = (F.when(F.col("ord_a").isNull(), "missing")
-               .when(F.col("first_diff").isNull(), "same")
-               .when(F.col("first_diff") < common, "differs").otherwise("tail"))
+               .when((F.col("cells_differ") > 0) & F.col("first_diff").isNull(), lost)
+               .when(F.col("first_diff") < common, "differs")
+               .when((F.col("cells_differ") > 0) | beyond, "tail").otherwise("same"))
     return (counts.join(offsets.drop("v"), ["dataset", "snap", "is_head"], "left")
+            .join(last_bytes(spans, pairs), ["dataset", "snap", "is_head"], "left")
             .withColumn("status", status)
+            .withColumn("first_diff", F.coalesce("first_diff", F.when(beyond, F.col("_last"))))
             .withColumn("identical", F.when(F.col("status") == "same", common)
                         .when(F.col("status") != "missing", F.least("first_diff", common)))
             .select("dataset", "snap", "is_head", "size_a", "size_b",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import lanes as L, ordered, wyhash
 from ..session import materialise
+from .identity import MADE_WITH
 
 KEY = ["dataset", "cell"]
 WY = "lt-wy"
@@ -102,6 +103,21 @@ def checked_cell_size(existing: DataFrame, cell_size: int) -> DataFrame:
         F.raise_error(text).cast("long")))
 
 
+def checked_accumulators(existing: DataFrame, lanes: int, cell_size: int | None) -> DataFrame:
+    """Fail the job when a stored accumulator cannot be continued: another number of lanes, another
+    hash, or, where both are known, another cell size."""
+    ok = F.octet_length("acc") == 2 * lanes
+    if "lanes" in existing.columns:
+        ok = ok & (F.col("lanes") == lanes)
+    if "algo" in existing.columns:
+        ok = ok & (F.col("algo") == SQL)
+    if cell_size is not None and "cell_size" in existing.columns:
+        ok = ok & (F.col("cell_size") == cell_size)
+    text = F.concat(F.lit("accumulator made in another way: "), "dataset", F.lit("@"), "snap")
+    return existing.withColumn("acc", F.when(F.coalesce(ok, F.lit(False)), F.col("acc")).otherwise(
+        F.raise_error(text).cast("binary")))
+
+
 def old_content(history: DataFrame, base: DataFrame) -> DataFrame:
     """Content at the resume base of exactly those cells that change after it.
 
@@ -123,6 +139,7 @@ def extend_fingerprints(existing: DataFrame, history: DataFrame, versions: DataF
     Only changes after the base are hashed, and the old content of the cells they touch;
     the base's accumulator comes from the stored row.
     """
+    existing = checked_accumulators(existing, lanes, cell_size)
     bases = materialise(covered_prefix(existing, versions).select("dataset", "base"), "bases")
     chunk = ordered.history_chunk(versions)
     spine = versions.join(bases, "dataset")
@@ -147,11 +164,17 @@ def verify_fingerprints(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
     Columns: dataset, snap, status, id_differs.
     """
+    made_with = [c for c in MADE_WITH if c in expected.columns and c in actual.columns]
     e = expected.select("dataset", "snap", F.col("size").alias("_es"), F.col("acc").alias("_ea"),
-                        F.col("version_id").alias("_ei"), F.lit(True).alias("_e"))
+                        F.col("version_id").alias("_ei"), F.lit(True).alias("_e"),
+                        *[F.col(c).alias(f"_e_{c}") for c in made_with])
     a = actual.select("dataset", "snap", F.col("size").alias("_as"), F.col("acc").alias("_aa"),
-                      F.col("version_id").alias("_ai"), F.lit(True).alias("_a"))
-    same = F.col("_es").eqNullSafe(F.col("_as")) & F.col("_ea").eqNullSafe(F.col("_aa"))
+                      F.col("version_id").alias("_ai"), F.lit(True).alias("_a"),
+                      *[F.col(c).alias(f"_a_{c}") for c in made_with])
+    # what is unknown on either side is not verified
+    same = F.coalesce((F.col("_es") == F.col("_as")) & (F.col("_ea") == F.col("_aa")), F.lit(False))
+    for c in made_with:
+        same = same & F.coalesce(F.col(f"_e_{c}") == F.col(f"_a_{c}"), F.lit(False))
     status = (F.when(F.col("_a").isNull(), "MISSING").when(F.col("_e").isNull(), "EXTRA")
                .when(same, "OK").otherwise("DIFFER"))
     both = F.col("_e").isNotNull() & F.col("_a").isNotNull()

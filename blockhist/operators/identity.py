@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.ids import derived_id
 
 SHOWN_GAPS = 8
+#: how accumulators were made; two of them compare only if these agree, as far as both sides tell
+MADE_WITH = ["cell_size", "lanes", "algo"]
 
 
 def derive_ids(versions: DataFrame) -> DataFrame:
@@ -16,17 +18,22 @@ def derive_ids(versions: DataFrame) -> DataFrame:
 
 def align_ids(fingerprints: DataFrame, reference: DataFrame, allow_missing: bool = False,
               strict: bool = False) -> DataFrame:
-    """Adopt the reference's id where size and accumulator agree.
+    """Adopt the reference's id where size and accumulator agree; NULL agrees with nothing.
 
     ``fingerprints`` = (dataset, snap, ord, size, acc, version_id) of our versions. Adds
     ``new_id`` and ``id_origin``: ``reference``, ``derived`` (not in the reference and
     ``allow_missing``), or, without an id, ``differs`` / ``missing``. In strict mode those two
     fail the job.
     """
+    made_with = [c for c in MADE_WITH if c in fingerprints.columns and c in reference.columns]
     r = reference.select("dataset", "snap", F.col("size").alias("_size"), F.col("acc").alias("_acc"),
-                         F.col("version_id").alias("_id"), F.lit(True).alias("_r"))
+                         F.col("version_id").alias("_id"), F.lit(True).alias("_r"),
+                         *[F.col(c).alias(f"_{c}") for c in made_with])
     m = fingerprints.join(r, ["dataset", "snap"], "left")
-    equal = F.col("size").eqNullSafe(F.col("_size")) & F.col("acc").eqNullSafe(F.col("_acc"))
+    # an unknown size or accumulator proves nothing
+    equal = F.coalesce((F.col("size") == F.col("_size")) & (F.col("acc") == F.col("_acc")), F.lit(False))
+    for c in made_with:
+        equal = equal & F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
     origin = (F.when(F.col("_r").isNull(), "derived" if allow_missing else "missing")
                .when(equal, "reference").otherwise("differs"))
     out = m.withColumn("id_origin", origin).withColumn(
@@ -36,7 +43,7 @@ def align_ids(fingerprints: DataFrame, reference: DataFrame, allow_missing: bool
         text = F.concat(F.lit("cannot align "), "dataset", F.lit("@"), "snap", F.lit(": "), "id_origin")
         out = out.withColumn("new_id", F.when(F.col("new_id").isNull(), F.raise_error(text).cast("decimal(20,0)"))
                              .otherwise(F.col("new_id")))
-    return out.drop("_size", "_acc", "_id", "_r")
+    return out.drop("_size", "_acc", "_id", "_r", *[f"_{c}" for c in made_with])
 
 
 def coverage_gaps(versions: DataFrame, reference: DataFrame) -> DataFrame:
@@ -67,7 +74,7 @@ def resume_conflicts(migrated: DataFrame, reference: DataFrame, base: DataFrame)
     carry its id; the base must be known.
     """
     r = reference.select("dataset", "snap", F.col("version_id").alias("_id"))
-    wrong = (migrated.join(r, ["dataset", "snap"]).filter(F.col("version_id") != F.col("_id"))
+    wrong = (migrated.join(r, ["dataset", "snap"]).filter(~F.coalesce(F.col("version_id") == F.col("_id"), F.lit(False)))
              .select("dataset", "snap", F.lit("id differs").alias("reason")))
     lost = (base.join(r, ["dataset", "snap"], "left_anti")
             .select("dataset", "snap", F.lit("base not in reference").alias("reason")))

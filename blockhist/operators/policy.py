@@ -69,7 +69,9 @@ def preflight(datasets: DataFrame, versions: DataFrame, written: DataFrame, name
     ``datasets`` = (dataset, readonly, target, backup), ``written`` = (dataset, written) since
     the newest version, ``names`` = (name) already taken. ``ok`` counts ``force`` in.
     """
-    counts = versions.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"),
+    # the head is no version: a dataset with a head alone has nothing to rebuild
+    named = F.lit(True) if "is_head" not in versions.columns else ~F.coalesce("is_head", F.lit(False))
+    counts = versions.groupBy("dataset").agg(F.count_if(named).alias("_n"),
                                              F.max_by("snap", "ord").alias("_newest"))
     taken = names.select("name").distinct()
     d = (datasets.join(counts, "dataset", "left").join(written, "dataset", "left")

@@ -33,7 +33,11 @@ def throughput(events: DataFrame, totals: DataFrame | None = None, span_seconds:
         F.max(F.when(F.col("kind") == 0, F.col("p"))).alias("_before"))
     out = per_tick.select("dataset", F.col("t").alias("micros"), "done",
                           (F.col("done") - F.col("_before")).alias("window_bytes"))
-    out = out.withColumn("rate", F.call_function("div", F.col("window_bytes"), F.lit(span_seconds)))
+    # early on less than the span has passed
+    first = ticks.groupBy("dataset").agg(F.min("_t").alias("_first"))
+    elapsed = F.call_function("div", F.col("micros") - F.col("_first"), F.lit(MICROS))
+    passed = F.greatest(F.lit(1), F.least(F.lit(span_seconds), elapsed)).cast("long")
+    out = out.join(first, "dataset").withColumn("rate", F.call_function("div", F.col("window_bytes"), passed)).drop("_first")
     if totals is None:
         return out
     left = F.col("total") - F.col("done")

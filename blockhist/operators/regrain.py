@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ordered
-from ..functions.cells import hole_to_null, idiv, is_hole, zeros
+from ..functions.cells import full_cell, hole_to_null, idiv, is_hole, zeros
 
 
 def ratio(big: int, small: int) -> int:
@@ -22,7 +22,7 @@ def to_finer(cells: DataFrame, old: int, new: int) -> DataFrame:
     k = ratio(old, new)
     rest = [c for c in cells.columns if c not in ("cell", "payload")]
     at = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_k")
-    piece = F.substring("payload", F.col("_k") * new + 1, F.lit(new))
+    piece = F.substring(full_cell("payload", old), F.col("_k") * new + 1, F.lit(new))
     return (cells.select("*", at)
             .select(*rest, (F.col("cell") * k + F.col("_k")).alias("cell"), hole_to_null(piece, new).alias("payload")))
 
@@ -30,12 +30,13 @@ def to_finer(cells: DataFrame, old: int, new: int) -> DataFrame:
 def assemble(parts: DataFrame, keys: list[str], old: int, new: int) -> DataFrame:
     """Join cells ``(keys, cell, payload)`` of one grain into bigger ones.
 
-    Missing and NULL parts read as zeros. Each part brings the zeros between itself and the
+    Missing and NULL parts read as zeros, and so does the end of a short payload. Each part brings the zeros between itself and the
     part before it, the end is padded. A group has at most ``new / old`` rows.
     """
     k = ratio(new, old)
     live = parts.filter(F.col("payload").isNotNull()).select(
-        *keys, idiv("cell", k).alias("_t"), F.pmod("cell", F.lit(k)).cast("int").alias("_k"), "payload")
+        *keys, idiv("cell", k).alias("_t"), F.pmod("cell", F.lit(k)).cast("int").alias("_k"),
+        full_cell("payload", old).alias("payload"))
     group = keys + ["_t"]
     gap = (F.col("_k") - F.coalesce(F.col("_before"), F.lit(-1)) - 1) * old
     spaced = ordered.previous(live, group, "_k", {"_before": "_k"}).withColumn(

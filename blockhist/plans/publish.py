@@ -31,9 +31,12 @@ def promote(spark: SparkSession, new: str, table: str, backup: str, renamer=rena
 
 def publish_verified(spark: SparkSession, new: str, table: str, report: DataFrame | None,
                      backup_suffix: str = "_old", no_swap: bool = False, keep_backup: bool = True,
-                     dry_run: bool = False) -> str:
+                     dry_run: bool = False, datasets: DataFrame | None = None) -> str:
     """Give ``new`` the name ``table`` if the comparison ``report`` has only ``same`` rows.
 
+    An empty report proves nothing and is refused; with ``datasets`` (dataset) given, every one of
+    them must have a row.
+
     Returns what was done: ``published``, ``left`` (``no_swap``) or ``planned`` (``dry_run``).
     A failed comparison raises before anything is renamed. ``report=None`` skips the check.
     """
@@ -41,6 +44,13 @@ def publish_verified(spark: SparkSession, new: str, table: str, report: DataFram
     if dry_run:
         return "planned"
     if report is not None:
+        if report.isEmpty():
+            raise ValueError("the comparison is empty: nothing has been verified")
+        if datasets is not None:
+            absent = datasets.select("dataset").distinct().join(report.select("dataset"), "dataset", "left_anti")
+            names = [r["dataset"] for r in absent.limit(8).collect()]
+            if names:
+                raise ValueError("not compared: " + ", ".join(names))
         bad = report.filter("status <> 'same'").limit(8).collect()
         if bad:
             raise ValueError("comparison failed: " + ", ".join(

@@ -11,7 +11,7 @@ from ..operators.compare import compare_history
 from ..operators.fingerprint import SQL, fingerprint_history
 from ..operators.history import with_new_sizes
 from ..operators.regrain import regrain_history
-from ..session import materialise, scratch_path
+from ..session import materialise
 from .dry_run import plan
 from .publish import publish_verified
 
@@ -37,6 +37,7 @@ class Options:
     allow_missing: bool = False
     algo: str = SQL
     lanes: int = 16
+    location: str | None = None             # where the new table's files go; default: the warehouse
 
 
 @dataclass
@@ -85,7 +86,7 @@ def rebuild(spark: SparkSession, table: str, source: Source, options: Options) -
         if not o.allow_missing:
             _refuse(gaps, lambda r: f"{r['dataset']}: {r['missing']} versions not in the reference ({r['names']})")
         notes = [f"{r['dataset']}: ids derived for {r['missing']} versions ({r['names']})"
-                 for r in gaps.limit(SHOWN).collect()]
+                 for r in gaps.collect()]
 
     changes = source.changes
     if changes is None:
@@ -96,8 +97,9 @@ def rebuild(spark: SparkSession, table: str, source: Source, options: Options) -
 
     original = spark.table(table)
     new = f"{table}_new"
-    (regrain_history(original, versions, o.old_grain, o.new_grain)
-     .write.option("path", scratch_path(spark, new)).saveAsTable(new))
+    # the new table lives on under the original's name: never in the scratch folder
+    writer = regrain_history(original, versions, o.old_grain, o.new_grain).write
+    (writer.option("path", o.location) if o.location else writer).saveAsTable(new)
     rebuilt = spark.table(new)
 
     named = versions.filter("not is_head")
@@ -125,5 +127,6 @@ def rebuild(spark: SparkSession, table: str, source: Source, options: Options) -
         sized = with_new_sizes(versions, o.new_grain).withColumn("size", F.col("new_size"))
         report = materialise(compare_history(rebuilt, sized, original, versions, o.new_grain, o.old_grain,
                                              o.verify, o.verify_snap), "report")
-    outcome = publish_verified(spark, new, table, report, o.backup_suffix, o.no_swap, o.keep_backup)
+    outcome = publish_verified(spark, new, table, report, o.backup_suffix, o.no_swap, o.keep_backup,
+                               datasets=versions)
     return Result(outcome, steps, named, properties, holds, report, notes)

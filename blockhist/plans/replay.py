@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cells import is_hole
-from ..operators.changes import clamp_ranges
+from ..operators.changes import clamp_ranges, writes_past_end
 from ..operators.history import apply_resize
 from ..operators.ranges import cells_in_ranges, dedupe_cells, ranges_to_cells
 from ..operators.regrain import assemble, drop_unchanged, overlay_cells, ratio, to_finer
@@ -45,13 +45,19 @@ def image_at_grain(images: DataFrame, wanted: DataFrame, old: int, new: int) ->
     return pieces.filter(F.col("payload").isNotNull())
 
 
-def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int, new: int) -> DataFrame:
+def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int, new: int,
+           strict: bool = False) -> DataFrame:
     """Cell history at grain ``new`` of every version, in one job.
 
     ``images`` = (dataset, ord, cell, payload): cells of each version's image at grain
     ``old``; ``changes`` = classified ranges. The log says which cells a version touches, the
-    image says what is in them; sizes that shrink add tombstones and cut boundary cells.
+    image says what is in them; sizes that shrink add tombstones and cut boundary cells. A write past
+    the end of its version fails the job if ``strict``, else ``writes_past_end`` names it.
     """
+    if strict:
+        lost = writes_past_end(changes, versions).limit(8).collect()
+        if lost:
+            raise ValueError("; ".join(f"{r['dataset']}@{r['ord']}: write of {r['len']} at {r['off']} {r['reason']}" for r in lost))
     clamped = clamp_ranges(changes, versions)
     touched = touched_cells(clamped, new)
     content = image_at_grain(images, touched.select(*KEYS, "cell"), old, new)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..session import materialise
 from ..functions.lanes import acc_to_text
 
 _NUMBER = r"^[0-9]+$"
@@ -26,7 +27,10 @@ def write_fingerprints(fps: DataFrame, path: str, complete: bool, mode: str = "a
     """Store fingerprint rows. While work is in progress rows are appended with
     ``complete = false``; the final call overwrites the table with ``complete = true``."""
     out = fps.drop("complete").withColumn("complete", F.lit(complete))
-    out.select(*[f.name for f in schemas.FINGERPRINTS]).write.mode("overwrite" if complete else mode).parquet(path)
+    out = out.select(*[f.name for f in schemas.FINGERPRINTS])
+    if complete:
+        out = materialise(out, "fingerprints")  # the rows may come from the very path they replace
+    out.write.mode("overwrite" if complete else mode).parquet(path)
 
 
 def load_fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -76,6 +80,16 @@ def file_problems(lines: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(facts, "dataset", "left").select("dataset", "cell_size", problem.alias("problem"))
 
 
+def strict_import(lines: DataFrame) -> DataFrame:
+    """Like ``import_text``, but a file with any rejected line gives no rows at all: the job fails."""
+    good, bad = import_text(lines)
+    reasons = bad.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "reason")).alias("first"))
+    shown = reasons.limit(8).collect()
+    if shown:
+        raise ValueError("; ".join(f"{r['dataset']}: {r['n']} bad lines, line {r['first'][0]}: {r['first'][1]}" for r in shown))
+    return good
+
+
 def import_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parse text lines ``(dataset, line_no, line)`` of fingerprint files.
 

@@ -109,6 +109,46 @@ def compare_long_histories(spark, sf):
     return CMP.compare_history(a, v, b, v, 32).select("dataset", "snap", "cells_differ", "first_diff")
 
 
+def _two_cells(spark, sf):
+    """One version per document with two cells of 64 bytes, of which 32 are given."""
+    docs = V.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("dataset"),
+                                                  F.md5("text").alias("h"))
+    cells = docs.select("doc_id", "dataset", F.lit(1).alias("ord"), F.posexplode(F.array("h", F.reverse("h"))).alias("cell", "h"))
+    return cells.withColumn("cell", F.col("cell").cast("long")).withColumn("payload", F.col("h").cast("binary"))
+
+
+def _one_version(spark, sf, size):
+    docs = V.table(spark, sf, "documents")
+    return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("dataset"), F.lit("s1").alias("snap"), F.lit(1).alias("ord"),
+                       size.cast("long").alias("size"), F.lit(False).alias("is_head"))
+
+
+@query("compare_padding", """
+select 'd'||doc_id dataset, 's1' snap, case when doc_id % 3 = 0 then 1 else 0 end cells_differ,
+  case when doc_id % 3 = 0 then 64 end first_diff, case when doc_id % 3 = 0 then 'differs' else 'same' end status from documents""",
+       text=("first_diff",))
+def compare_padding(spark, sf):
+    """Every second copy pads its first cell with zeros, which is no difference; every third has another second cell."""
+    b = _two_cells(spark, sf)
+    padded = F.rpad(F.col("payload"), F.lit(64), F.lit(b"\0"))
+    a = b.withColumn("payload", F.when((F.col("cell") == 0) & (F.col("doc_id") % 2 == 0), padded)
+                     .when((F.col("cell") == 1) & (F.col("doc_id") % 3 == 0), F.concat(F.lit("X"), F.substring("h", 2, 31)).cast("binary"))
+                     .otherwise(F.col("payload")))
+    v = _one_version(spark, sf, F.lit(128))
+    return CMP.compare_history(a, v, b, v, 64).select("dataset", "snap", "cells_differ", "first_diff", "status")
+
+
+@query("compare_tail_rule", """
+select 'd'||doc_id dataset, 's1' snap, 0 cells_differ, case when doc_id % 2 = 0 then 95 end first_diff,
+  case when doc_id % 2 = 0 then 'tail' else 'same' end status from documents""", text=("first_diff",))
+def compare_tail_rule(spark, sf):
+    """Equal content on both sides, but every second original ends inside it: bytes past the common size."""
+    cells = _two_cells(spark, sf)
+    short = _one_version(spark, sf, F.when(F.col("doc_id") % 2 == 0, 80).otherwise(128))
+    report = CMP.compare_history(cells, _one_version(spark, sf, F.lit(128)), cells, short, 64)
+    return report.select("dataset", "snap", "cells_differ", "first_diff", "status")
+
+
 @query("check_tail", f"""with docs as (select dataset, encode(text) b from ({D(V.DOC_VERSIONS)}) where ord = 1),
 s as (select *, octet_length(b)*2//3 common, hex(b) h from docs)
 select dataset, common + list_min(list_filter(range(0, octet_length(b)-common), lambda i: substr(h, 2*(common+i)+1, 2) <> '00')) first_nonzero

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from blockhist.operators import compare as CMP, policy, progress
 from blockhist.plans import publish
-from blockhist.session import scratch_path
+from blockhist.session import materialise
 
 from . import views as V
 from .registry import query
@@ -72,11 +72,12 @@ SPAN = 21600
 
 @query("throughput", f"""with e as (select dataset, ts, cast(sum(bytes) as bigint) b from ({D(V.PROGRESS)}) group by 1, 2),
 t as (select dataset, cast(sum(bytes) as bigint) * case when dataset = 'u2' then 0 else 1 end total from ({D(V.PROGRESS)}) group by 1),
-w as (select dataset, ts, cast(sum(b) over (partition by dataset order by ts) as bigint) done,
-    cast(sum(b) over (partition by dataset order by ts range between interval '6' hour preceding and current row) as bigint) window_bytes from e)
-select w.dataset, epoch_us(ts) micros, done, window_bytes, window_bytes // {SPAN} rate, total,
+f as (select *, greatest(1, least({SPAN}, (epoch_us(ts) - epoch_us(min(ts) over (partition by dataset))) // 1000000)) passed from e),
+w as (select dataset, ts, passed, cast(sum(b) over (partition by dataset order by ts) as bigint) done,
+    cast(sum(b) over (partition by dataset order by ts range between interval '6' hour preceding and current row) as bigint) window_bytes from f)
+select w.dataset, epoch_us(ts) micros, done, window_bytes, window_bytes // passed rate, total,
   case when total > 0 then least(100, done * 100 // total) end percent,
-  case when total > 0 and window_bytes // {SPAN} > 0 and total > done then (total - done) // (window_bytes // {SPAN}) end eta_seconds
+  case when total > 0 and window_bytes // passed > 0 and total > done then (total - done) // (window_bytes // passed) end eta_seconds
 from w join t on t.dataset = w.dataset""", text=('percent', 'eta_seconds'))
 def throughput(spark, sf):
     """Trailing six hours; the total of one dataset is unknown."""
@@ -104,18 +105,15 @@ def published_tables(spark, sf):
         copy = rows.withColumn("payload", F.when((F.col("cell") % 97 == 0) & F.lit(kind == "changed"), F.lit(b"x"))
                                .otherwise(F.col("payload")))
         for name, content, df in ((old, "old", rows), (new, "new", copy)):
-            df.withColumn("content", F.lit(content)).write.option("path", scratch_path(spark, name)).saveAsTable(name)
+            df.withColumn("content", F.lit(content)).write.saveAsTable(name)
         report = CMP.compare_history(spark.table(new), size, spark.table(old), size, 64)
         try:
             outcome = publish.publish_verified(spark, new, old, report, no_swap=kind == "left")
         except ValueError:
             outcome = "refused"
-        # read by location: the tables can be dropped while the result is still lazy
-        state = spark.table(old).select("content", "cell")
-        files = state.inputFiles()
-        content = spark.read.parquet(files[0].rsplit("/", 1)[0])
-        out.append(content.groupBy("content").agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(kind).alias("kind"), F.lit(outcome).alias("outcome"), "n_rows", "content"))
+        # counted and written before the tables are dropped
+        out.append(materialise(spark.table(old).groupBy("content").agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(kind).alias("kind"), F.lit(outcome).alias("outcome"), "n_rows", "content"), "published"))
         for name in (old, new, old + "_old"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out[0].unionByName(out[1]).unionByName(out[2])

@@ -106,19 +106,18 @@ def regrain_coarser(spark, sf):
 
 # cells of which most are holes: each customer's balance, spread by key
 SPARSE = """
-select 'n'||cast(c_nationkey as string) dataset, c_custkey*7919 % 20011 cell,
-       max(substr('customer:'||c_name||':'||c_mktsegment, 1, 32)) payload
-from {customer} group by 1, 2"""
+select 'n'||cast(c_nationkey as string) dataset, c_custkey*7919 cell, 'customer:'||c_name||':'||c_mktsegment payload
+from {customer}"""
 
 
 @query("regrain_sparse", f"""with s as ({D(SPARSE)}),
 slots as (select distinct dataset, cell//8 t, unnest(range(0, 8)) k from s),
-parts as (select slots.dataset, t, k, coalesce(rpad(hex(encode(payload)), 64, '0'), repeat('0', 64)) h
+parts as (select slots.dataset, t, k, coalesce(rpad(hex(encode(payload)), 128, '0'), repeat('0', 128)) h
   from slots left join s on s.dataset = slots.dataset and s.cell = t*8+k)
 select dataset, t cell, sha256(unhex(string_agg(h, '' order by k))) digest from parts group by 1, 2""")
 def regrain_sparse(spark, sf):
-    cells = V.view(spark, sf, SPARSE).withColumn("payload", F.rpad(F.col("payload").cast("binary"), F.lit(32), F.lit(b"\0")))
-    return G.regrain(cells, ["dataset"], 32, 256).select("dataset", "cell", F.sha2("payload", 256).alias("digest"))
+    cells = V.view(spark, sf, SPARSE).withColumn("payload", F.col("payload").cast("binary"))
+    return G.regrain(cells, ["dataset"], 64, 512).select("dataset", "cell", F.sha2("payload", 256).alias("digest"))
 
 
 def regrain_history_sql(old, new):
@@ -137,13 +136,13 @@ prev as (select *, lag(x, 1, repeat('0', {2 * new})) over (partition by dataset,
 select dataset, ord, cell, nullif(x, repeat('0', {2 * new})) payload from prev where x <> p"""
 
 
-@query("regrain_history", regrain_history_sql(16, 128))
+@query("regrain_history", regrain_history_sql(V.SIZED, 8 * V.SIZED))
 def regrain_history(spark, sf):
     """All versions at eight times the cell size, without the rows that change nothing."""
     spine = V.spine(spark, sf)
-    out = G.regrain_history(V.sized_cells(spark, sf), spine, 16, 128)
-    live = out.withColumn("payload", F.when(~G.is_hole("payload", 128), F.col("payload")))
-    return G.drop_unchanged(live, spine, 128).select("dataset", "ord", "cell", F.hex("payload").alias("payload"))
+    out = G.regrain_history(V.sized_cells(spark, sf), spine, V.SIZED, 8 * V.SIZED)
+    live = out.withColumn("payload", F.when(~G.is_hole("payload", 8 * V.SIZED), F.col("payload")))
+    return G.drop_unchanged(live, spine, 8 * V.SIZED).select("dataset", "ord", "cell", F.hex("payload").alias("payload"))
 
 
 @query("align_size", f"""

@@ -227,6 +227,15 @@ def clamp_ranges(spark, sf):
     return clamped(spark, sf)
 
 
+@query("quarantine_out_of_range", f"""
+select dataset, ord, seq, off, len, case when off >= {V.SPAN // 2} then 'starts past the end' else 'runs past the end' end reason
+from ({D(V.CHANGES)}) where op = 'WRITE' and len <> 0 and (off >= {V.SPAN // 2} or len > {V.SPAN // 2} - off)""")
+def quarantine_out_of_range(spark, sf):
+    """Writes that versions of half the size cannot hold."""
+    versions = change_versions(spark, sf).withColumn("size", F.lit(V.SPAN // 2).cast("long"))
+    return C.writes_past_end(V.view(spark, sf, V.CHANGES), versions)
+
+
 def change_versions(spark, sf):
     """Versions of CHANGES; all have one size."""
     return (V.view(spark, sf, V.CHANGES).select("dataset", "ord").distinct()

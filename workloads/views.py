@@ -51,17 +51,17 @@ from (select 'u'||cast(user_id%3 as string) dataset, user_id%3 d, 2*day(ts)-1 or
       select 'u'||cast(user_id%3 as string) dataset, user_id%3 d, 2*day(ts) ord from {events} group by 1,2,3) s"""
 
 #: bytes per cell of SIZED_CELLS
-SIZED = 16
+SIZED = 32
 
 # size of each version of SIZED_CELLS in bytes
 SIZES = """
-select dataset, snap, ord, cast(case ord%4 when 3 then 325 when 2 then 640 when 0 then 100 else 1024 end as bigint) size,
+select dataset, snap, ord, cast(case ord%4 when 3 then 650 when 2 then 1280 when 0 then 200 else 2048 end as bigint) size,
        version_id from (""" + CELL_SPINE + ") v"
 
 # content as the version's own image shows it: nothing past the size
 SIZED_CELLS = """
-select c.dataset, c.ord, c.cell, c.seq, substr(c.payload, 1, cast(least(16, v.size - c.cell*16) as int)) payload
-from (""" + CELLS + ") c join (" + SIZES + ") v on c.dataset=v.dataset and c.ord=v.ord where c.cell*16 < v.size"
+select c.dataset, c.ord, c.cell, c.seq, substr(c.payload, 1, cast(least(32, v.size - c.cell*32) as int)) payload
+from (""" + CELLS + ") c join (" + SIZES + ") v on c.dataset=v.dataset and c.ord=v.ord where c.cell*32 < v.size"
 
 DOC_VERSIONS = """
 select 'd'||cast(doc_id as string) dataset, 1 ord, text from {documents} union all
