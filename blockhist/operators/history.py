@@ -71,15 +71,22 @@ def apply_resize(history: DataFrame, versions: DataFrame, cell_size: int) -> Dat
     """Add the rows that shrinking versions imply.
 
     A shrink turns live cells past the new end into holes and cuts the boundary cell; what
-    is regrown later reads as zero. Each row holds from its version up to the next change of
-    its cell, so only the shrinks in between matter. After each, the cell keeps the smallest
-    part that any of them left over.
+    is regrown later reads as zero. A shrink meets the cells (not the rows) it reaches; on the
+    line of its cell it then finds the one row that holds at that moment. So the work is rows
+    plus shrunk cells, not rows times shrinks. Of several shrinks that meet one row the cell
+    keeps the smallest part that any of them left over.
     """
     rows = history.select("dataset", "ord", "cell", "payload")
-    live = validity(rows.select("dataset", "ord", "cell", F.isnotnull("payload").alias("_live")), versions)
     lost = shrinks(versions).withColumn("off", F.col("size")).withColumn("len", F.col("prev_size") - F.col("size"))
-    hit = cells_in_ranges(lost, live.filter("_live").drop("_live"), cell_size).filter(
-        "at > ord and (nxt is null or at < nxt)")
+    met = cells_in_ranges(lost, rows.select(*KEY).distinct(), cell_size).select(
+        *KEY, F.col("at").alias("ord"), "size", (F.col("at").cast("long") * 2 + 1).alias("_o"))
+    # a row stands before a shrink of its own version: what that version writes is not cut by it
+    known = rows.select(*KEY, "ord", (F.col("ord").cast("long") * 2).alias("_o"),
+                        F.struct("ord", F.isnotnull("payload").alias("live")).alias("_row"))
+    line = ordered.carry_forward(known.unionByName(met, allowMissingColumns=True), KEY, "_o", ["_row"],
+                                 ordered.history_chunk(versions))
+    hit = line.filter("_o % 2 = 1 and _row.live and _row.ord < ord").select(
+        *KEY, F.col("_row.ord").alias("ord"), F.col("ord").alias("at"), "size")
     kept = F.greatest(F.col("size") - F.col("cell") * cell_size, F.lit(0)).cast("long")
     w = Window.partitionBy(*KEY, "ord").orderBy("at")
     cut = (hit.select(*KEY, "ord", "at", F.least(kept, F.lit(cell_size)).alias("_keep"))
