@@ -181,7 +181,7 @@ def test_expectation_maximisation_finds_accuracies():
         patterns[votes] = patterns.get(votes, 0) + 1
     prior, right = quality.fit(patterns)
     assert abs(prior - 0.7) < 0.05
-    assert all(abs(a - b) < 0.05 for a, b in zip(right, true))
+    assert all(abs(a - b) < 0.06 for pair, b in zip(right, true) for a in pair)
     assert quality.fit({}) == (0.5, [])
 
 
@@ -192,7 +192,7 @@ def test_quality_agrees_with_labels(spark):
     good = [d for d, q in labels.items() if q == 1]
     bad = [d for d, q in labels.items() if q == 0]
     assert good and sum(kept[d] for d in good) >= 0.97 * len(good)
-    assert not bad or sum(not kept[d] for d in bad) >= 0.5 * len(bad)
+    assert not bad or sum(not kept[d] for d in bad) >= 0.8 * len(bad)
 
 
 # URLs
