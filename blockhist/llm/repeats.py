@@ -76,7 +76,7 @@ def fragments(texts, length: int):
     grams = rolling.of(places, places + GRAM)
     anchor = anchors(grams, width)
     starts = np.arange(len(anchor))
-    text = np.searchsorted(texts.offsets, starts, "right") - 1
+    text = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))[:len(starts)]
     inside = starts + length <= texts.offsets[text + 1]
     starts, anchor, text = starts[inside], anchor[inside], text[inside]
     new = np.ones(len(starts), dtype=bool)
