@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.history import apply_resize
 from ..operators.ranges import cells_in_ranges, dedupe_cells, ranges_to_cells
 from ..operators.regrain import overlay_cells
 
@@ -68,7 +69,17 @@ def stream_apply(changes: DataFrame, images: DataFrame, path: str, grain: int, c
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def applied_history(spark, path: str) -> DataFrame:
-    """The cell history applied so far."""
-    rows = spark.read.schema(TOUCHED).parquet(f"{path}/cells")
-    return dedupe_cells(rows, ["seq", "payload"]).drop("seq")
+def applied_history(spark, path: str, versions: DataFrame | None = None, grain: int | None = None) -> DataFrame:
+    """The cell history applied so far.
+
+    With ``versions`` (dataset, ord, size) the shrinks among them cut it: what lies past the end of a
+    version is gone from that version on, also where the log has no FREE for it.
+    """
+    rows = dedupe_cells(spark.read.schema(TOUCHED).parquet(f"{path}/cells"), ["seq", "payload"]).drop("seq")
+    if versions is None:
+        return rows
+    cut = apply_resize(rows, versions, grain)
+    # a version that writes a cell has the last word over its own shrink
+    return cut.groupBy("dataset", "ord", "cell").agg(
+        F.max_by(F.struct("payload"), F.col("payload").isNotNull()).alias("_p")).select(
+        "dataset", "ord", "cell", F.col("_p.payload").alias("payload"))

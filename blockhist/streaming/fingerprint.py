@@ -13,23 +13,42 @@ CELLS = "dataset STRING, ord INT, cell BIGINT, payload BINARY, batch BIGINT"
 PRINTS = "dataset STRING, snap STRING, ord INT, size BIGINT, version_id DECIMAL(20,0), acc BINARY, batch BIGINT"
 
 
+def _pending(spark, path: str, batch: int) -> DataFrame:
+    """Rows that the last batch before this one has held back."""
+    held = _earlier(spark, f"{path}/pending", CELLS, batch)
+    newest = held.agg(F.max("batch")).first()[0]
+    # a batch that holds nothing back still leaves its (empty) folder: it is the one to look at
+    last = _earlier(spark, f"{path}/seen", "rows BIGINT, batch BIGINT", batch).agg(F.max("batch")).first()[0]
+    if newest is None or newest != last:
+        return held.filter(F.lit(False)).drop("batch")
+    return held.filter(F.col("batch") == newest).drop("batch")
+
+
 def fingerprint_batch(rows: DataFrame, batch: int, versions: DataFrame, path: str, lanes: int = L.LANES,
-                      cell_size: int | None = None) -> None:
+                      cell_size: int | None = None, final: bool = False) -> None:
     """Store the batch's cell rows and the fingerprints of the versions it completes.
 
-    A version is complete when the batch holds it whole (one file per version does that).
-    The accumulator continues from the stored fingerprint of the last version; of the stored
+    A version is complete when a newer one of its dataset has arrived, or with ``final``: the rows of
+    the newest version of each dataset are held back until then, so where batches begin and end
+    changes nothing. A row of a version that is complete already is late. The accumulator continues from the stored fingerprint of the last version; of the stored
     cells only those that change now are read. Versions without changes in between are
     filled in from ``versions`` up to the newest version of the batch.
     """
     spark = rows.sparkSession
     stored = _earlier(spark, f"{path}/cells", CELLS, batch).drop("batch")
     done = _earlier(spark, f"{path}/prints", PRINTS, batch).drop("batch")
+    rows = rows.select("dataset", "ord", "cell", "payload").unionByName(_pending(spark, path, batch))
     fine, late = split_late(rows, done.select("dataset", "ord"))
     again = done.select("dataset", "ord").distinct()
     late = late.unionByName(fine.join(again, ["dataset", "ord"], "left_semi"))
     fine = materialise(fine.join(again, ["dataset", "ord"], "left_anti").select("dataset", "ord", "cell", "payload"),
                        "batch")
+    if not final:
+        top = fine.groupBy("dataset").agg(F.max("ord").alias("_top"))
+        marked = fine.join(top, "dataset")
+        held = materialise(marked.filter("ord = _top").drop("_top"), "held")
+        fine = marked.filter("ord < _top").drop("_top")
+        _write_batch(held, f"{path}/pending", batch)
     newest = fine.groupBy("dataset").agg(F.max("ord").alias("_new"))
     due = versions.join(newest, "dataset").filter("ord <= _new").select(
         "dataset", "snap", "ord", "size", "version_id")
@@ -39,8 +58,16 @@ def fingerprint_batch(rows: DataFrame, batch: int, versions: DataFrame, path: st
         "dataset", "snap", "ord", "size", "version_id", "acc")
     _write_batch(added, f"{path}/prints", batch)
     _write_batch(late.select("dataset", "ord", "cell", "payload"), f"{path}/late", batch)
-    # last: a batch that fails before this line is not yet part of the stored state
     _write_batch(fine, f"{path}/cells", batch)
+    # last: a batch that fails before this line is not yet part of the stored state
+    _write_batch(spark.range(1).select(F.col("id").alias("rows")), f"{path}/seen", batch)
+
+
+def finish_fingerprints(spark, versions: DataFrame, path: str, lanes: int = L.LANES, cell_size: int | None = None) -> None:
+    """Complete the versions that are held back: nothing more will come for them."""
+    last = spark.read.parquet(f"{path}/seen").agg(F.max("batch")).first()[0]
+    none = spark.createDataFrame([], CELLS).drop("batch")
+    fingerprint_batch(none, last + 1, versions, path, lanes, cell_size, final=True)
 
 
 def stream_fingerprints(rows: DataFrame, versions: DataFrame, path: str, checkpoint: str,

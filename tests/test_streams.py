@@ -2,7 +2,7 @@
 
 import pytest
 
-from blockhist.operators import fingerprint as FP
+from blockhist.operators import fingerprint as FP, history as H
 from blockhist.session import scratch_path
 from blockhist.streaming import apply, fingerprint
 
@@ -47,7 +47,34 @@ def test_fingerprints_carried_over_batches(spark):
         fingerprint.fingerprint_batch(batch(*ords), number, versions, path)
     late = spark.createDataFrame([("d", 2, 5, b"late")], CELL)
     fingerprint.fingerprint_batch(late, 3, versions, path)
+    fingerprint.finish_fingerprints(spark, versions, path)
     got = {(r["dataset"], r["ord"]): bytes(r["acc"]) for r in fingerprint.stored_fingerprints(spark, path).collect()}
     whole = FP.fingerprint_history(spark.createDataFrame(rows, CELL), versions).filter("ord <= 4")
     assert got == {(r["dataset"], r["ord"]): bytes(r["acc"]) for r in whole.collect()}
     assert spark.read.parquet(f"{path}/late").count() == 1
+
+
+def test_a_version_split_over_batches(spark):
+    rows = [("d", 1, 0, b"a"), ("d", 2, 0, b"b"), ("d", 2, 1, b"c"), ("d", 3, 0, b"d"), ("e", 2, 0, b"z"), ("e", 2, 5, b"y")]
+    versions = spark.createDataFrame([(n, f"s{o}", o, 100, o * 10) for n in "de" for o in (1, 2, 3)],
+                                     "dataset string, snap string, ord int, size bigint, version_id bigint")
+    versions = versions.withColumn("version_id", versions.version_id.cast("decimal(20,0)"))
+    path = scratch_path(spark, "fp")
+    for number, part in [(0, rows[:2] + rows[4:5]), (1, rows[2:3]), (1, rows[2:3]), (2, rows[3:4] + rows[5:])]:
+        fingerprint.fingerprint_batch(spark.createDataFrame(part, CELL), number, versions, path)
+    fingerprint.finish_fingerprints(spark, versions, path)
+    got = {(r["dataset"], r["ord"]): bytes(r["acc"]) for r in fingerprint.stored_fingerprints(spark, path).collect()}
+    whole = FP.fingerprint_history(spark.createDataFrame(rows, CELL), versions).filter("dataset = 'd' or ord <= 2")
+    assert got == {(r["dataset"], r["ord"]): bytes(r["acc"]) for r in whole.collect()}
+    assert spark.read.parquet(f"{path}/late").count() == 0
+
+
+def test_shrinks_cut_the_applied_history(spark):
+    images = spark.createDataFrame([("d", 1, c, f"{c}".encode() * 8) for c in range(8)] + [("d", 3, 0, b"n" * 8)], CELL)
+    versions = spark.createDataFrame([("d", 1, 64), ("d", 2, 20), ("d", 3, 64)], "dataset string, ord int, size bigint")
+    path = scratch_path(spark, "apply")
+    for number, part in enumerate([[("d", 1, 1, "WRITE", 0, 64)], [("d", 3, 1, "WRITE", 0, 8)]]):
+        apply.apply_batch(spark.createDataFrame(part, CH), number, images, path, 8)
+    rows = apply.applied_history(spark, path, versions, 8)
+    live = {r["cell"]: bytes(r["payload"]) for r in H.as_of(rows, 3).collect()}
+    assert live == {0: b"n" * 8, 1: b"1" * 8, 2: b"2222" + bytes(4)}

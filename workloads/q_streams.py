@@ -96,6 +96,7 @@ def stream_fingerprints(spark, sf):
         stream = spark.readStream.schema(cells.schema).parquet(path)
         return fingerprint.stream_fingerprints(stream, V.spine(spark, sf), out, ck)
     arrivals(cells, "cells", "ord", run)
+    fingerprint.finish_fingerprints(spark, V.spine(spark, sf), out)
     return fingerprint.stored_fingerprints(spark, out).select("dataset", "snap", "ord", L.acc_to_text("acc").alias("acc"))
 
 
