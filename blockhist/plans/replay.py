@@ -14,15 +14,17 @@ from ..session import materialise
 KEYS = ["dataset", "ord"]
 
 
-def touched_cells(changes: DataFrame, grain: int) -> DataFrame:
+def touched_cells(changes: DataFrame, grain: int, known: DataFrame | None = None) -> DataFrame:
     """Cells touched per version, last touch wins: ``(dataset, ord, cell, op, covered)``.
 
     Writes are enumerated (their bytes are read anyway). Frees may span any distance, so
-    they are matched with the cells that are ever written instead.
+    they are matched with the cells that are ever written instead, and with the ``known`` ones
+    (dataset, cell) of a resumed run.
     """
     writes = ranges_to_cells(changes.filter("op = 'WRITE'"), grain, spread=True).select(
         *KEYS, "cell", "seq", "op", "covered")
-    ever = writes.select("dataset", "cell").distinct()
+    ever = writes.select("dataset", "cell")
+    ever = (ever if known is None else ever.unionByName(known)).distinct()
     frees = cells_in_ranges(changes.filter("op = 'FREE'"), ever, grain).select(
         *KEYS, "cell", "seq", "op", "covered")
     return dedupe_cells(writes.unionByName(frees), ["seq", "op", "covered"])
@@ -45,19 +47,32 @@ def image_at_grain(images: DataFrame, wanted: DataFrame, old: int, new: int) ->
     return pieces.filter(F.col("payload").isNotNull())
 
 
+def _refuse_lost_writes(changes: DataFrame, versions: DataFrame) -> None:
+    lost = writes_past_end(changes, versions).limit(8).collect()
+    if lost:
+        raise ValueError("; ".join(f"{r['dataset']}@{r['ord']}: write of {r['len']} at {r['off']} {r['reason']}" for r in lost))
+
+
 def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int, new: int,
-           strict: bool = False) -> DataFrame:
+           strict: bool = False, target: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
     """Cell history at grain ``new`` of every version, in one job.
 
     ``images`` = (dataset, ord, cell, payload): cells of each version's image at grain
     ``old``; ``changes`` = classified ranges. The log says which cells a version touches, the
     image says what is in them; sizes that shrink add tombstones and cut boundary cells. A write past
     the end of its version fails the job if ``strict``, else ``writes_past_end`` names it.
+
+    To resume, give the history that is there already, ``target`` at grain ``new``, and the version it
+    is to be continued from, ``bases`` (dataset, base); a dataset without a base, or with a NULL
+    one, starts anew. Only later changes are read; of the target, rows after the base are replaced
+    and of those before it just the state of the cells at the base is. The result is the whole history.
     """
+    if target is not None:
+        return _resumed(images, changes, versions, old, new, strict, target, bases)
+    if target is not None:
+        return _resumed(images, changes, versions, old, new, strict, target, bases)
     if strict:
-        lost = writes_past_end(changes, versions).limit(8).collect()
-        if lost:
-            raise ValueError("; ".join(f"{r['dataset']}@{r['ord']}: write of {r['len']} at {r['off']} {r['reason']}" for r in lost))
+        _refuse_lost_writes(changes, versions)
     clamped = clamp_ranges(changes, versions)
     touched = touched_cells(clamped, new)
     content = image_at_grain(images, touched.select(*KEYS, "cell"), old, new)
@@ -66,3 +81,23 @@ def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int,
     # the rebuilt content is read by two branches below: written once
     rows = materialise(rows, "rebuilt")
     return drop_unchanged(apply_resize(rows, versions, new), versions, new)
+
+
+def _resumed(images, changes, versions, old, new, strict, target, bases) -> DataFrame:
+    points = materialise(bases.select("dataset", "base").filter("base is not null"), "bases")
+
+    def later(df: DataFrame) -> DataFrame:
+        return df.join(points, "dataset", "left").filter("base is null or ord > base").drop("base")
+    kept = target.select(*KEYS, "cell", "payload").join(points, "dataset").filter("ord <= base").drop("base")
+    if strict:
+        _refuse_lost_writes(later(changes), versions)
+    clamped = clamp_ranges(later(changes), versions)
+    touched = touched_cells(clamped, new, kept.select("dataset", "cell"))
+    content = image_at_grain(later(images), touched.select(*KEYS, "cell"), old, new)
+    rows = overlay_cells(touched, content).select(*KEYS, "cell", "payload")
+    rows = materialise(rows.withColumn("payload", F.when(~is_hole("payload", new), F.col("payload"))), "rebuilt")
+    # the state at the base: what the first later change of a cell, or a shrink, is compared with
+    newest = kept.groupBy("dataset", "cell").agg(F.max("ord").alias("ord"))
+    state = kept.join(newest, ["dataset", "cell", "ord"])
+    added = drop_unchanged(apply_resize(state.unionByName(rows), versions, new), versions, new)
+    return kept.unionByName(later(added).select(*kept.columns))

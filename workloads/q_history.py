@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from blockhist.operators import history as H, policy, regrain as G, resume
 from blockhist.plans import dry_run, replay as RP
+from blockhist.session import materialise
 from blockhist.sources import catalog
 
 from . import views as V
@@ -226,10 +227,17 @@ p as (select *, lag(h) over (partition by dataset, cell order by ord) was from f
 select dataset, ord, cell, sha256(unhex(h)) digest from p where h is distinct from was"""
 
 
-def _replayed(spark, sf, grain):
+def _rows(spark, sf, grain):
     # images are read from their 512-byte cells, whatever the target grain
-    out = RP.replay(doc_cells(spark, sf, 512), doc_changes(spark, sf), doc_versions(spark, sf), 512, grain)
-    return out.select("dataset", "ord", "cell", F.sha2("payload", 256).alias("digest"))
+    return RP.replay(doc_cells(spark, sf, 512), doc_changes(spark, sf), doc_versions(spark, sf), 512, grain)
+
+
+def _shown(rows):
+    return rows.select("dataset", "ord", "cell", F.sha2("payload", 256).alias("digest"))
+
+
+def _replayed(spark, sf, grain):
+    return _shown(_rows(spark, sf, grain))
 
 
 @query("replay_coarser", replay_sql(2048))
@@ -237,6 +245,20 @@ def replay_coarser(spark, sf):
     return _replayed(spark, sf, 2048)
 
 
+@query("replay_resumed", replay_sql(2048))
+def replay_resumed(spark, sf):
+    """The target stops after the first version of most documents, has no version of some, and holds a
+    damaged second version of others; resumed, it equals a full run."""
+    whole = materialise(_rows(spark, sf, 2048), "whole")
+    number = F.substring("dataset", 2, 20).cast("long")
+    target = whole.filter((F.col("ord") == 1) & (number % 4 != 0)).unionByName(
+        whole.filter((F.col("ord") == 2) & (number % 4 == 1)).withColumn("payload", F.lit(b"damaged")))
+    bases = doc_versions(spark, sf).select("dataset").distinct().withColumn("base", F.when(number % 4 != 0, 1))
+    out = RP.replay(doc_cells(spark, sf, 512), doc_changes(spark, sf), doc_versions(spark, sf), 512, 2048,
+                    target=target, bases=bases)
+    return _shown(out)
+
+
 @query("replay_finer", replay_sql(128))
 def replay_finer(spark, sf):
     return _replayed(spark, sf, 128)
