@@ -26,7 +26,7 @@ from ..session import materialise
 from .arrowtext import NON_BLANK, Rolling, _splitmix, as_long, list_array, mix, slices, windows
 from .filters import key_filter
 from .graph import components
-from .names import free_name
+from .names import free_name, small_batches
 
 SHINGLE, BANDS, ROWS, BITS = 5, 24, 4, 4
 HASHES = BANDS * ROWS
@@ -119,22 +119,23 @@ def _linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
+def _set_of(text: pa.Scalar) -> np.ndarray:
+    return shingle_sets(next(slices(pa.array([text.as_py()], pa.large_string()))))[0]
+
+
 def verified(pairs: DataFrame, similarity: int) -> DataFrame:
-    """(a, b) of ``pairs`` (a, b, text_a, text_b) that are linked on their full sets."""
+    """(a, b) of ``pairs`` (a, b, text_a, text_b) that are linked on their full sets. Rows of one ``a`` mostly
+    follow each other, so its set is kept until another comes."""
     def run(batches):
-        seen: dict[int, np.ndarray] = {}
+        pivot, of_pivot = None, None
         for batch in batches:
-            sets = []
-            for ids, column in ((batch.column(0), batch.column(2)), (batch.column(1), batch.column(3))):
-                mine = []
-                for i, text in zip(ids.to_pylist(), column):
-                    if i not in seen:
-                        if len(seen) >= 256:
-                            seen.clear()
-                        seen[i] = shingle_sets(next(slices(pa.array([text.as_py()], pa.large_string()))))[0]
-                    mine.append(seen[i])
-                sets.append(mine)
-            yield batch.select([0, 1]).filter(pa.array([_linked(x, y, similarity) for x, y in zip(*sets)], pa.bool_()))
+            linked = []
+            for i in range(batch.num_rows):
+                a = batch.column(0)[i].as_py()
+                if a != pivot:
+                    pivot, of_pivot = a, _set_of(batch.column(2)[i])
+                linked.append(_linked(of_pivot, _set_of(batch.column(3)[i]), similarity))
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -187,7 +188,7 @@ def _block_links(group, similarity: int):
 
     def set_of(i):
         if i not in sets:
-            sets[i] = shingle_sets(next(slices(pa.array([group["text"][i].as_py()], pa.large_string()))))[0]
+            sets[i] = _set_of(group["text"][i])
         return sets[i]
     root = {int(c): int(c) for c in comp}
 
@@ -259,7 +260,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                .where("size > 1").select("bucket", F.col("first.rid").alias("pivot")))
     members = materialise(spread.join(buckets, "bucket").select("bucket", "band", "rid", "n", "pivot"), "minhash-members")
     texts = _texts(docs, reps.join(members.select("rid").distinct(), "rid").select("rid", "doc_id", "key"))
-    links = materialise(_pivot_links(reps, members, texts, similarity), "minhash-links")
+    with small_batches(docs.sparkSession):
+        links = materialise(_pivot_links(reps, members, texts, similarity), "minhash-links")
     labels = components(links)
     more = _settle(reps, members, labels, texts, similarity)
     if more is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,5 +39,18 @@ def with_struct(df: DataFrame, wish: str, column: str, kind: pa.StructType, star
     return df.select(*carry, df[column].alias(extra)).mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Arrow batches of about ``size`` for what runs meanwhile: wide rows would else fill 64 MiB at a time,
+    several times over in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
