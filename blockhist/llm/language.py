@@ -8,8 +8,6 @@ The tables are counted over all labelled rows; the most frequent ``max_words`` w
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,7 +24,7 @@ LONGEST_WORD = 40
 #: A score weighs a text as if it had at most this many words of its mean evidence.
 EVIDENCE = 20
 #: Unseen words that a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,10 +54,14 @@ def _grams(word: Column, size: int) -> Column:
                        lambda i: F.substring(word, i, F.lit(size)))
 
 
-def _most_frequent(counts: DataFrame, key: str, most: int):
-    """Rows (key, {lang: n}) of the ``most`` most frequent keys; ties by key."""
-    return (counts.groupBy(key).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-            .orderBy(F.desc("n"), key).limit(most).collect())
+def _most_frequent(counts: DataFrame, key: str, most: int, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The ``most`` most frequent keys, ties by key, and how often each occurs in each language. Written
+    first, so that the driver gets these rows alone and not as many from every task."""
+    of_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    top = counts.groupBy(key).agg(F.sum("n").alias("n"), *of_lang).orderBy(F.desc("n"), key).limit(most)
+    rows = materialise(top, f"language-{key}").toArrow()
+    each = [np.asarray(rows[f"n{i}"], dtype=np.float64) for i in range(len(langs))]
+    return rows[key].to_pylist(), np.stack(each, axis=1) if langs else np.zeros((0, 0))
 
 
 def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
@@ -70,44 +72,44 @@ def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
     counts = materialise(word_counts(rows), "language-words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
+    if not langs:
+        return {"langs": [], "prior": [], "words": [], "word_logs": np.zeros((0, 0)), "grams": [], "gram_logs": np.zeros((0, 0))}
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     grams = counts.select("lang", "n", F.explode(F.flatten(F.array(*[
         _grams(marked, size) for size in range(1, LONGEST_GRAM + 1)]))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    words, pieces = _most_frequent(counts, "word", max_words), _most_frequent(grams, "gram", max_grams)
-    by_length: dict[int, dict[str, int]] = {}
-    for r in pieces:
-        for lang, n in r["by"].items():
-            of = by_length.setdefault(len(r["gram"]), {})
-            of[lang] = of.get(lang, 0) + n
-
-    def logs(by, sums, kinds):
-        return [math.log((by.get(lang, 0) + 0.5) / (sums.get(lang, 0) + 0.5 * kinds)) for lang in langs]
-
-    kinds = {size: sum(len(r["gram"]) == size for r in pieces) for size in by_length}
-    return {"langs": langs, "prior": [math.log(totals[x]) - math.log(max(sum(totals.values()), 1)) for x in langs],
-            "words": {r["word"]: logs(r["by"], totals, len(words) + 1) for r in words},
-            "grams": {r["gram"]: logs(r["by"], by_length[len(r["gram"])], kinds[len(r["gram"])]) for r in pieces}}
+    words, seen = _most_frequent(counts, "word", max_words, langs)
+    pieces, times = _most_frequent(grams, "gram", max_grams, langs)
+    total = np.array([totals[x] for x in langs], dtype=np.float64)
+    gram_logs = np.zeros_like(times)
+    length = np.array([len(g) for g in pieces])
+    for size in np.unique(length):
+        mine = length == size
+        gram_logs[mine] = np.log((times[mine] + 0.5) / (times[mine].sum(axis=0) + 0.5 * mine.sum()))
+    return {"langs": langs, "prior": np.log(total / total.sum()).tolist(), "words": words,
+            "word_logs": np.log((seen + 0.5) / (total + 0.5 * (len(words) + 1))), "grams": pieces, "gram_logs": gram_logs}
 
 
 class Scorer:
     """Scores texts with a model; keeps the last unseen words it has looked up."""
 
     def __init__(self, model: dict):
-        self.langs, self.grams, self.prior = model["langs"], model["grams"], np.array(model["prior"])
+        self.langs, self.prior = model["langs"], np.array(model["prior"])
+        self.grams = dict(zip(model["grams"], map(tuple, model["gram_logs"].tolist())))
         self.known = len(model["words"])
         self.at = {w: i for i, w in enumerate(model["words"])}
         self.table = np.zeros((self.known + REMEMBERED, max(1, len(self.langs))))
         if self.known:
-            self.table[:self.known] = list(model["words"].values())
+            self.table[:self.known] = model["word_logs"]
         self.base = dict(self.at)
 
-    def backed_off(self, word: str) -> np.ndarray:
-        marked = f"^{word}$"
+    def backed_off(self, word: str) -> list[float]:
+        marked, get = f"^{word}$", self.grams.get
         for size in range(LONGEST_GRAM, 0, -1):
-            found = [g for i in range(len(marked) - size + 1) if (g := self.grams.get(marked[i:i + size]))]
+            found = [g for i in range(len(marked) - size + 1) if (g := get(marked[i:i + size]))]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+                n = len(found)
+                return [sum(of_lang) / n for of_lang in zip(*found)]
+        return [0.0] * len(self.langs)
 
     def place(self, word: str) -> int:
         if len(self.at) >= len(self.table):
