@@ -16,8 +16,9 @@ from .arrays import let, running
 
 BLANK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Units of fewer words are never removed: short lines meet by chance.
-MIN_WORDS = 8
+#: Units of fewer words are left alone. Every unit with a word counts; a higher floor is an option of
+#: the caller.
+MIN_WORDS = 1
 
 
 def units(docs: DataFrame, separator: str, min_words: int) -> DataFrame:
@@ -34,7 +35,7 @@ def units(docs: DataFrame, separator: str, min_words: int) -> DataFrame:
             .select("doc_id", F.md5("text").alias("key"), F.explode(let(F.split("text", quoted, -1), placed)).alias("u"))
             .select("doc_id", "key", "u.*"))
     normal = F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), BLANK, " "))
-    return (each.withColumn("text", normal).where(F.size(F.split("text", " ")) >= min_words)
+    return (each.withColumn("text", normal).where((F.col("text") != "") & (F.size(F.split("text", " ")) >= min_words))
             .select("doc_id", "key", "unit", "start", "end", F.unhex(F.md5("text")).alias("digest")))
 
 
@@ -67,16 +68,16 @@ def remove_repeats(docs: DataFrame, separator: str = "\n", min_words: int = MIN_
                          F.coalesce("gone", none).alias("repeats"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, n_lines (lines of at least MIN_WORDS words), n_removed,
+def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per row of documents: doc_id, n_lines (lines of at least ``min_words`` words), n_removed,
     chars_removed, spans (start:end of removed lines, comma-joined)."""
     docs = docs.select("doc_id", "text")
-    gone = (repeated_units(docs).groupBy(F.col("doc_id").alias("gone_doc"), "key")
+    gone = (repeated_units(docs, min_words=min_words).groupBy(F.col("doc_id").alias("gone_doc"), "key")
             .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone")))
     words = r"[^\x20\x09-\x0D]+"
     lines = docs.select("doc_id", F.md5("text").alias("in_key"), F.size(F.filter(
         F.split(F.coalesce("text", F.lit("")), "\n"),
-        lambda x: F.regexp_count(x, F.lit(words)) >= MIN_WORDS)).cast("long").alias("n_lines"))
+        lambda x: F.regexp_count(x, F.lit(words)) >= max(min_words, 1))).cast("long").alias("n_lines"))
     joined = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("in_key") == F.col("key")), "left")
     spans = F.coalesce("gone", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
     return joined.select(

@@ -11,6 +11,8 @@ from .sql import SQL
 
 #: Vocabulary of op7; any byte-level BPE file of the same form will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The floor that the SQL of op6_line_dedup states; op6_every_line has none.
+LINE_WORDS = 8
 #: Documents of more tokens are over the limit.
 TOKEN_LIMIT = 1024
 
@@ -43,6 +45,10 @@ def op5_url_filters(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
+    return lines.digest(table(spark, sf_dir, "documents"), LINE_WORDS)
+
+
+def op6_every_line(spark, sf_dir):
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
@@ -72,7 +78,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pii, op2_suffix_array_dedup, op3_near_duplicates, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_token_counts, op8_language_id, op9_source_mix,
+    op1_pii, op2_suffix_array_dedup, op3_near_duplicates, op4_quality_rules, op5_url_filters, op6_line_dedup, op6_every_line, op7_token_counts, op8_language_id, op9_source_mix,
     op10_decontamination)}
 
 

@@ -74,3 +74,6 @@ select doc.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
   sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc left join words using (doc_id) left join items using (doc_id)""",
 }
+
+#: The same over every line with a word.
+SQL["op6_every_line"] = SQL["op6_line_dedup"].replace("where len(string_split(norm, ' ')) >= 8", "where norm <> ''")

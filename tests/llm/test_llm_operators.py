@@ -250,6 +250,16 @@ def test_lines_are_cut(clash):
     assert out[4].text is None and out[5].text == ""
 
 
+def test_short_lines_are_cut(spark):
+    texts = ["Menu\n\nHome\none of a kind", "other words\n menu \n\n\nhome", None, "", "\n \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in lines.remove_repeats(docs).collect()}
+    assert [out[i].text for i in range(5)] == [texts[0], "other words\n\n", None, "", "\n \n"]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.spans) for r in lines.digest(docs).collect()}
+    assert got == {0: (3, 0, ""), 1: (3, 2, "12:18,21:25"), 2: (0, 0, ""), 3: (0, 0, ""), 4: (0, 0, "")}
+    assert [r.text for r in lines.remove_repeats(docs, min_words=2).orderBy("doc_id").collect()] == texts
+
+
 # tokens
 
 def test_token_counts(docs, clash):
