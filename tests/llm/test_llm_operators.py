@@ -305,6 +305,17 @@ def test_language_of_awkward_texts(docs, clash, empty):
     assert language.identify(empty, model).count() == 0
 
 
+def test_language_does_not_depend_on_what_tasks_hold(spark):
+    rows = [(4 * i, t, x) for i, (t, x) in enumerate([("alpha beta beta gamma", "xx"), ("delta epsilon delta beta", "yy"), ("zeta", "yy")] * 4)]
+    rows += [(None, t, None) for t in ("gamma", "zeta", "gamma gamma", "gammb unseen", "zeta Zeta delta", "zeta", "ŋŋ", "", None, "7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = [C.in_order((r.doc_id, r.text, r.language.lang, r.language.score) for r in language.identify(docs, m).collect())
+              for m in (language.train(docs), language.train(docs, max_words=1, max_grams=2))]
+    assert judged[0] == judged[1]
+    of = {t: x for d, t, x, _ in judged[1] if d is None}
+    assert (of["gamma"], of["zeta"], of["gamma gamma"], of[""], of[None], of["7"]) == ("xx", "yy", "xx", "und", "und", "und")
+
+
 def test_language_ignores_held_out_and_unlabelled(spark):
     ids = spark.range(60).select("id", language.held_out(F.col("id")).alias("out")).collect()
     rows = [(r.id, "zzz yyy" if r.out else "aaa bbb", "xx" if r.out else "yy") for r in ids] + [(1000, "qqq", None), (None, "rrr", "ww")]
