@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .arrays import empty, let, running
 from .names import free_name
 
@@ -172,24 +173,30 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, let(merged(spans), cells)).otherwise(text)
 
 
-def redact_pii(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def redact_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns, personal data in ``text`` masked and ``n_chars``, if there is
     such a column, counted anew where the text has changed. No row is dropped; a null text stays null.
 
     A match that fails its check is not tried again, so masking its neighbour can leave one that now
-    passes ("+1 ... 4111 1111 ..."): the masked text goes through ``rounds`` rounds.
+    passes ("+1 ... 4111 1111 ..."): rows whose text has changed go through again until none has a
+    span left. Every round is written; it takes digits or an @ from each of its rows, so they end.
     """
-    first = docs
-    for _ in range(rounds):
-        found = find_pii(docs)
+    clean, todo = None, docs
+    while True:
+        found = find_pii(todo)
         spans = found.columns[-1]
         new = free_name(found, "masked")
         found = found.withColumn(new, masked(F.col("text"), F.col(spans)))
         cols = {"text": F.col(new)}
         if "n_chars" in docs.columns:
             cols["n_chars"] = F.when(F.size(spans) > 0, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-        docs = found.select(*[cols.get(c, F.col(c)).alias(c) for c in first.columns])
-    return docs
+        changed = free_name(docs, "changed")
+        out = materialise(found.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns], (F.size(spans) > 0).alias(changed)), "redacted")
+        rest = out.where(~F.col(changed)).drop(changed)
+        clean = rest if clean is None else clean.unionByName(rest)
+        todo = out.where(changed).drop(changed)
+        if todo.isEmpty():
+            return clean
 
 
 def digest(docs: DataFrame) -> DataFrame:

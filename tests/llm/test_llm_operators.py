@@ -72,6 +72,12 @@ def test_pii_masking_keeps_rows_and_columns(clash):
     assert {r.text for r in rows if r.doc_id in (4, 5)} == {None, ""}
 
 
+def test_pii_masking_goes_on_until_nothing_is_left(spark):
+    texts = ["+1 555 123 4567 (4111111111111111 10.0.0.1", "10.0.0.1", "plain", None]
+    out = pii.redact_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == {0: "[PHONE] ([CARD] [IP]", 1: "[IP]", 2: "plain", 3: None} and len(out) == 4
+
+
 # suffix arrays
 
 def test_suffix_array():
