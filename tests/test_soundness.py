@@ -120,3 +120,13 @@ def test_a_damaged_file_gives_no_fingerprints(spark):
     with pytest.raises(ValueError, match="1 bad lines, line 5"):
         store.strict_import(df)
     assert store.strict_import(df.where("line_no < 5")).count() == 1
+
+
+def test_table_fingerprint_sees_every_column(spark):
+    from workloads import q_fingerprint as Q
+    row = "1L l_orderkey, 1 l_linenumber, 2L l_partkey, 3L l_suppkey, 4.0D l_quantity, 5.25D l_extendedprice, 0.05D l_discount, 0.02D l_tax, 'A' l_returnflag, 'O' l_linestatus, timestamp'2020-01-02' l_shipdate"
+    items = spark.sql(f"select {row}")
+    change = {"l_partkey": "l_partkey + 1", "l_suppkey": "l_suppkey + 1", "l_quantity": "l_quantity + 1", "l_extendedprice": "l_extendedprice + 0.01D",
+              "l_discount": "l_discount + 0.01D", "l_tax": "l_tax + 0.01D", "l_linestatus": "'F'", "l_shipdate": "l_shipdate + interval 1 day"}
+    rows = [Q.whole_fingerprint(items).first()] + [Q.whole_fingerprint(items.withColumn(c, F.expr(x))).first() for c, x in change.items()]
+    assert len({r["acc"] for r in rows}) == len(change) + 1

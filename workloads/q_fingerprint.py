@@ -227,6 +227,28 @@ def table_fingerprint(spark, sf):
     return text_acc(out)
 
 
+WHOLE_SEED = ("sha256(" + net("l_orderkey", "l_linenumber") + "||'='||" + net(
+    "l_partkey", "l_suppkey", *[f"cast(round(l_{c}*100) as bigint)" for c in ("quantity", "extendedprice", "discount", "tax")],
+    "l_returnflag", "l_linestatus", "l_shipdate") + ")")
+
+
+@query("table_fingerprint_whole", f"""with s as (select l_returnflag, {WHOLE_SEED} h from lineitem), l as ({lanes_of('s')}),
+t as (select l_returnflag, lane, sum(x) v from l group by 1, 2)
+select l_returnflag, (select count(*) from lineitem i where i.l_returnflag = t.l_returnflag) "rows", {PACK} acc from t group by 1""")
+def table_fingerprint_whole(spark, sf):
+    """All line items with all their columns, one fingerprint per return flag."""
+    return whole_fingerprint(V.table(spark, sf, "lineitem"))
+
+
+def whole_fingerprint(items):
+    money = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    items = items.withColumns({c: F.round(F.col(c) * 100).cast("long") for c in money})
+    items = items.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+    out = FP.table_fingerprint(items, ["l_orderkey", "l_linenumber"], [
+        "l_partkey", "l_suppkey", *money, "l_returnflag", "l_linestatus", "l_shipdate"], ["l_returnflag"])
+    return text_acc(out)
+
+
 @query("table_replica_check", f"""with r as ({D(V.REPLICA)}),
 s as (select 'orders' side, sha256({net("o_orderkey")}||'='||{net("cast(round(o_totalprice*100) as bigint)")}) h from orders
       union all select 'replica', sha256({net("o_orderkey")}||'='||{net("cents")}) from r), l as ({lanes_of('s')}),
