@@ -54,13 +54,14 @@ def _refuse_lost_writes(changes: DataFrame, versions: DataFrame) -> None:
 
 
 def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int, new: int,
-           strict: bool = False, target: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
+           strict: bool = True, target: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
     """Cell history at grain ``new`` of every version, in one job.
 
     ``images`` = (dataset, ord, cell, payload): cells of each version's image at grain
     ``old``; ``changes`` = classified ranges. The log says which cells a version touches, the
     image says what is in them; sizes that shrink add tombstones and cut boundary cells. A write past
-    the end of its version fails the job if ``strict``, else ``writes_past_end`` names it.
+    the end of its version fails the job; without ``strict`` it is cut there, and the caller keeps what
+    ``writes_past_end`` lists.
 
     To resume, give the history that is there already, ``target`` at grain ``new``, and the version it
     is to be continued from, ``bases`` (dataset, base); a dataset without a base, or with a NULL

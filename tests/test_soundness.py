@@ -122,6 +122,18 @@ def test_a_damaged_file_gives_no_fingerprints(spark):
     assert store.strict_import(df.where("line_no < 5")).count() == 1
 
 
+def test_replay_refuses_writes_past_the_end_by_default(spark):
+    images = spark.createDataFrame([("d", 1, 0, bytearray(b"a" * 16))], "dataset string, ord int, cell long, payload binary")
+    v = spark.createDataFrame([("d", 1, 16)], "dataset string, ord int, size long")
+    bases = spark.createDataFrame([("d", 0)], "dataset string, base int")
+    for off, reason in ((16, "starts past the end"), (8, "runs past the end")):
+        ch = spark.createDataFrame([("d", 1, 1, "WRITE", off, 16)], "dataset string, ord int, seq long, op string, off long, len long")
+        with pytest.raises(ValueError, match=reason):
+            replay.replay(images, ch, v, 16, 16)
+        with pytest.raises(ValueError, match=reason):
+            replay.replay(images, ch, v, 16, 16, target=images.where("false"), bases=bases)
+
+
 def test_table_fingerprint_sees_every_column(spark):
     from workloads import q_fingerprint as Q
     row = "1L l_orderkey, 1 l_linenumber, 2L l_partkey, 3L l_suppkey, 4.0D l_quantity, 5.25D l_extendedprice, 0.05D l_discount, 0.02D l_tax, 'A' l_returnflag, 'O' l_linestatus, timestamp'2020-01-02' l_shipdate"
