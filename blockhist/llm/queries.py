@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, minhash, mixing, pii, quality, repeats, tokens, urls
+from . import common_lines, decontaminate, language, lines, manifest, minhash, mixing, pii, quality, repeats, tokens, urls, vector_codes
 from .names import table
 from .sql import SQL
 
@@ -77,9 +77,21 @@ def op10_decontamination(spark, sf_dir):
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op11_line_dedup(spark, sf_dir):
+    return common_lines.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_suffix_array_dedup, op3_near_duplicates, op4_quality_rules, op5_url_filters, op6_line_dedup, op6_every_line, op7_token_counts, op8_language_id, op9_source_mix,
-    op10_decontamination)}
+    op10_decontamination, op11_line_dedup, op12_vector_codes, op13_merkle_manifest)}
 
 
 def load():

@@ -1,5 +1,7 @@
 """The registered queries in DuckDB's SQL, where SQL can state them."""
 
+from . import sql_unrolled
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL = {
@@ -77,3 +79,4 @@ from doc left join words using (doc_id) left join items using (doc_id)""",
 
 #: The same over every line with a word.
 SQL["op6_every_line"] = SQL["op6_line_dedup"].replace("where len(string_split(norm, ' ')) >= 8", "where norm <> ''")
+SQL |= sql_unrolled.SQL
