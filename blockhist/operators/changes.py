@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.cells import generated
+from ..functions.cells import generated, idiv
+from .ranges import cells_in_ranges
 
 # Fixed values of the change-log format.
 IGNORED_KEYWORDS = ["BEGIN", "END", "OBJECT"]
@@ -96,10 +97,64 @@ def writes_past_end(changes: DataFrame, versions: DataFrame, size: str = "size")
             .select("dataset", "ord", "seq", "off", "len", "reason"))
 
 
+#: Bytes of a page on which writes past the end meet the frees that may remove them.
+PAGE = 1 << 20
+
+
+def _end(top: Column) -> Column:
+    """End of a range, at most ``top``; an open range ends there. No sum that could overflow."""
+    room = F.greatest(top - F.col("off"), F.lit(0).cast("long"))
+    return F.col("off") + F.when((F.col("len") < 0) | (F.col("len") > room), room).otherwise(F.col("len"))
+
+
+def lost_writes(changes: DataFrame, versions: DataFrame, size: str = "size") -> DataFrame:
+    """Writes of which bytes past the end of their version are left after all its later frees:
+    ``(dataset, ord, seq, off, len, reason)``.
+
+    A version that was bigger for a while logs writes that it takes back before it ends; its log is
+    right all the same. Most are taken back by one free that covers everything past the end, found by
+    an aggregate. The others meet later frees page by page: what the frees leave is judged by the ends
+    of the frees before each one in the order of their starts.
+    """
+    key = ["dataset", "ord"]
+    bad = writes_past_end(changes, versions, size).filter("off >= 0")
+    tops = changes.filter("op = 'WRITE' and len > 0").groupBy(*key).agg(
+        F.max(F.col("off") + F.least(F.col("len"), F.lit((1 << 62) - 1) - F.col("off"))).alias("_top"))
+    sizes = versions.select(*key, F.col(size).alias("_size"))
+    frees = (changes.filter("op = 'FREE' and len <> 0").join(tops, key).join(sizes, key)
+             .withColumn("_to", _end(F.col("_top"))).filter("_to > _size and _to > off"))
+    cover = frees.groupBy(*key).agg(F.max(F.when(F.expr("off <= _size and _to >= _top"), F.col("seq"))).alias("_tail"),
+                                    F.sum(F.expr("_to - greatest(off, _size)")).alias("_freed"))
+    left = (bad.join(cover, key, "left").join(sizes, key, "left")
+            .filter("_tail is null or seq > _tail")
+            .withColumn("_from", F.greatest("off", F.coalesce("_size", F.lit(0))))
+            .withColumn("_long", F.expr("coalesce(_freed, 0) < len - (_from - off)")))
+    # more bytes than all frees together hold, or no frees at all: nothing to look up
+    surely = left.filter("_long or _size is null").select(*bad.columns)
+    open_ = left.filter("not _long and _size is not null")
+    pieces = open_.select(*bad.columns, "_from", (F.col("off") + F.col("len")).alias("_to"), F.explode(
+        F.sequence(idiv("_from", PAGE), idiv(F.col("off") + F.col("len") - 1, PAGE))).alias("_page"))
+    pieces = pieces.withColumns({"_from": F.greatest(F.col("_from"), F.col("_page") * PAGE),
+                                 "_to": F.least(F.col("_to"), F.col("_page") * PAGE + PAGE)})
+    wanted = pieces.select("dataset", "_page").distinct()
+    spans = frees.select(*key, "seq", F.greatest("off", "_size").alias("off"), "_to").withColumn("len", F.expr("_to - off"))
+    met = (cells_in_ranges(spans, wanted.withColumnRenamed("_page", "cell"), PAGE)
+           .groupBy(*key, F.col("cell").alias("_page"), F.greatest("off", F.col("cell") * PAGE).alias("_a"),
+                    F.least("_to", F.col("cell") * PAGE + PAGE).alias("_b")).agg(F.max("seq").alias("_seq")))
+    pairs = (pieces.join(met, key + ["_page"], "left")
+             .withColumns({c: F.when(F.expr("_seq > seq and _a < _to and _b > _from"), F.col(c)) for c in ("_a", "_b")}))
+    line = Window.partitionBy(*key, "seq", "_page").orderBy(F.col("_a").asc_nulls_last())
+    reached = F.coalesce(F.max("_b").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.col("_from"))
+    gaps = (pairs.withColumn("_gap", F.col("_a").isNotNull() & (F.col("_a") > F.greatest(reached, "_from")))
+            .groupBy(*bad.columns, "_page", "_from", "_to").agg(F.max("_gap").alias("_gap"), F.max("_b").alias("_b"))
+            .filter("_gap or _b is null or _b < _to"))
+    return surely.unionByName(gaps.select(*bad.columns).distinct())
+
+
 def clamp_ranges(changes: DataFrame, versions: DataFrame, size: str = "size") -> DataFrame:
     """Cut ranges at the version's size; an open or overlong range ends there.
 
-    Ranges that start at or past the end, or are empty, go; ``writes_past_end`` lists the writes
+    Ranges that start at or past the end, or are empty, go; ``lost_writes`` lists the writes
     that lose bytes by this. ``size`` names the column to cut
     by: the version's own size, or the one rounded up to the new grain.
     """

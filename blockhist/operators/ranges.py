@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ordered
 from ..functions.cells import align_size, idiv
+from ..session import materialise
 
 #: cells enumerated by one generated row; longer ranges are first cut into spans, twice
 SPANS = (1 << 24, 1 << 12)
@@ -151,3 +152,50 @@ def cells_in_ranges(ranges: DataFrame, cells: DataFrame, cell_size: int) -> Data
     return (c.join(r, ["dataset", "_level", "_block"])
             .withColumn("covered", (at >= F.col("off")) & (at + cell_size <= F.col("off") + F.col("len")))
             .drop("_level", "_block"))
+
+
+def _edges(frees: DataFrame, cell_size: int) -> DataFrame:
+    """The cells that a free reaches into without covering them: two at most."""
+    lo, hi = idiv("off", cell_size), idiv(F.col("off") + F.col("len") - 1, cell_size)
+    left = F.when(F.col("off") > lo * cell_size, lo)
+    right = F.when(F.col("off") + F.col("len") < (hi + 1) * cell_size, hi)
+    return frees.select("dataset", "ord", "seq", F.explode(F.array_distinct(F.array_compact(F.array(left, right)))).alias("cell"))
+
+
+def resolve_touches(changes: DataFrame, cell_size: int, chunk: Column | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The last touch of every cell in every version: ``(dataset, ord, cell, seq, op, covered)``.
+
+    Writes are enumerated, their bytes are read anyway; so are the two edges of a free. A free over whole
+    cells is not: it ends the life of cells, and each touch asks for the first free after it that covers
+    its cell. The free becomes aligned blocks of a few sizes, a touch names its block of each size, and on the line of a block, from
+    the last version back to the first, the free seen last is the answer. So the rows are the touches and
+    at most one free for each of them, whatever number of frees reaches a cell; a free over holes leaves none.
+
+    ``known`` = (dataset, cell, ord): cells that are live at ``ord`` already. ``chunk`` cuts long lines
+    (``ordered.history_chunk``).
+    """
+    frees = changes.filter("op = 'FREE'")
+    writes = ranges_to_cells(changes.filter("op = 'WRITE'"), cell_size, spread=True).groupBy("dataset", "ord", "cell").agg(
+        F.max("seq").alias("seq"))
+    touches = (writes.withColumn("op", F.lit("WRITE"))
+               .unionByName(_edges(frees, cell_size).withColumn("op", F.lit("FREE"))).withColumn("covered", F.lit(False)))
+    live = touches.select("dataset", "cell", "ord", "seq")
+    if known is not None:
+        live = live.unionByName(known.select("dataset", "cell", "ord", F.lit(-1).cast("long").alias("seq")))
+    whole = (frees.withColumn("_lo", idiv(F.col("off") + (cell_size - 1), cell_size))
+             .withColumn("_hi", idiv(F.col("off") + F.col("len"), cell_size) - 1).filter("_lo <= _hi"))
+    # written: read twice, and small enough to be broadcast unless the log is mostly frees
+    blocks = materialise(whole.select("dataset", "ord", "seq", F.inline(_blocks())), "free-blocks")
+    ups = ", ".join(f"struct({n} as _level, shiftright(cell, {n}) as _block)" for n in BLOCK_LEVELS)
+    line = ["dataset", "_level", "_block"]
+    asked = live.select("*", F.expr(f"inline(array({ups}))")).join(blocks.select(*line).distinct(), line, "left_semi")
+    at = F.struct((-F.col("ord")).alias("o"), (-F.col("seq")).alias("s"))
+    both = (asked.withColumn("_free", F.lit(None).cast("struct<ord:int,seq:bigint>"))
+            .unionByName(blocks.withColumn("_free", F.struct(F.col("ord").cast("int").alias("ord"), "seq")), allowMissingColumns=True)
+            .withColumn("_at", at))
+    # time runs backwards, and so do the chunks
+    answered = ordered.carry_forward(both, line, "_at", ["_free"], None if chunk is None else -chunk).filter("cell is not null and _free is not null")
+    ended = (answered.groupBy("dataset", "cell", "ord", "seq").agg(F.min("_free").alias("_free"))
+             .select("dataset", F.col("_free.ord").alias("ord"), "cell", F.col("_free.seq").alias("seq"),
+                     F.lit("FREE").alias("op"), F.lit(True).alias("covered")))
+    return dedupe_cells(touches.unionByName(ended), ["seq", "op", "covered"])

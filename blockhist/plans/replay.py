@@ -4,30 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import ordered
 from ..functions.cells import is_hole
-from ..operators.changes import clamp_ranges, writes_past_end
+from ..operators.changes import clamp_ranges, lost_writes
 from ..operators.history import apply_resize
-from ..operators.ranges import cells_in_ranges, dedupe_cells, ranges_to_cells
+from ..operators.ranges import resolve_touches
 from ..operators.regrain import assemble, drop_unchanged, overlay_cells, ratio, to_finer
 from ..session import materialise
 
 KEYS = ["dataset", "ord"]
-
-
-def touched_cells(changes: DataFrame, grain: int, known: DataFrame | None = None) -> DataFrame:
-    """Cells touched per version, last touch wins: ``(dataset, ord, cell, op, covered)``.
-
-    Writes are enumerated (their bytes are read anyway). Frees may span any distance, so
-    they are matched with the cells that are ever written instead, and with the ``known`` ones
-    (dataset, cell) of a resumed run.
-    """
-    writes = ranges_to_cells(changes.filter("op = 'WRITE'"), grain, spread=True).select(
-        *KEYS, "cell", "seq", "op", "covered")
-    ever = writes.select("dataset", "cell")
-    ever = (ever if known is None else ever.unionByName(known)).distinct()
-    frees = cells_in_ranges(changes.filter("op = 'FREE'"), ever, grain).select(
-        *KEYS, "cell", "seq", "op", "covered")
-    return dedupe_cells(writes.unionByName(frees), ["seq", "op", "covered"])
+#: Offending records named in an error.
+SHOWN = 8
 
 
 def image_at_grain(images: DataFrame, wanted: DataFrame, old: int, new: int) -> DataFrame:
@@ -47,10 +34,24 @@ def image_at_grain(images: DataFrame, wanted: DataFrame, old: int, new: int) ->
     return pieces.filter(F.col("payload").isNotNull())
 
 
-def _refuse_lost_writes(changes: DataFrame, versions: DataFrame) -> None:
-    lost = writes_past_end(changes, versions).limit(8).collect()
-    if lost:
-        raise ValueError("; ".join(f"{r['dataset']}@{r['ord']}: write of {r['len']} at {r['off']} {r['reason']}" for r in lost))
+def _clamped(changes: DataFrame, versions: DataFrame, strict: bool) -> DataFrame:
+    """The ranges of the log, cut at their version's size. Written: they are read several times."""
+    changes = materialise(changes.select(*KEYS, "seq", "op", "off", "len"), "log")
+    if strict:
+        lost = lost_writes(changes, versions).limit(SHOWN).collect()
+        if lost:
+            raise ValueError("; ".join(f"{r['dataset']}@{r['ord']}: write of {r['len']} at {r['off']} {r['reason']}" for r in lost))
+    return clamp_ranges(changes, versions)
+
+
+def _content(touched: DataFrame, images: DataFrame, old: int, new: int) -> DataFrame:
+    """Cells ``(dataset, ord, cell, payload)`` as the touches leave them; payload NULL = a hole."""
+    # the touches are read twice, and what they came from is no small plan
+    touched = materialise(touched, "touched")
+    wanted = touched.filter("op = 'WRITE' or not covered").select(*KEYS, "cell")
+    rows = overlay_cells(touched, image_at_grain(images, wanted, old, new)).select(*KEYS, "cell", "payload")
+    # the rebuilt content is read by two branches later: written once
+    return materialise(rows.withColumn("payload", F.when(~is_hole("payload", new), F.col("payload"))), "rebuilt")
 
 
 def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int, new: int,
@@ -60,27 +61,19 @@ def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int,
     ``images`` = (dataset, ord, cell, payload): cells of each version's image at grain
     ``old``; ``changes`` = classified ranges. The log says which cells a version touches, the
     image says what is in them; sizes that shrink add tombstones and cut boundary cells. A write past
-    the end of its version fails the job; without ``strict`` it is cut there, and the caller keeps what
-    ``writes_past_end`` lists.
+    the end of its version fails the job, unless later frees of the same version take back what is past it;
+    without ``strict`` it is cut there, and the caller keeps what ``lost_writes`` lists.
 
     To resume, give the history that is there already, ``target`` at grain ``new``, and the version it
     is to be continued from, ``bases`` (dataset, base); a dataset without a base, or with a NULL
     one, starts anew. Only later changes are read; of the target, rows after the base are replaced
     and of those before it just the state of the cells at the base is. The result is the whole history.
     """
+    versions = materialise(versions.select(*KEYS, "size"), "sizes")
     if target is not None:
         return _resumed(images, changes, versions, old, new, strict, target, bases)
-    if target is not None:
-        return _resumed(images, changes, versions, old, new, strict, target, bases)
-    if strict:
-        _refuse_lost_writes(changes, versions)
-    clamped = clamp_ranges(changes, versions)
-    touched = touched_cells(clamped, new)
-    content = image_at_grain(images, touched.select(*KEYS, "cell"), old, new)
-    rows = overlay_cells(touched, content).select("dataset", "ord", "cell", "payload")
-    rows = rows.withColumn("payload", F.when(~is_hole("payload", new), F.col("payload")))
-    # the rebuilt content is read by two branches below: written once
-    rows = materialise(rows, "rebuilt")
+    touched = resolve_touches(_clamped(changes, versions, strict), new, ordered.history_chunk(versions))
+    rows = _content(touched, images, old, new)
     return drop_unchanged(apply_resize(rows, versions, new), versions, new)
 
 
@@ -90,15 +83,11 @@ def _resumed(images, changes, versions, old, new, strict, target, bases) -> Data
     def later(df: DataFrame) -> DataFrame:
         return df.join(points, "dataset", "left").filter("base is null or ord > base").drop("base")
     kept = target.select(*KEYS, "cell", "payload").join(points, "dataset").filter("ord <= base").drop("base")
-    if strict:
-        _refuse_lost_writes(later(changes), versions)
-    clamped = clamp_ranges(later(changes), versions)
-    touched = touched_cells(clamped, new, kept.select("dataset", "cell"))
-    content = image_at_grain(later(images), touched.select(*KEYS, "cell"), old, new)
-    rows = overlay_cells(touched, content).select(*KEYS, "cell", "payload")
-    rows = materialise(rows.withColumn("payload", F.when(~is_hole("payload", new), F.col("payload"))), "rebuilt")
     # the state at the base: what the first later change of a cell, or a shrink, is compared with
     newest = kept.groupBy("dataset", "cell").agg(F.max("ord").alias("ord"))
-    state = kept.join(newest, ["dataset", "cell", "ord"])
+    state = materialise(kept.join(newest, ["dataset", "cell", "ord"]), "state")
+    live = state.filter("payload is not null").select("dataset", "cell", "ord")
+    touched = resolve_touches(_clamped(later(changes), versions, strict), new, ordered.history_chunk(versions), live)
+    rows = _content(touched, later(images), old, new)
     added = drop_unchanged(apply_resize(state.unionByName(rows), versions, new), versions, new)
     return kept.unionByName(later(added).select(*kept.columns))

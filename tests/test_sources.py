@@ -5,7 +5,7 @@ import random
 import pytest
 
 from blockhist.operators import changes as C
-from blockhist.sources import catalog, change_log, fingerprints as fp, history, images
+from blockhist.sources import catalog, change_log, fingerprints as fp, history, image_files, images
 
 LOG = """BEGIN record
     hdrtype = 1
@@ -135,3 +135,46 @@ def test_catalog_order_and_missing(spark):
         assert {r["snap"]: r["ord"] for r in catalog.version_catalog(df, chunked=chunked).collect()} == want
     all_ = spark.createDataFrame([("hot",), ("cold",), ("none",)], "dataset string")
     assert [r[0] for r in catalog.require_versions(all_, df).collect()] == ["none"]
+
+
+def test_image_files_in_splits(spark, tmp_path):
+    """Several splits per file, a tail shorter than a cell, holes, an empty image, odd names; the same as the images as rows."""
+    rnd = random.Random(3)
+    data = {("d", 1): rnd.randbytes(100_003), ("d", 2): bytes(50_000) + rnd.randbytes(7) + bytes(3 << 20) + b"end", ("a@b/c", 11): b"x",
+            ("empty", 1): b"", ("zero", 3): bytes(4096)}
+    rows = spark.createDataFrame([(n, o, b) for (n, o), b in data.items()], "dataset string, ord int, bytes binary")
+    cells = images.to_cells(rows, ["dataset", "ord"], "bytes", 512)
+    versions = spark.createDataFrame([(n, o, len(b)) for (n, o), b in data.items()], "dataset string, ord int, size long")
+    path = str(tmp_path / "images")
+    image_files.write_images(cells, versions, path, 512)
+    files = {f.name: f for f in (tmp_path / "images").iterdir()}
+    assert set(files) == {"d@1.img", "d@2.img", "a%40b%2Fc@11.img", "empty@1.img", "zero@3.img"}
+    assert all(files[f"{n}@{o}.img".replace("a@b/c", "a%40b%2Fc")].read_bytes() == b for (n, o), b in data.items())
+    assert files["d@2.img"].stat().st_blocks * 512 < 1 << 20          # holes take no room
+    want = sorted((r.dataset, r.ord, r.cell, bytes(r.payload)) for r in cells.collect())
+    for split in (512, 5000, 1 << 27):
+        back = image_files.read_images(spark, path, 512, split)
+        assert sorted((r.dataset, r.ord, r.cell, bytes(r.payload)) for r in back.collect()) == want
+    assert image_files.read_images(spark, path, 512, 5000).rdd.getNumPartitions() > 600
+    assert {r.dataset for r in image_files.read_images(spark, path, 512, files="d@*").collect()} == {"d"}
+    big = image_files.read_images(spark, path, 4096, 8192)
+    assert sorted((r.dataset, r.ord, r.cell, bytes(r.payload)) for r in big.collect()) == sorted(
+        (r.dataset, r.ord, r.cell, bytes(r.payload)) for r in images.to_cells(rows, ["dataset", "ord"], "bytes", 4096).collect())
+
+
+def test_image_above_two_gib(spark, tmp_path):
+    """A sparse file of 3 GiB: only its data is read."""
+    with open(tmp_path / "big@1.img", "wb") as f:
+        f.seek(3 << 30)
+        f.write(b"tail")
+        f.seek(5000)
+        f.write(b"head")
+    rows = image_files.read_images(spark, str(tmp_path), 4096).collect()
+    assert [(r.cell, bytes(r.payload).rstrip(b"\0")) for r in sorted(rows, key=lambda r: r.cell)] == [(1, bytes(904) + b"head"), ((3 << 30) // 4096, b"tail")]
+    assert image_files.read_images(spark, str(tmp_path), 4096).rdd.getNumPartitions() == 25
+
+
+def test_image_names_are_versions(spark, tmp_path):
+    (tmp_path / "noversion.img").write_bytes(b"x")
+    with pytest.raises(Exception, match="not an image of a version"):
+        image_files.read_images(spark, str(tmp_path), 512).collect()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from blockhist.functions.cells import is_hole
 from blockhist.operators import changes as C, policy
 from blockhist.session import scratch_path
-from blockhist.sources import catalog, change_log, fingerprints as fp_io, history as hist_io, images
+from blockhist.sources import catalog, change_log, fingerprints as fp_io, history as hist_io, image_files, images
 
 from . import views as V
 from .registry import query
@@ -128,6 +128,28 @@ def image_cells(spark, sf):
     return doc_cells(spark, sf).select("dataset", "ord", "cell", F.sha2("payload", 256).alias("digest"))
 
 
+PACKED = "select 'v'||cast(cast(substr(dataset, 2) as bigint) % 4 as string) volume, cast(substr(dataset, 2) as bigint) doc, ord, text from (" + V.DOC_VERSIONS + ") d"
+
+
+@query("image_file_cells", f"""with docs as (select volume, doc, ord, encode(text) b from ({D(PACKED)}) where octet_length(encode(text)) > 0),
+placed as (select *, sum((octet_length(b) + 511) // 512) over (partition by volume, ord order by doc) - (octet_length(b) + 511) // 512 first from docs),
+cut as (select volume, ord, first + c cell, rpad(hex(array_slice(b, c*512+1, c*512+512)), 1024, '0') h
+        from (select *, unnest(range(0, (octet_length(b)-1)//512+1)) c from placed))
+select volume dataset, ord, cast(cell as bigint) cell, sha256(unhex(h)) digest from cut where h <> repeat('0', 1024)""")
+def image_file_cells(spark, sf):
+    """All documents packed into four volumes of three versions, written as image files and read in splits of 64 KiB."""
+    docs = V.view(spark, sf, PACKED).withColumn("bytes", F.encode("text", "UTF-8")).filter("octet_length(bytes) > 0")
+    sized = docs.withColumn("n", F.expr("(octet_length(bytes) + 511L) div 512"))
+    places = ordered.running_sums(sized.select("volume", "doc", "ord", "n"), ["volume", "ord"], ["doc"], {"upto": "n"},
+                                  ordered.int_chunk("doc"))
+    cells = (images.to_cells(docs, ["volume", "doc", "ord"], "bytes", 512).join(places, ["volume", "doc", "ord"])
+             .select(F.col("volume").alias("dataset"), "ord", (F.col("cell") + F.col("upto") - F.col("n")).alias("cell"), "payload"))
+    versions = sized.groupBy(F.col("volume").alias("dataset"), "ord").agg((F.sum("n") * 512).alias("size"))
+    path = scratch_path(spark, "images")
+    image_files.write_images(cells, versions, path, 512)
+    return image_files.read_images(spark, path, 512, 1 << 16).select("dataset", "ord", "cell", F.sha2("payload", 256).alias("digest"))
+
+
 @query("history_round_trip", f"with {V.HIST} select dataset, ord, cell, payload from hist")
 def history_round_trip(spark, sf):
     path = scratch_path(spark, "history")
@@ -236,6 +258,19 @@ def quarantine_out_of_range(spark, sf):
     return C.writes_past_end(V.view(spark, sf, V.CHANGES), versions)
 
 
+@query("lost_writes", f"""with c as (select * from ({D(V.CHANGES)})),
+bad as (select *, off + len stop, greatest(off, {V.SPAN // 2}) start from c
+  where op = 'WRITE' and len <> 0 and (off >= {V.SPAN // 2} or len > {V.SPAN // 2} - off)),
+units as (select dataset, ord, seq, off, len, unnest(range(start // 512, stop // 512)) u from bad),
+left_ as (select distinct dataset, ord, seq, off, len from units x where not exists (select 1 from c f
+  where f.op = 'FREE' and f.dataset = x.dataset and f.ord = x.ord and f.seq > x.seq and f.off <= x.u * 512 and (f.len < 0 or f.off + f.len >= x.u * 512 + 512)))
+select dataset, ord, seq, off, len, case when off >= {V.SPAN // 2} then 'starts past the end' else 'runs past the end' end reason from left_""")
+def lost_writes(spark, sf):
+    """Of the writes that versions of half the size cannot hold, those that later frees do not take back."""
+    versions = change_versions(spark, sf).withColumn("size", F.lit(V.SPAN // 2).cast("long"))
+    return C.lost_writes(V.view(spark, sf, V.CHANGES), versions)
+
+
 def change_versions(spark, sf):
     """Versions of CHANGES; all have one size."""
     return (V.view(spark, sf, V.CHANGES).select("dataset", "ord").distinct()
