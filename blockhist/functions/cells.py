@@ -22,14 +22,15 @@ def zeros(n: int) -> Column:
 def is_hole(payload, cell_size: int | None = None) -> Column:
     """True for NULL, empty and all-zero payloads: the three spellings of a hole.
 
-    With ``cell_size`` the payload is compared with a slice of one literal, otherwise a
+    With ``cell_size`` the payload is compared with one literal (a short one with a slice of it), otherwise a
     zero string of the payload's own length is built.
     """
     p = col(payload)
     if cell_size is None:
         same = p == F.rpad(F.lit(b""), F.octet_length(p), F.lit(b"\0"))
     else:
-        same = p == F.substring(zeros(cell_size), F.lit(1), F.octet_length(p))
+        same = F.when(F.octet_length(p) == cell_size, p == zeros(cell_size)).otherwise(
+            p == F.substring(zeros(cell_size), F.lit(1), F.octet_length(p)))
     return p.isNull() | same
 
 
@@ -38,15 +39,18 @@ def hole_to_null(payload, cell_size: int | None = None) -> Column:
 
 
 def pad_cell(payload, cell_size: int) -> Column:
-    """Zero-pad a payload to the full cell."""
-    return F.rpad(col(payload), F.lit(cell_size), F.lit(b"\0"))
+    """Zero-pad a payload to the full cell; a full one is not copied."""
+    p = col(payload)
+    return F.when(F.octet_length(p) == cell_size, p).otherwise(F.rpad(p, F.lit(cell_size), F.lit(b"\0")))
 
 
 def full_cell(payload, cell_size: int) -> Column:
     """The payload as a full cell: what is missing reads as zero; a longer payload fails the job."""
     p = col(payload)
     text = F.concat(F.lit(f"payload longer than the cell of {cell_size} bytes: "), F.octet_length(p).cast("string"))
-    return F.when(F.octet_length(p) > cell_size, F.raise_error(text).cast("binary")).otherwise(pad_cell(p, cell_size))
+    return (F.when(F.octet_length(p) == cell_size, p)
+            .when(F.octet_length(p) > cell_size, F.raise_error(text).cast("binary"))
+            .otherwise(F.rpad(p, F.lit(cell_size), F.lit(b"\0"))))
 
 
 def align_size(size, grain: int) -> Column:

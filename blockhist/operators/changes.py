@@ -82,6 +82,21 @@ def strict_changes(records: DataFrame) -> DataFrame:
     return j.withColumn("op", op).filter(F.col("op").isNotNull()).select("dataset", "ord", "seq", "op", "off", "len")
 
 
+def past_end(size: Column) -> Column:
+    """Why a version of this size cannot hold a record; NULL for frees and for writes that fit."""
+    reason = (F.when(size.isNull(), "no such version").when(F.col("off") >= size, "starts past the end")
+               .when(F.col("len") > size - F.col("off"), "runs past the end"))
+    return F.when(F.expr("op = 'WRITE' and len <> 0"), reason)
+
+
+def cut_at(changes: DataFrame, size: Column) -> DataFrame:
+    """Ranges cut at ``size``; what starts there or later, or is empty, goes."""
+    room = size - F.col("off")
+    # compare with the room left instead of off + len, which may overflow
+    cut = F.when((F.col("len") < 0) | (F.col("len") > room), room).otherwise(F.col("len"))
+    return changes.filter((F.col("off") < size) & (F.col("len") != 0)).withColumn("len", cut)
+
+
 def writes_past_end(changes: DataFrame, versions: DataFrame, size: str = "size") -> DataFrame:
     """Writes that the version cannot hold: ``(dataset, ord, seq, off, len, reason)``.
 
@@ -89,11 +104,8 @@ def writes_past_end(changes: DataFrame, versions: DataFrame, size: str = "size")
     without a word. A free may reach past the end, and a write up to the end (-1) fits any size.
     """
     sizes = versions.select("dataset", "ord", F.col(size).alias("_size"))
-    reason = (F.when(F.col("_size").isNull(), "no such version")
-               .when(F.col("off") >= F.col("_size"), "starts past the end")
-               .when((F.col("len") > F.col("_size") - F.col("off")), "runs past the end"))
-    return (changes.filter("op = 'WRITE' and len <> 0").join(sizes, ["dataset", "ord"], "left")
-            .withColumn("reason", reason).filter("reason is not null")
+    return (changes.join(sizes, ["dataset", "ord"], "left")
+            .withColumn("reason", past_end(F.col("_size"))).filter("reason is not null")
             .select("dataset", "ord", "seq", "off", "len", "reason"))
 
 
@@ -159,12 +171,7 @@ def clamp_ranges(changes: DataFrame, versions: DataFrame, size: str = "size") ->
     by: the version's own size, or the one rounded up to the new grain.
     """
     sizes = versions.select("dataset", "ord", F.col(size).alias("_size"))
-    room = F.col("_size") - F.col("off")
-    # compare with the room left instead of off + len, which may overflow
-    cut = F.when((F.col("len") < 0) | (F.col("len") > room), room).otherwise(F.col("len"))
-    return (changes.join(sizes, ["dataset", "ord"])
-            .filter((F.col("off") < F.col("_size")) & (F.col("len") != 0))
-            .withColumn("len", cut).drop("_size"))
+    return cut_at(changes.join(sizes, ["dataset", "ord"]), F.col("_size")).drop("_size")
 
 
 def change_stats(changes: DataFrame) -> DataFrame:

@@ -67,40 +67,51 @@ def shrinks(versions: DataFrame) -> DataFrame:
     return prev.filter("size < prev_size").select("dataset", F.col("ord").alias("at"), "size", "prev_size")
 
 
-def apply_resize(history: DataFrame, versions: DataFrame, cell_size: int) -> DataFrame:
-    """Add the rows that shrinking versions imply.
+def cut_rows(rows: DataFrame, versions: DataFrame, cell_size: int, chunk) -> DataFrame:
+    """What shrinks leave of the rows ``(dataset, ord, cell, live)`` they meet: ``(dataset, ord, cell, at, _least)``.
 
-    A shrink turns live cells past the new end into holes and cuts the boundary cell; what
-    is regrown later reads as zero. A shrink meets the cells (not the rows) it reaches; on the
-    line of its cell it then finds the one row that holds at that moment. So the work is rows
-    plus shrunk cells, not rows times shrinks. Of several shrinks that meet one row the cell
-    keeps the smallest part that any of them left over.
+    A shrink meets the cells (not the rows) it reaches; on the line of its cell it then finds the one row
+    that holds at that moment. So the work is rows plus shrunk cells, not rows times shrinks. Of several shrinks
+    that meet one row the cell keeps the smallest part that any of them left over.
     """
-    rows = history.select("dataset", "ord", "cell", "payload")
     lost = shrinks(versions).withColumn("off", F.col("size")).withColumn("len", F.col("prev_size") - F.col("size"))
     met = cells_in_ranges(lost, rows.select(*KEY).distinct(), cell_size).select(
         *KEY, F.col("at").alias("ord"), "size", (F.col("at").cast("long") * 2 + 1).alias("_o"))
     # a row stands before a shrink of its own version: what that version writes is not cut by it
-    known = rows.select(*KEY, "ord", (F.col("ord").cast("long") * 2).alias("_o"),
-                        F.struct("ord", F.isnotnull("payload").alias("live")).alias("_row"))
-    line = ordered.carry_forward(known.unionByName(met, allowMissingColumns=True), KEY, "_o", ["_row"],
-                                 ordered.history_chunk(versions))
+    known = rows.select(*KEY, "ord", (F.col("ord").cast("long") * 2).alias("_o"), F.struct("ord", "live").alias("_row"))
+    line = ordered.carry_forward(known.unionByName(met, allowMissingColumns=True), KEY, "_o", ["_row"], chunk)
     hit = line.filter("_o % 2 = 1 and _row.live and _row.ord < ord").select(
         *KEY, F.col("_row.ord").alias("ord"), F.col("ord").alias("at"), "size")
     kept = F.greatest(F.col("size") - F.col("cell") * cell_size, F.lit(0)).cast("long")
     w = Window.partitionBy(*KEY, "ord").orderBy("at")
-    cut = (hit.select(*KEY, "ord", "at", F.least(kept, F.lit(cell_size)).alias("_keep"))
-           .withColumn("_least", F.min("_keep").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("_was", F.lag("_least").over(w))
-           .filter(F.col("_was").isNull() | (F.col("_least") < F.col("_was"))))
+    return (hit.select(*KEY, "ord", "at", F.least(kept, F.lit(cell_size)).alias("_keep"))
+            .withColumn("_least", F.min("_keep").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_was", F.lag("_least").over(w))
+            .filter(F.col("_was").isNull() | (F.col("_least") < F.col("_was")))
+            .select(*KEY, "ord", "at", "_least"))
+
+
+def apply_resize(history: DataFrame, versions: DataFrame, cell_size: int) -> DataFrame:
+    """Add the rows that shrinking versions imply.
+
+    A shrink turns live cells past the new end into holes and cuts the boundary cell; what
+    is regrown later reads as zero.
+    """
+    rows = history.select("dataset", "ord", "cell", "payload")
+    narrow = rows.select("dataset", "ord", "cell", F.isnotnull("payload").alias("live"))
+    return rows.unionByName(resize_rows(rows, narrow, versions, cell_size))
+
+
+def resize_rows(rows: DataFrame, narrow: DataFrame, versions: DataFrame, cell_size: int) -> DataFrame:
+    """The rows that shrinking versions add to ``rows``; ``narrow`` = (dataset, ord, cell, live) of the same rows."""
     # written once: its size is known then, and payloads are fetched for the few cut cells only
-    cut = materialise(cut.select(*KEY, "ord", "at", "_least"), "cuts")
+    cut = materialise(cut_rows(narrow, versions, cell_size, ordered.history_chunk(versions)), "cuts")
     holes = cut.filter("_least = 0").select("dataset", F.col("at").alias("ord"), "cell",
                                             F.lit(None).cast("binary").alias("payload"))
     short = pad_cell(F.substring("payload", F.lit(1), F.col("_least").cast("int")), cell_size)
     parts = (rows.join(cut.filter("_least > 0"), KEY + ["ord"])
              .select("dataset", F.col("at").alias("ord"), "cell", hole_to_null(short, cell_size).alias("payload")))
-    return rows.unionByName(holes).unionByName(parts)
+    return holes.unionByName(parts)
 
 
 def _digest(history: DataFrame) -> DataFrame:

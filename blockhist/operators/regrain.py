@@ -85,14 +85,25 @@ def regrain_history(history: DataFrame, versions: DataFrame, old: int, new: int)
             .select("dataset", "ord", "cell", "payload"))
 
 
+def with_digest(rows: DataFrame, cell_size: int | None = None) -> DataFrame:
+    """Add ``digest``, the SHA-256 of the payload, NULL for a hole: what later steps compare instead of payloads."""
+    return rows.withColumn("digest", F.when(~is_hole("payload", cell_size), F.unhex(F.sha2("payload", 256))))
+
+
 def drop_unchanged(history: DataFrame, versions: DataFrame, cell_size: int | None = None) -> DataFrame:
     """Remove rows whose content equals the cell's content before (a hole, if none).
 
     Only 32-byte digests go through the ordering shuffle next to the row's own payload.
     """
-    marked = history.withColumn("_d", F.when(~is_hole("payload", cell_size), F.sha2("payload", 256)))
-    prev = ordered.previous(marked, ["dataset", "cell"], "ord", {"_pd": "_d"}, ordered.history_chunk(versions))
-    return prev.filter(~F.col("_d").eqNullSafe(F.col("_pd"))).drop("_d", "_pd")
+    prev = ordered.previous(with_digest(history, cell_size), ["dataset", "cell"], "ord", {"_pd": "digest"},
+                            ordered.history_chunk(versions))
+    return prev.filter(~F.col("digest").eqNullSafe(F.col("_pd"))).drop("digest", "_pd")
+
+
+def unchanged_rows(narrow: DataFrame, chunk) -> DataFrame:
+    """Keys of the rows ``(dataset, ord, cell, digest)`` that :func:`drop_unchanged` removes."""
+    prev = ordered.previous(narrow, ["dataset", "cell"], "ord", {"_pd": "digest"}, chunk)
+    return prev.filter(F.col("digest").eqNullSafe(F.col("_pd"))).select("dataset", "ord", "cell")
 
 
 def overlay_cells(touched: DataFrame, image_cells: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import ordered
-from ..functions.cells import is_hole
-from ..operators.changes import clamp_ranges, lost_writes
-from ..operators.history import apply_resize
+from ..functions.cells import idiv
+from ..operators.changes import cut_at, lost_writes, past_end
+from ..operators.history import resize_rows
 from ..operators.ranges import resolve_touches
-from ..operators.regrain import assemble, drop_unchanged, overlay_cells, ratio, to_finer
+from ..operators.regrain import assemble, overlay_cells, ratio, to_finer, unchanged_rows, with_digest
 from ..session import materialise
 
 KEYS = ["dataset", "ord"]
@@ -20,38 +20,58 @@ SHOWN = 8
 def image_at_grain(images: DataFrame, wanted: DataFrame, old: int, new: int) -> DataFrame:
     """Content of the ``wanted`` cells (new grain) from image cells kept at the old grain.
 
-    Only image cells under a wanted cell pass the semi join, before anything is re-cut.
+    Only image cells under a wanted cell pass the semi join, before anything is re-cut. Small cells are
+    joined by the cell they go into, the key they are assembled by: their bytes are shuffled once.
     """
     if new == old:
         return images.join(wanted, KEYS + ["cell"], "left_semi")
     if new > old:
         k = ratio(new, old)
-        parts = wanted.select(*KEYS, F.explode(F.sequence(F.col("cell") * k, F.col("cell") * k + (k - 1))).alias("cell"))
-        return assemble(images.join(parts, KEYS + ["cell"], "left_semi"), KEYS, old, new)
+        parts = images.withColumn("_t", idiv("cell", k)).join(wanted.withColumnRenamed("cell", "_t"), KEYS + ["_t"], "left_semi")
+        return assemble(parts, KEYS, old, new)
     k = ratio(old, new)
-    parents = wanted.select(*KEYS, F.call_function("div", F.col("cell"), F.lit(k)).alias("cell")).distinct()
+    parents = wanted.select(*KEYS, idiv("cell", k).alias("cell")).distinct()
     pieces = to_finer(images.join(parents, KEYS + ["cell"], "left_semi"), old, new)
     return pieces.filter(F.col("payload").isNotNull())
 
 
-def _clamped(changes: DataFrame, versions: DataFrame, strict: bool) -> DataFrame:
-    """The ranges of the log, cut at their version's size. Written: they are read several times."""
-    changes = materialise(changes.select(*KEYS, "seq", "op", "off", "len"), "log")
-    if strict:
-        lost = lost_writes(changes, versions).limit(SHOWN).collect()
+def _clamped(changes: DataFrame, sizes: DataFrame, strict: bool) -> DataFrame:
+    """The ranges of the log, cut at their version's size. Written: they are read several times. Writes past
+    the end are counted on the way; only a log that has any is looked into."""
+    log = changes.select(*KEYS, "seq", "op", "off", "len").join(sizes, KEYS, "left")
+    seen = Observation()
+    past = F.sum(F.when(past_end(F.col("size")).isNotNull(), 1).otherwise(0)).alias("past")
+    log = materialise(log.observe(seen, past), "log")
+    if strict and seen.get["past"]:
+        lost = lost_writes(log.drop("size"), sizes).limit(SHOWN).collect()
         if lost:
             raise ValueError("; ".join(f"{r['dataset']}@{r['ord']}: write of {r['len']} at {r['off']} {r['reason']}" for r in lost))
-    return clamp_ranges(changes, versions)
+    return cut_at(log, F.col("size")).drop("size")
 
 
 def _content(touched: DataFrame, images: DataFrame, old: int, new: int) -> DataFrame:
-    """Cells ``(dataset, ord, cell, payload)`` as the touches leave them; payload NULL = a hole."""
+    """Cells ``(dataset, ord, cell, payload, digest)`` as the touches leave them; payload NULL = a hole."""
     # the touches are read twice, and what they came from is no small plan
     touched = materialise(touched, "touched")
     wanted = touched.filter("op = 'WRITE' or not covered").select(*KEYS, "cell")
     rows = overlay_cells(touched, image_at_grain(images, wanted, old, new)).select(*KEYS, "cell", "payload")
-    # the rebuilt content is read by two branches later: written once
-    return materialise(rows.withColumn("payload", F.when(~is_hole("payload", new), F.col("payload"))), "rebuilt")
+    rows = with_digest(rows, new).withColumn("payload", F.when(F.col("digest").isNotNull(), F.col("payload")))
+    # the rebuilt content is read by several branches later: written once
+    return materialise(rows, "rebuilt")
+
+
+def _settled(rows: DataFrame, versions: DataFrame, new: int) -> DataFrame:
+    """``rows`` (with digests) after the shrinks of the versions, without rows that change nothing.
+
+    Both steps compare digests; payloads are read at the end, and stay where they are as long as the keys
+    that go are few enough for a broadcast.
+    """
+    narrow = rows.select(*KEYS, "cell", "digest")
+    added = resize_rows(rows, narrow.select(*KEYS, "cell", F.col("digest").isNotNull().alias("live")), versions, new)
+    added = materialise(with_digest(added, new), "resized")
+    both = narrow.unionByName(added.select(*narrow.columns))
+    gone = materialise(unchanged_rows(both, ordered.history_chunk(versions)), "unchanged")
+    return rows.unionByName(added).drop("digest").join(gone, KEYS + ["cell"], "left_anti").select(*KEYS, "cell", "payload")
 
 
 def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int, new: int,
@@ -74,7 +94,7 @@ def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int,
         return _resumed(images, changes, versions, old, new, strict, target, bases)
     touched = resolve_touches(_clamped(changes, versions, strict), new, ordered.history_chunk(versions))
     rows = _content(touched, images, old, new)
-    return drop_unchanged(apply_resize(rows, versions, new), versions, new)
+    return _settled(rows, versions, new)
 
 
 def _resumed(images, changes, versions, old, new, strict, target, bases) -> DataFrame:
@@ -89,5 +109,5 @@ def _resumed(images, changes, versions, old, new, strict, target, bases) -> Data
     live = state.filter("payload is not null").select("dataset", "cell", "ord")
     touched = resolve_touches(_clamped(later(changes), versions, strict), new, ordered.history_chunk(versions), live)
     rows = _content(touched, later(images), old, new)
-    added = drop_unchanged(apply_resize(state.unionByName(rows), versions, new), versions, new)
+    added = _settled(with_digest(state, new).unionByName(rows), versions, new)
     return kept.unionByName(later(added).select(*kept.columns))
