@@ -39,23 +39,30 @@ select page_id, host, path, rule,
        when regexp_matches(host, '(^|\\.)(ads|adult|casino|cheap|free|spam)-') then 'block' else 'allow' end as verdict
 from ruled""",
     "op6_line_dedup": f"""
-with parts as (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null),
-lines as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos from parts),
+with parts as (select row_number() over () as rid, doc_id, string_split(text, chr(10)) as parts from documents where text is not null),
+lines as (select rid, doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos from parts),
 placed as (
-  select doc_id, pos, length(line) as size,
-    coalesce(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as start,
+  select rid, doc_id, pos, length(line) as size,
+    coalesce(sum(length(line) + 1) over (partition by rid order by pos rows between unbounded preceding and 1 preceding), 0) as start,
     trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as norm
   from lines),
-units as (select *, row_number() over (partition by norm order by doc_id nulls last, start) as place
-          from placed where len(string_split(norm, ' ')) >= 8),
+units as (select *, row_number() over (partition by norm order by doc_id nulls last, start) > 1 as gone,
+    len(string_split(norm, ' ')) as words from placed where norm <> ''),
 found as (
-  select doc_id, count(*) as n_lines, count(*) filter (place > 1) as n_removed,
-    coalesce(sum(size) filter (place > 1), 0) as chars_removed,
-    coalesce(string_agg(start || ':' || (start + size), ',' order by start) filter (place > 1), '') as spans
-  from units group by doc_id)
-select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
-  coalesce(chars_removed, 0)::bigint as chars_removed, coalesce(spans, '') as spans
-from documents d left join found f on d.doc_id is not distinct from f.doc_id""",
+  select rid, count(*) as n_lines, count(*) filter (gone) as n_removed,
+    coalesce(sum(size) filter (gone), 0) as chars_removed,
+    coalesce(string_agg(start || ':' || (start + size), ',' order by start) filter (gone), '') as spans
+  from units group by rid),
+run as (
+  select rid, min(start) as start, max(start + size) as stop from (
+    select *, sum((not gone)::int) over (partition by rid order by pos) as block from units) where gone
+  group by rid, block having sum(words) > 50),
+runs as (select rid, count(*) as n_passages, string_agg(start || ':' || stop, ',' order by start) as passages from run group by rid)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
+  coalesce(chars_removed, 0)::bigint as chars_removed, coalesce(spans, '') as spans,
+  coalesce(n_passages, 0)::bigint as n_passages, coalesce(passages, '') as passages
+from parts left join found using (rid) left join runs using (rid)
+union all select doc_id, 0, 0, 0, '', 0, '' from documents where text is null""",
     "op10_decontamination": f"""
 with item as (
   select item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
@@ -77,6 +84,4 @@ select doc.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
 from doc left join words using (doc_id) left join items using (doc_id)""",
 }
 
-#: The same over every line with a word.
-SQL["op6_every_line"] = SQL["op6_line_dedup"].replace("where len(string_split(norm, ' ')) >= 8", "where norm <> ''")
 SQL |= sql_unrolled.SQL

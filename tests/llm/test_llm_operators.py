@@ -250,12 +250,56 @@ def test_line_dedup(docs):
 
 
 def test_lines_are_cut(clash):
-    out = {r.doc_id: r for r in lines.remove_repeats(clash.drop("spans")).collect() if r.doc_id}
+    clash = clash.withColumn("repeats", F.lit("kept")).withColumn("gone_doc", F.lit(1)).withColumn("unit", F.lit(1))
+    made = lines.remove_repeats(clash)
+    assert made.columns == [*clash.columns, "repeats_"] and made.where("repeats <> 'kept'").count() == 0
+    out = {r.doc_id: r for r in made.collect() if r.doc_id}
     assert out[10].text == "intro words first\nend of it"
-    assert out[10].repeats[0].start == len("intro words first\n")
+    assert out[10].repeats_[0].start == len("intro words first\n")
     assert out[4].text is None and out[5].text == ""
 
 
+def brute_units(rows):
+    """Per row (doc_id, n_lines, n_removed, chars_removed, spans, n_passages, passages), all lines compared."""
+    every = []
+    for r, (doc, text) in enumerate(rows):
+        at = 0
+        for line in (text or "").split("\n") if text is not None else []:
+            words = C.blank_words(line)
+            if words:
+                every.append((b" ".join(words), (doc is None, doc or 0, hashlib.md5(text.encode()).digest(), at), r, at, at + len(line), len(words)))
+            at += len(line) + 1
+    first = {}
+    for key, rank, *_ in every:
+        first[key] = min(first.get(key, rank), rank)
+    out = []
+    for r, (doc, text) in enumerate(rows):
+        mine = [(first[k] != rank, a, b, n) for k, rank, q, a, b, n in every if q == r]
+        gone = [m for m in mine if m[0]]
+        runs, run = [], []
+        for m in [*mine, (False, 0, 0, 0)]:
+            if m[0]:
+                run.append(m)
+            elif run:
+                if sum(x[3] for x in run) > 50:
+                    runs.append((run[0][1], run[-1][2]))
+                run = []
+        out.append((doc, len(mine), len(gone), sum(b - a for _, a, b, _ in gone), ",".join(f"{a}:{b}" for _, a, b, _ in gone),
+                    len(runs), ",".join(f"{a}:{b}" for a, b in runs)))
+    return out
+
+
+def test_lines_against_brute_force(spark, docs):
+    rnd = random.Random(8)
+    pool = ["", " ", "\t \r", "A line  of words", "a LINE of\tWords ", "é Ü 漢字 🙂", "x " * 30, "one"] + [f"own {i} " * rnd.randint(1, 12) for i in range(20)]
+    rows = [(rnd.choice([None, *range(30)]), None if rnd.random() < .05 else "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for _ in range(80)]
+    rows += rows[:6] + [(99, "\n".join(pool * 60)), (98, "z" * 120_000 + "\none")]
+    got = lines.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert C.in_order(got) == C.in_order(brute_units(rows))
+    assert any(r.n_passages for r in got)
+    assert C.in_order(lines.digest(docs).collect()) == C.in_order(brute_units(PAIRS))
+
+
 def test_short_lines_are_cut(spark):
     texts = ["Menu\n\nHome\none of a kind", "other words\n menu \n\n\nhome", None, "", "\n \n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
