@@ -181,7 +181,8 @@ def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "sourc
     tree = F.when(F.col(group).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
     leaves = docs.select(tree.alias("tree"), F.col(order).alias("_order"), leaf_hash(*[F.col(c) for c in fields]).alias("hash"),
                          *[e.alias(c) for c, e in carry.items()])
-    placed = ranked(leaves, ["_order", "hash"], "leaves").drop("_order").withColumn("leaf", F.col("hash"))
+    # written: a range shuffle reads its input twice, once for the bounds, and texts should be hashed once
+    placed = ranked(materialise(leaves, "hashed"), ["_order", "hash"], "leaves").drop("_order").withColumn("leaf", F.col("hash"))
     groups = grown(placed, "groups")
     subroots = groups.roots().select(F.lit(ABOVE).alias("tree"), F.col("tree").alias("group"), "hash")
     above = grown(ranked(subroots, ["group"], "subroots"), "above")
