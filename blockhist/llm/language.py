@@ -16,13 +16,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .names import free_name
 
 WORD = regex.compile(r"\p{L}+")
-MAX_WORDS, MAX_GRAMS, LONGEST_GRAM = 60_000, 60_000, 4
-#: Longer words are scored by n-grams only.
+MAX_WORDS, MAX_GRAMS, LONGEST_GRAM = 250_000, 60_000, 4
+#: Longer runs of letters are no entries of the word table: they are scored by n-grams, to which they count like all others.
 LONGEST_WORD = 40
+#: A task sends its word counts on when it holds so many.
+HELD_COUNTS = 200_000
 #: A score weighs a text as if it had at most this many words of its mean evidence.
 EVIDENCE = 20
 #: Log frequencies are kept as whole numbers of 1/SCALE.
@@ -37,15 +39,20 @@ def held_out(doc_id: Column) -> Column:
 def word_counts(labelled: DataFrame) -> DataFrame:
     """(lang, word, n) over all texts of ``labelled`` (lang, text)."""
     def run(batches):
+        seen: dict[tuple[str, str], int] = {}
+
+        def sent():
+            langs, words = zip(*seen)
+            return pa.record_batch([pa.array(langs), pa.array(words), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
         for batch in batches:
-            seen: dict[str, dict[str, int]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                mine = seen.setdefault(lang, {})
                 for word in WORD.findall(text.as_py().lower()):
-                    mine[word] = mine.get(word, 0) + 1
-            rows = [(lang, word, n) for lang, mine in seen.items() for word, n in mine.items() if len(word) <= LONGEST_WORD]
-            if rows:
-                yield pa.record_batch([pa.array(c) for c in zip(*rows)], names=["lang", "word", "n"])
+                    seen[lang, word] = seen.get((lang, word), 0) + 1
+                if len(seen) > HELD_COUNTS:
+                    yield sent()
+                    seen.clear()
+        if seen:
+            yield sent()
     return (labelled.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
@@ -56,12 +63,6 @@ def _grams(word: Column, size: int) -> Column:
                        lambda i: F.substring(word, i, F.lit(size)))
 
 
-def _of_langs(counts: DataFrame, key: str, langs: list[str]) -> DataFrame:
-    """(key, n, n0, n1, ...): how often each key occurs at all and in each language; written."""
-    each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    return materialise(counts.groupBy(key).agg(F.sum("n").alias("n"), *each), f"language-{key}s")
-
-
 def _log(n: Column, total: Column) -> Column:
     return F.round(F.log((n + 0.5) / total) * SCALE).cast("long")
 
@@ -82,21 +83,25 @@ def train(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                       & ~held_out(F.col("doc_id")))
-    counts = materialise(word_counts(rows), "language-words")
+    counts = materialise(word_counts(rows), "language-counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
         return {"langs": []}
+    names, numbers = [f"s{i}" for i in range(len(langs))], [f"n{i}" for i in range(len(langs))]
+    # one row per word, with its number in every language: n-grams are made once per word
+    words = materialise(counts.groupBy("word").agg(F.sum("n").alias("n"), *[
+        F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(c) for x, c in zip(langs, numbers)]), "language-words")
+    discard(counts)
+    entries = words.where(F.length("word") <= LONGEST_WORD)
+    known = entries.count()
+    word_table = entries.select("word", "n", *[
+        _log(F.col(c), F.lit(totals[x] + 0.5 * (known + 1))).alias(s) for x, c, s in zip(langs, numbers, names)])
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
-    grams = counts.select("lang", "n", F.explode(F.flatten(F.array(*[
-        _grams(marked, size) for size in range(1, LONGEST_GRAM + 1)]))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    names = [f"s{i}" for i in range(len(langs))]
-    words = _of_langs(counts, "word", langs)
-    known = words.count()
-    word_table = words.select("word", "n", *[
-        _log(F.col(f"n{i}"), F.lit(totals[x] + 0.5 * (known + 1))).alias(names[i]) for i, x in enumerate(langs)])
-    pieces = _of_langs(grams, "gram", langs).withColumn("size", F.length("gram"))
-    of_size = pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]).collect()
+    pieces = materialise(
+        words.select("n", *numbers, F.explode(F.flatten(F.array(*[_grams(marked, size) for size in range(1, LONGEST_GRAM + 1)]))).alias("gram"))
+        .groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", *numbers)]), "language-grams").withColumn("size", F.length("gram"))
+    of_size = pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in numbers]).collect()
 
     def total_of(i):
         return F.coalesce(*[F.when(F.col("size") == r["size"], F.lit(r[f"n{i}"] + 0.5 * r["n"])) for r in of_size])
@@ -145,9 +150,9 @@ def _texts(texts: DataFrame, model: dict) -> DataFrame:
     return texts.mapInArrow(run, f"key binary, copies long, words long, {sums}rest array<struct<word:string,n:long>>")
 
 
-def _backed_off(unseen: DataFrame, model: dict) -> DataFrame:
-    """(word, s0, s1, ...) of (word): the mean of the n-grams of the longest length of which any is known.
-    Words without a known n-gram are left out."""
+def _backed_off(unseen: DataFrame, model: dict) -> tuple[DataFrame, DataFrame]:
+    """A written table, and from it (word, s0, s1, ...) of (word): the mean of the n-grams of the longest length of which
+    any is known. Words without a known n-gram are left out."""
     shared = unseen.sparkSession.sparkContext.broadcast({k: model[k] for k in ("grams", "gram_logs")})
     names = [f"s{i}" for i in range(len(model["langs"]))]
 
@@ -174,7 +179,7 @@ def _backed_off(unseen: DataFrame, model: dict) -> DataFrame:
     each = (parts.drop("rest").unionByName(others).groupBy("word", "size")
             .agg(F.sum("found").alias("found"), *[F.sum(c).alias(c) for c in names]).where("found > 0"))
     mean = F.struct("size", *[F.round(F.col(c) / F.col("found")).cast("long").alias(c) for c in names])
-    return each.select("word", mean.alias("m")).groupBy("word").agg(F.max("m").alias("m")).select("word", *[f"m.{c}" for c in names])
+    return parts, each.select("word", mean.alias("m")).groupBy("word").agg(F.max("m").alias("m")).select("word", *[f"m.{c}" for c in names])
 
 
 def _verdicts(texts: DataFrame, model: dict) -> DataFrame:
@@ -183,8 +188,9 @@ def _verdicts(texts: DataFrame, model: dict) -> DataFrame:
     parts = materialise(_texts(texts, model), "language-texts")
     rest = parts.select("key", F.explode("rest").alias("r")).select("key", "r.word", "r.n")
     looked = materialise(rest.select("word").distinct().join(model["word_table"].drop("n"), "word", "left"), "language-looked")
-    scored = materialise(looked.where(f"{names[0]} is not null").unionByName(
-        _backed_off(looked.where(f"{names[0]} is null").select("word"), model)), "language-scored")
+    parts_of_words, backed = _backed_off(looked.where(f"{names[0]} is null").select("word"), model)
+    scored = materialise(looked.where(f"{names[0]} is not null").unionByName(backed), "language-scored")
+    discard(looked, parts_of_words)
     others = rest.join(scored, "word").select(
         "key", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("words"), *[(F.col(c) * F.col("n")).alias(c) for c in names])
     total = parts.drop("rest").unionByName(others).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("copies", "words", *names)])
@@ -203,7 +209,8 @@ def identify(docs: DataFrame, model: dict, carry: list[str] | None = None) -> Da
 
     ``und`` with score 0 for a null text, a text without letters, and every text if the model knows
     no language. Letters that no known word or n-gram holds leave the languages' shares to decide.
-    Ties go to the first language by code point. Whole texts count; only ``text`` is looked at.
+    Ties go to the first language by code point. Whole texts count, letter runs of any length among them; only ``text`` is
+    looked at, so rows that share a text have one verdict and repeated rows count alike. An empty table gives no rows.
     """
     carry = docs.columns if carry is None else carry
     out, key = free_name(docs, "language"), free_name(docs, "text_key")

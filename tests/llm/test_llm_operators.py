@@ -448,6 +448,74 @@ def test_contaminated_rows_go(spark, clash):
     assert none.count() == len(PAIRS)
 
 
+# language, by brute force
+
+def brute_language(rows, texts):
+    """(lang, score) of every text, learnt from rows (doc_id, text, lang); all words and n-grams counted in Python."""
+    import zlib
+    counts = {}
+    for doc, text, lang in rows:
+        if text is not None and lang is not None and doc is not None and zlib.crc32(str(doc).encode()) % 4 != 2:
+            for w in language.WORD.findall(text.lower()):
+                counts.setdefault(w, {}).setdefault(lang, 0)
+                counts[w][lang] += 1
+    langs = sorted({x for c in counts.values() for x in c})
+    totals = {x: sum(c.get(x, 0) for c in counts.values()) for x in langs}
+    known = {w: c for w, c in counts.items() if len(w) <= 40}
+    grams = {}
+    for w, c in counts.items():
+        m = f"^{w}$"
+        for size in range(1, 5):
+            for g in [m[i:i + size] for i in range(len(m) - size + 1)] or [m]:
+                for x, n in c.items():
+                    grams.setdefault(g, {}).setdefault(x, 0)
+                    grams[g][x] += n
+
+    def log(n, total):
+        return math.floor(math.log((n + .5) / total) * 1e6 + .5)
+    sizes = {z: ({x: sum(c.get(x, 0) for g, c in grams.items() if len(g) == z) for x in langs}, sum(len(g) == z for g in grams)) for z in range(1, 5)}
+
+    def of_word(w, x):
+        if w in known:
+            return log(known[w].get(x, 0), totals[x] + .5 * (len(known) + 1))
+        m = f"^{w}$"
+        for size in range(4, 0, -1):
+            held = [g for g in (m[i:i + size] for i in range(len(m) - size + 1)) if g in grams]
+            if held:
+                return math.floor(sum(log(grams[g].get(x, 0), sizes[size][0][x] + .5 * sizes[size][1]) for g in held) / len(held) + .5)
+        return 0
+    out = []
+    for text in texts:
+        words = language.WORD.findall((text or "").lower())
+        if not words or not langs:
+            out.append(("und", 0.0))
+            continue
+        e = [math.log(totals[x] / sum(totals.values())) + sum(of_word(w, x) for w in words) * min(len(words), 20) / len(words) / 1e6 for x in langs]
+        best = max(e)
+        out.append((langs[e.index(best)], 1 / sum(math.exp(v - best) for v in e)))
+    return out
+
+
+@pytest.mark.parametrize("held", [(3, 5), (10_000, 10_000)])
+def test_language_against_brute_force(spark, held):
+    rnd = random.Random(4)
+    syllables = {"en": ["the", "ing", "tion", "er"], "de": ["sch", "ung", "ei", "ßer"], "zz": ["漢字", "仮名", "文"]}
+
+    def text(lang):
+        parts = ["".join(rnd.choice(syllables[lang]) for _ in range(rnd.choice([1, 2, 3, 20 if lang == "zz" else 4]))) for _ in range(rnd.randint(1, 15))]
+        return rnd.choice([" ", "-", ", "]).join(parts).title()
+    rows = [(i, text(x), x) for i in range(60) for x in syllables]
+    rows += [(500 + i, "Q" * 50 + " " + "qx" * 30, "long") for i in range(8)] + [(None, "the", "en"), (1, None, "en"), (2, "the", None)]
+    texts = [text(rnd.choice(list(syllables))) for _ in range(40)] + ["qx" * 26, "Q" * 50, "ж", "123", "", None, "the the the", "x" * 3000, "the " * 2000] + ["ungsch"] * 3
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), *held)
+    assert model["langs"] == ["de", "en", "long", "zz"]
+    out = language.identify(spark.createDataFrame(list(enumerate(texts)), "n long, text string"), model).collect()
+    want = brute_language(rows, texts)
+    for r in out:
+        assert r.language.lang == want[r.n][0] and r.language.score == pytest.approx(want[r.n][1], abs=1e-9), r.text
+    assert want[40][0] == want[41][0] == "long"
+
+
 # empty tables
 
 def test_empty_tables(spark, empty):
