@@ -50,7 +50,7 @@ def _deltas(history, lanes, cell_size, chunk) -> DataFrame:
     return (_changed(seeded, lanes, chunk).groupBy("dataset", "ord").agg(*L.lane_totals(lanes, "_w", "_o")))
 
 
-def _accumulate(deltas: DataFrame, spine: DataFrame, lanes: int, chunk) -> DataFrame:
+def accumulate(deltas: DataFrame, spine: DataFrame, lanes: int, chunk) -> DataFrame:
     """Running lane sums over the version spine; versions without changes keep the sum."""
     names = L.lane_names(lanes)
     filled = spine.join(deltas, ["dataset", "ord"], "left").selectExpr(
@@ -67,7 +67,7 @@ def fingerprint_history(history: DataFrame, versions: DataFrame, lanes: int = L.
     if algo == WY:
         return _wy_history(history, versions)
     chunk = ordered.history_chunk(versions)
-    return _accumulate(_deltas(history, lanes, cell_size, chunk), versions, lanes, chunk)
+    return accumulate(_deltas(history, lanes, cell_size, chunk), versions, lanes, chunk)
 
 
 def fingerprint_image(history: DataFrame, at, lanes: int = L.LANES, cell_size: int | None = None) -> DataFrame:
@@ -153,7 +153,7 @@ def extend_fingerprints(existing: DataFrame, history: DataFrame, versions: DataF
     # the old content stands at the base itself: it is subtracted, but is no change
     deltas = (_changed(seeded, lanes, chunk).join(bases, "dataset").filter("base is null or ord > base")
               .groupBy("dataset", "ord").agg(*L.lane_totals(lanes, "_w", "_o")))
-    added = _accumulate(deltas, todo, lanes, chunk)
+    added = accumulate(deltas, todo, lanes, chunk)
     whole = added.join(start, "dataset", "left").withColumn(
         "acc", F.when(F.col("_start").isNull(), F.col("acc")).otherwise(L.acc_add("acc", "_start"))).drop("_start")
     return kept.select(*versions.columns, "acc").unionByName(whole.select(*versions.columns, "acc"))

@@ -162,6 +162,41 @@ def _edges(frees: DataFrame, cell_size: int) -> DataFrame:
     return frees.select("dataset", "ord", "seq", F.explode(F.array_distinct(F.array_compact(F.array(left, right)))).alias("cell"))
 
 
+def enumerated_touches(changes: DataFrame, cell_size: int, spread: bool = True) -> DataFrame:
+    """The touches that are listed cell by cell, ``(dataset, ord, cell, seq, op, covered)``: those of writes (the last one
+    per version and cell), and the edges of frees."""
+    writes = ranges_to_cells(changes.filter("op = 'WRITE'"), cell_size, spread).groupBy("dataset", "ord", "cell").agg(
+        F.max("seq").alias("seq"))
+    return (writes.withColumn("op", F.lit("WRITE"))
+            .unionByName(_edges(changes.filter("op = 'FREE'"), cell_size).withColumn("op", F.lit("FREE")))
+            .withColumn("covered", F.lit(False)))
+
+
+def free_blocks(changes: DataFrame, cell_size: int) -> DataFrame:
+    """Aligned blocks of the cells that frees cover whole: ``(dataset, ord, seq, _level, _block)``."""
+    whole = (changes.filter("op = 'FREE'").withColumn("_lo", idiv(F.col("off") + (cell_size - 1), cell_size))
+             .withColumn("_hi", idiv(F.col("off") + F.col("len"), cell_size) - 1).filter("_lo <= _hi"))
+    return whole.select("dataset", F.col("ord").cast("int").alias("ord"), "seq", F.inline(_blocks()))
+
+
+def ended_touches(live: DataFrame, blocks: DataFrame, chunk: Column | None) -> DataFrame:
+    """For each touch ``(dataset, cell, ord, seq)`` the first free after it that covers its cell, as a row
+    ``(dataset, ord, cell, seq, op, covered, of_ord, of_seq)``, the last two naming the touch. ``blocks`` come from
+    ``free_blocks`` and should be written."""
+    ups = ", ".join(f"struct({n} as _level, shiftright(cell, {n}) as _block)" for n in BLOCK_LEVELS)
+    line = ["dataset", "_level", "_block"]
+    asked = live.select("*", F.expr(f"inline(array({ups}))")).join(blocks.select(*line).distinct(), line, "left_semi")
+    both = (asked.withColumn("_free", F.lit(None).cast("struct<ord:int,seq:bigint>"))
+            .unionByName(blocks.withColumn("_free", F.struct("ord", "seq")), allowMissingColumns=True)
+            .withColumn("_at", F.struct((-F.col("ord")).alias("o"), (-F.col("seq")).alias("s"))))
+    # time runs backwards, and so do the chunks
+    answered = ordered.carry_forward(both, line, "_at", ["_free"], None if chunk is None else -chunk)
+    return (answered.filter("cell is not null and _free is not null")
+            .groupBy("dataset", "cell", "ord", "seq").agg(F.min("_free").alias("_free"))
+            .select("dataset", F.col("_free.ord").alias("ord"), "cell", F.col("_free.seq").alias("seq"),
+                    F.lit("FREE").alias("op"), F.lit(True).alias("covered"), F.col("ord").alias("of_ord"), F.col("seq").alias("of_seq")))
+
+
 def resolve_touches(changes: DataFrame, cell_size: int, chunk: Column | None = None, known: DataFrame | None = None) -> DataFrame:
     """The last touch of every cell in every version: ``(dataset, ord, cell, seq, op, covered)``.
 
@@ -174,28 +209,11 @@ def resolve_touches(changes: DataFrame, cell_size: int, chunk: Column | None = N
     ``known`` = (dataset, cell, ord): cells that are live at ``ord`` already. ``chunk`` cuts long lines
     (``ordered.history_chunk``).
     """
-    frees = changes.filter("op = 'FREE'")
-    writes = ranges_to_cells(changes.filter("op = 'WRITE'"), cell_size, spread=True).groupBy("dataset", "ord", "cell").agg(
-        F.max("seq").alias("seq"))
-    touches = (writes.withColumn("op", F.lit("WRITE"))
-               .unionByName(_edges(frees, cell_size).withColumn("op", F.lit("FREE"))).withColumn("covered", F.lit(False)))
+    touches = enumerated_touches(changes, cell_size)
     live = touches.select("dataset", "cell", "ord", "seq")
     if known is not None:
         live = live.unionByName(known.select("dataset", "cell", "ord", F.lit(-1).cast("long").alias("seq")))
-    whole = (frees.withColumn("_lo", idiv(F.col("off") + (cell_size - 1), cell_size))
-             .withColumn("_hi", idiv(F.col("off") + F.col("len"), cell_size) - 1).filter("_lo <= _hi"))
     # written: read twice, and small enough to be broadcast unless the log is mostly frees
-    blocks = materialise(whole.select("dataset", "ord", "seq", F.inline(_blocks())), "free-blocks")
-    ups = ", ".join(f"struct({n} as _level, shiftright(cell, {n}) as _block)" for n in BLOCK_LEVELS)
-    line = ["dataset", "_level", "_block"]
-    asked = live.select("*", F.expr(f"inline(array({ups}))")).join(blocks.select(*line).distinct(), line, "left_semi")
-    at = F.struct((-F.col("ord")).alias("o"), (-F.col("seq")).alias("s"))
-    both = (asked.withColumn("_free", F.lit(None).cast("struct<ord:int,seq:bigint>"))
-            .unionByName(blocks.withColumn("_free", F.struct(F.col("ord").cast("int").alias("ord"), "seq")), allowMissingColumns=True)
-            .withColumn("_at", at))
-    # time runs backwards, and so do the chunks
-    answered = ordered.carry_forward(both, line, "_at", ["_free"], None if chunk is None else -chunk).filter("cell is not null and _free is not null")
-    ended = (answered.groupBy("dataset", "cell", "ord", "seq").agg(F.min("_free").alias("_free"))
-             .select("dataset", F.col("_free.ord").alias("ord"), "cell", F.col("_free.seq").alias("seq"),
-                     F.lit("FREE").alias("op"), F.lit(True).alias("covered")))
+    blocks = materialise(free_blocks(changes, cell_size), "free-blocks")
+    ended = ended_touches(live, blocks, chunk).drop("of_ord", "of_seq")
     return dedupe_cells(touches.unionByName(ended), ["seq", "op", "covered"])

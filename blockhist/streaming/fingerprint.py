@@ -1,73 +1,93 @@
-"""Fingerprints carried forward version by version as changes arrive."""
+"""Fingerprints carried forward version by version as changes arrive.
+
+The state of a stream is the hash words of every live cell and, per dataset, the accumulator up to and with
+its newest, still open version. A batch looks up the cells it changes, adds the difference to the accumulators, and prints
+the versions that a newer one has closed. Both states are keyed tables: a batch reads the buckets of its own
+cells and datasets, never what earlier batches wrote beside them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import lanes as L
-from ..operators.fingerprint import extend_fingerprints
+from ..functions import lanes as L, ordered
+from ..operators.fingerprint import accumulate, with_seeds
 from ..session import materialise
-from .apply import _earlier, _write_batch, split_late
+from .apply import read_batches, split_late, write_batch
+from .state import KeyedState, batch_numbers
 
-CELLS = "dataset STRING, ord INT, cell BIGINT, payload BINARY, batch BIGINT"
-PRINTS = "dataset STRING, snap STRING, ord INT, size BIGINT, version_id DECIMAL(20,0), acc BINARY, batch BIGINT"
+PRINTS = "dataset STRING, snap STRING, ord INT, size BIGINT, version_id DECIMAL(20,0), acc BINARY"
+HEADS = "dataset STRING, ord INT, acc BINARY"
+#: cells of a dataset that share a bucket of the state
+BLOCK = 1 << 12
 
 
-def _pending(spark, path: str, batch: int) -> DataFrame:
-    """Rows that the last batch before this one has held back."""
-    held = _earlier(spark, f"{path}/pending", CELLS, batch)
-    newest = held.agg(F.max("batch")).first()[0]
-    # a batch that holds nothing back still leaves its (empty) folder: it is the one to look at
-    last = _earlier(spark, f"{path}/seen", "rows BIGINT, batch BIGINT", batch).agg(F.max("batch")).first()[0]
-    if newest is None or newest != last:
-        return held.filter(F.lit(False)).drop("batch")
-    return held.filter(F.col("batch") == newest).drop("batch")
+def _states(spark, path: str, lanes: int, buckets: int) -> tuple[KeyedState, KeyedState]:
+    words = ", ".join(f"{w} BIGINT" for w in L.word_names(lanes))
+    return (KeyedState(spark, f"{path}/heads", HEADS, ["dataset"], buckets),
+            KeyedState(spark, f"{path}/seeds", f"dataset STRING, block BIGINT, cell BIGINT, {words}", ["dataset", "block"], buckets))
 
 
 def fingerprint_batch(rows: DataFrame, batch: int, versions: DataFrame, path: str, lanes: int = L.LANES,
-                      cell_size: int | None = None, final: bool = False) -> None:
-    """Store the batch's cell rows and the fingerprints of the versions it completes.
-
-    A version is complete when a newer one of its dataset has arrived, or with ``final``: the rows of
-    the newest version of each dataset are held back until then, so where batches begin and end
-    changes nothing. A row of a version that is complete already is late. The accumulator continues from the stored fingerprint of the last version; of the stored
-    cells only those that change now are read. Versions without changes in between are
-    filled in from ``versions`` up to the newest version of the batch.
+                      cell_size: int | None = None, buckets: int = 64) -> None:
+    """Take in one batch of cell rows ``(dataset, ord, cell, payload)`` and store the versions it closes.
+
+    A version is closed when a newer one of its dataset has arrived; a row of a closed version is late and goes to
+    ``<path>/late``. The newest version stays open, so where batches begin and end changes nothing.
+    Versions without changes are filled in from ``versions``.
     """
     spark = rows.sparkSession
-    stored = _earlier(spark, f"{path}/cells", CELLS, batch).drop("batch")
-    done = _earlier(spark, f"{path}/prints", PRINTS, batch).drop("batch")
-    rows = rows.select("dataset", "ord", "cell", "payload").unionByName(_pending(spark, path, batch))
-    fine, late = split_late(rows, done.select("dataset", "ord"))
-    again = done.select("dataset", "ord").distinct()
-    late = late.unionByName(fine.join(again, ["dataset", "ord"], "left_semi"))
-    fine = materialise(fine.join(again, ["dataset", "ord"], "left_anti").select("dataset", "ord", "cell", "payload"),
-                       "batch")
-    if not final:
-        top = fine.groupBy("dataset").agg(F.max("ord").alias("_top"))
-        marked = fine.join(top, "dataset")
-        held = materialise(marked.filter("ord = _top").drop("_top"), "held")
-        fine = marked.filter("ord < _top").drop("_top")
-        _write_batch(held, f"{path}/pending", batch)
-    newest = fine.groupBy("dataset").agg(F.max("ord").alias("_new"))
-    due = versions.join(newest, "dataset").filter("ord <= _new").select(
-        "dataset", "snap", "ord", "size", "version_id")
-    active = stored.join(newest.select("dataset"), "dataset", "left_semi")
-    whole = extend_fingerprints(done, active.unionByName(fine), due, lanes, cell_size)
-    added = whole.join(again, ["dataset", "ord"], "left_anti").select(
-        "dataset", "snap", "ord", "size", "version_id", "acc")
-    _write_batch(added, f"{path}/prints", batch)
-    _write_batch(late.select("dataset", "ord", "cell", "payload"), f"{path}/late", batch)
-    _write_batch(fine, f"{path}/cells", batch)
-    # last: a batch that fails before this line is not yet part of the stored state
-    _write_batch(spark.range(1).select(F.col("id").alias("rows")), f"{path}/seen", batch)
-
-
-def finish_fingerprints(spark, versions: DataFrame, path: str, lanes: int = L.LANES, cell_size: int | None = None) -> None:
-    """Complete the versions that are held back: nothing more will come for them."""
-    last = spark.read.parquet(f"{path}/seen").agg(F.max("batch")).first()[0]
-    none = spark.createDataFrame([], CELLS).drop("batch")
-    fingerprint_batch(none, last + 1, versions, path, lanes, cell_size, final=True)
+    heads, seeds = _states(spark, path, lanes, buckets)
+    rows = rows.select("dataset", "ord", "cell", "payload")
+    of_heads = heads.touched(rows)
+    head = heads.read(batch, of_heads)
+    fine, late = split_late(rows, head)
+    words = L.word_names(lanes)
+    block = F.expr(f"cell div {BLOCK}L").alias("block")
+    # of several rows of a cell in one version any one counts, but the same everywhere
+    one = (with_seeds(fine, lanes, cell_size).groupBy("dataset", "ord", "cell")
+           .agg(F.max(F.struct(*words)).alias("_s")).select("dataset", "ord", "cell", "_s.*"))
+    new = materialise(one.select("dataset", block, "ord", "cell", *words), "batch")
+    of_seeds = seeds.touched(new)
+    old = seeds.read(batch, of_seeds)
+
+    # the state of a cell stands before all rows of the batch on its line
+    line = (old.join(new.select("dataset", "block", "cell").distinct(), ["dataset", "block", "cell"], "left_semi")
+            .withColumn("ord", F.lit(-1)).unionByName(new))
+    olds = L.word_names(lanes, "_o")
+    moved = ordered.previous(line, ["dataset", "cell"], "ord", dict(zip(olds, words)), ordered.history_chunk(versions))
+    deltas = moved.filter("ord >= 0").groupBy("dataset", "ord").agg(*L.lane_totals(lanes, "_w", "_o"))
+
+    tops = new.groupBy("dataset").agg(F.max("ord").alias("_top"))
+    known = head.select("dataset", F.col("ord").alias("_open"), F.col("acc").alias("_start"))
+    span = tops.join(known, "dataset", "left")
+    spine = (versions.select("dataset", "ord").unionByName(new.select("dataset", "ord")).distinct()
+             .join(span.select("dataset", "_top", "_open"), "dataset").filter("ord <= _top and (_open is null or ord >= _open)"))
+    sums = accumulate(deltas, spine, lanes, ordered.history_chunk(versions)).join(known.select("dataset", "_start"), "dataset", "left")
+    total = F.when(F.col("_start").isNull(), F.col("acc")).otherwise(L.acc_add("acc", "_start"))
+    done = materialise(sums.withColumn("acc", total).select("dataset", "ord", "_top", "acc"), "accumulated")
+
+    write_batch(_printed(versions, done.filter("ord < _top")), f"{path}/prints", batch)
+    write_batch(late, f"{path}/late", batch)
+    kept = old.join(new.select("dataset", "block", "cell").distinct(), ["dataset", "block", "cell"], "left_anti")
+    last = new.groupBy("dataset", "block", "cell").agg(F.max_by(F.struct(*words), "ord").alias("_s")).select("dataset", "block", "cell", "_s.*")
+    # a hole is an absent cell
+    seeds.write(kept.unionByName(last.filter(f"{words[0]} is not null")), batch, of_seeds)
+    moved_on = done.filter("ord = _top").select("dataset", "ord", "acc")
+    heads.write(head.join(moved_on.select("dataset"), "dataset", "left_anti").unionByName(moved_on), batch, of_heads)
+
+
+def _printed(versions: DataFrame, accs: DataFrame) -> DataFrame:
+    return (versions.join(accs.select("dataset", "ord", "acc"), ["dataset", "ord"])
+            .select("dataset", "snap", "ord", "size", F.col("version_id").cast("decimal(20,0)").alias("version_id"), "acc"))
+
+
+def finish_fingerprints(spark, versions: DataFrame, path: str, lanes: int = L.LANES, cell_size: int | None = None,
+                        buckets: int = 64) -> None:
+    """Close the open version of every dataset: nothing more will come for them."""
+    last = (batch_numbers(spark, f"{path}/heads/owners") or [-1])[-1]
+    heads, _ = _states(spark, path, lanes, buckets)
+    write_batch(_printed(versions, heads.read(last + 1)), f"{path}/prints", last + 1)
 
 
 def stream_fingerprints(rows: DataFrame, versions: DataFrame, path: str, checkpoint: str,
@@ -79,4 +99,4 @@ def stream_fingerprints(rows: DataFrame, versions: DataFrame, path: str, checkpo
 
 
 def stored_fingerprints(spark, path: str) -> DataFrame:
-    return spark.read.schema(PRINTS).parquet(f"{path}/prints").drop("batch")
+    return read_batches(spark, f"{path}/prints", PRINTS)

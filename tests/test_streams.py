@@ -78,3 +78,64 @@ def test_shrinks_cut_the_applied_history(spark):
     rows = apply.applied_history(spark, path, versions, 8)
     live = {r["cell"]: bytes(r["payload"]) for r in H.as_of(rows, 3).collect()}
     assert live == {0: b"n" * 8, 1: b"1" * 8, 2: b"2222" + bytes(4)}
+
+
+def damaged(path, *numbers):
+    """Make the files of earlier batches unreadable."""
+    import glob
+    for n in numbers:
+        for f in glob.glob(f"{path}/batch={n}/*.parquet"):
+            with open(f, "wb") as out:
+                out.write(b"not a table")
+
+
+def test_a_batch_reads_nothing_of_earlier_ones(spark, images):
+    """Tables of finished batches are damaged before the next batch runs; restored, they are read as one history."""
+    import shutil
+    path, saved = scratch_path(spark, "apply"), scratch_path(spark, "saved")
+    batches = [[("d", 1, 1, "WRITE", 0, 64)], [("d", 2, 1, "FREE", 0, 40)], [("d", 2, 2, "WRITE", 8, 8), ("d", 3, 1, "FREE", 0, 64)]]
+    for n, rows in enumerate(batches):
+        if n:
+            damaged(f"{path}/cells", n - 1)
+            damaged(f"{path}/frees", n - 1)
+        apply.apply_batch(spark.createDataFrame(rows, CH), n, images, path, 8)
+        for table in ("cells", "frees"):
+            shutil.copytree(f"{path}/{table}/batch={n}", f"{saved}/{table}/batch={n}")
+    got = {(r["ord"], r["cell"]): r["payload"] and bytes(r["payload"]).decode() for r in apply.applied_history(spark, saved).collect()}
+    assert got == {(1, c): f"1/{c}" for c in range(8)} | {(2, c): None for c in (0, 2, 3, 4)} | {(2, 1): "2/1"} | {(3, c): None for c in (1, 5, 6, 7)}
+
+
+def test_rows_of_the_state_do_not_grow_with_batches(spark):
+    from blockhist.streaming.state import KeyedState, batch_numbers
+    versions = spark.createDataFrame([("d", f"s{o}", o, 100, o) for o in range(1, 12)], "dataset string, snap string, ord int, size bigint, version_id bigint")
+    path = scratch_path(spark, "fp")
+    seen = []
+    for n in range(8):
+        rows = spark.createDataFrame([("d", n + 1, c, f"{n}/{c}".encode()) for c in range(20)], CELL)
+        heads, seeds = fingerprint._states(spark, path, 16, 64)
+        seen.append(heads.read(n).count() + seeds.read(n).count())
+        fingerprint.fingerprint_batch(rows, n, versions, path)
+    assert seen == [0] + [21] * 7
+    assert len(batch_numbers(spark, f"{path}/seeds/rows")) <= 2 and len(batch_numbers(spark, f"{path}/heads/owners")) <= 3
+    state = KeyedState(spark, scratch_path(spark, "state"), "k STRING, v INT", ["k"], 4)
+    for n in range(5):
+        rows = spark.createDataFrame([(f"k{n % 3}", n)], "k string, v int")
+        touched = state.touched(rows)
+        old = state.read(n, touched)
+        state.write(old.join(rows.select("k"), "k", "left_anti").unionByName(rows), n, touched)
+    assert sorted(map(tuple, state.read(5).collect())) == [("k0", 3), ("k1", 4), ("k2", 2)]
+    assert sorted(map(tuple, state.read(4).collect())) == [("k0", 3), ("k1", 1), ("k2", 2)]    # as a run of batch 4 after a failure sees it
+
+
+def test_compacted_history_goes_on(spark, images):
+    path = scratch_path(spark, "apply")
+    batches = [[("d", 1, 1, "WRITE", 0, 64)], [("d", 2, 9, "FREE", 0, 32)], [("d", 2, 7, "WRITE", 8, 8), ("d", 2, 10, "WRITE", 0, 8)], [("d", 3, 1, "FREE", 0, 64)]]
+    plain = scratch_path(spark, "apply")
+    for n, rows in enumerate(batches):
+        apply.apply_batch(spark.createDataFrame(rows, CH), n, images, plain, 8)
+        apply.apply_batch(spark.createDataFrame(rows, CH), n, images, path, 8)
+        apply.compact(spark, path)
+    def rows_of(p):
+        return sorted((r["ord"], r["cell"], r["payload"] and bytes(r["payload"])) for r in apply.applied_history(spark, p).collect())
+    assert rows_of(path) == rows_of(plain)
+    assert [r for r in rows_of(plain) if r[0] == 2] == [(2, 0, b"2/0"), (2, 1, None), (2, 2, None), (2, 3, None)]

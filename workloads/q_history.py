@@ -49,7 +49,7 @@ def as_of(spark, sf):
 
 
 
-@query("apply_resize", f"""with src as ({D(V.SIZED_CELLS)}), v as ({D(V.SIZES)}),
+RESIZED = f"""with src as ({D(V.SIZED_CELLS)}), v as ({D(V.SIZES)}),
 h as (select dataset, ord, cell, arg_max_null(payload, seq) payload from src group by 1, 2, 3),
 c as (select distinct dataset, cell from h),
 grid as (select c.dataset, c.cell, v.ord from c join v on c.dataset = v.dataset),
@@ -60,7 +60,10 @@ kept as (select w.dataset, w.cell, w.ord, any_value(w.payload) payload,
   from wrote w left join v on v.dataset = w.dataset and v.ord > w.w and v.ord <= w.ord group by 1, 2, 3),
 img as (select dataset, cell, ord, rpad(substr(hex(encode(coalesce(payload, ''))), 1, 2*cast(keep as int)), {2 * V.SIZED}, '0') x from kept),
 prev as (select *, lag(x, 1, repeat('0', {2 * V.SIZED})) over (partition by dataset, cell order by ord) p from img)
-select dataset, ord, cell, nullif(x, repeat('0', {2 * V.SIZED})) payload from prev where x <> p""")
+select dataset, ord, cell, nullif(x, repeat('0', {2 * V.SIZED})) payload from prev where x <> p"""
+
+
+@query("apply_resize", RESIZED)
 def apply_resize(spark, sf):
     """Tombstones and cut cells of shrinking versions; rows that change nothing removed."""
     sizes = V.view(spark, sf, V.SIZES)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockhist.functions import lanes as L
+from blockhist.operators.regrain import drop_unchanged
 from blockhist.sources import change_log
 from blockhist.streaming import apply, fingerprint, ingest, rate
 
 from . import views as V
 from .q_fingerprint import HASHES
+from .q_history import RESIZED
 from .q_ranges import TOUCHED
 from .q_sources import JUDGED, clamped
 from .registry import query
@@ -72,18 +74,32 @@ def applied(spark, sf):
 
 
 @query("stream_apply", f"""with {TOUCHED},
-ever as (select dataset, cell, min(ord) since from touched where op = 'WRITE' group by 1, 2),
-last as (select t.dataset, t.ord, t.cell, arg_max(op, seq) op, arg_max(covered, seq) covered, bool_or(op = 'WRITE') wrote from touched t group by 1, 2, 3),
-lim as (select min(ord) lo, cast(ceil((max(ord) - min(ord) + 1) / 3.0) as int) width from clamped),
-b as (select distinct ord, (ord - lo) // width batch from clamped, lim),
-seen as (select e.dataset, e.cell, b.batch from ever e join b on b.ord = e.since)
-select l.dataset, l.ord, l.cell, case when not (op = 'FREE' and covered) and wrote then 'image:'||l.dataset||':'||l.ord||':'||l.cell end payload
-from last l join b on b.ord = l.ord join seen s on s.dataset = l.dataset and s.cell = l.cell and s.batch <= b.batch""")
+t as (select *, op = 'FREE' and covered gone, bool_or(op = 'WRITE') over (partition by dataset, ord, cell) wrote from touched),
+g as (select *, coalesce(sum(gone::int) over (partition by dataset, cell order by ord, seq rows between unbounded preceding and 1 preceding), 0) life from t),
+r as (select *, bool_or(not gone and wrote) over (partition by dataset, cell, life) lived from g),
+last as (select dataset, ord, cell, arg_max(gone, seq) gone, bool_or(wrote) wrote from r where not gone or lived group by 1, 2, 3)
+select dataset, ord, cell, case when not gone and wrote then 'image:'||dataset||':'||ord||':'||cell end payload from last""")
 def stream_apply(spark, sf):
-    """Changes in three batches of versions; equals the batch form."""
+    """Changes in three batches of versions; equals the batch form: a free ends the life of a cell once, wherever batches are cut."""
     return applied(spark, sf).withColumn("payload", F.col("payload").cast("string"))
 
 
+@query("stream_apply_resize", RESIZED)
+def stream_apply_resize(spark, sf):
+    """Cells that arrive as writes and frees in three batches of versions that shrink and grow; equals the batch form."""
+    cells, sizes = V.sized_cells(spark, sf), V.view(spark, sf, V.SIZES)
+    op = F.when(F.col("payload").isNull(), "FREE").otherwise("WRITE")
+    changes = cells.select("dataset", "ord", F.col("cell").cast("long").alias("seq"), op.alias("op"),
+                           (F.col("cell") * V.SIZED).cast("long").alias("off"), F.lit(V.SIZED).cast("long").alias("len"))
+    out, ck = scratch_path(spark, "resized"), scratch_path(spark, "resize-state")
+
+    def run(path):
+        return apply.stream_apply(spark.readStream.schema(changes.schema).parquet(path), cells, out, V.SIZED, ck)
+    arrivals(changes, "sized-changes", "ord", run)
+    rows = drop_unchanged(apply.applied_history(spark, out, sizes, V.SIZED), sizes, V.SIZED)
+    return rows.select("dataset", "ord", "cell", F.hex("payload").alias("payload"))
+
+
 @query("stream_fingerprints", f"""with {HASHES}, top as (select dataset, max(ord) last from hist group by 1)
 select s.dataset, s.snap, s.ord, acc from spine s join prints p on p.dataset = s.dataset and p.ord = s.ord
 join top on top.dataset = s.dataset and s.ord <= last""")
@@ -100,6 +116,22 @@ def stream_fingerprints(spark, sf):
     return fingerprint.stored_fingerprints(spark, out).select("dataset", "snap", "ord", L.acc_to_text("acc").alias("acc"))
 
 
+@query("stream_split_versions", f"""with {HASHES}, top as (select dataset, max(ord) last from hist group by 1)
+select s.dataset, s.snap, s.ord, acc from spine s join prints p on p.dataset = s.dataset and p.ord = s.ord
+join top on top.dataset = s.dataset and s.ord <= last""")
+def stream_split_versions(spark, sf):
+    """The same cells in three batches that end in the middle of a version."""
+    cells = V.cells(spark, sf).withColumn("place", F.col("ord") * 64 + F.col("cell") + 17)
+    out, ck = scratch_path(spark, "split-prints"), scratch_path(spark, "split-state")
+
+    def run(path):
+        stream = spark.readStream.schema(cells.schema).parquet(path)
+        return fingerprint.stream_fingerprints(stream, V.spine(spark, sf), out, ck)
+    arrivals(cells, "split-cells", "place", run)
+    fingerprint.finish_fingerprints(spark, V.spine(spark, sf), out)
+    return fingerprint.stored_fingerprints(spark, out).select("dataset", "snap", "ord", L.acc_to_text("acc").alias("acc"))
+
+
 @query("stream_rate", f"""with e as (select dataset, ts, bytes from ({D(V.PROGRESS)})),
 w as (select dataset, bytes, unnest(range(0, 6)) k, time_bucket(interval '1 hour', ts) h from e)
 select dataset, epoch_us(h - to_hours(cast(k as int))) window_start, cast(sum(bytes) as bigint) bytes, count(*) events from w group by 1, 2""")
