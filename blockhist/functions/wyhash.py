@@ -245,3 +245,8 @@ def add_accs(a: pa.Array, b: pa.Array) -> pa.Array:
         else:
             res.append((np.frombuffer(x, "<u2") + np.frombuffer(y, "<u2")).astype("<u2").tobytes())
     return pa.array(res, type=pa.binary())
+
+
+def negated_accs(a: pa.Array) -> pa.Array:
+    """Lane-wise negatives modulo 2^16; NULL stays NULL."""
+    return pa.array([None if x is None else (0 - np.frombuffer(x, "<u2")).astype("<u2").tobytes() for x in a.to_pylist()], type=pa.binary())

@@ -103,14 +103,14 @@ def checked_cell_size(existing: DataFrame, cell_size: int) -> DataFrame:
         F.raise_error(text).cast("long")))
 
 
-def checked_accumulators(existing: DataFrame, lanes: int, cell_size: int | None) -> DataFrame:
+def checked_accumulators(existing: DataFrame, lanes: int, cell_size: int | None, algo: str = SQL) -> DataFrame:
     """Fail the job when a stored accumulator cannot be continued: another number of lanes, another
     hash, or, where both are known, another cell size."""
     ok = F.octet_length("acc") == 2 * lanes
     if "lanes" in existing.columns:
         ok = ok & (F.col("lanes") == lanes)
     if "algo" in existing.columns:
-        ok = ok & (F.col("algo") == SQL)
+        ok = ok & (F.col("algo") == algo)
     if cell_size is not None and "cell_size" in existing.columns:
         ok = ok & (F.col("cell_size") == cell_size)
     text = F.concat(F.lit("accumulator made in another way: "), "dataset", F.lit("@"), "snap")
@@ -252,13 +252,26 @@ def wy_lthash(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _wy_history(history: DataFrame, versions: DataFrame) -> DataFrame:
+    return versions.join(_wy_running(_wy_deltas(history, versions, None), versions), ["dataset", "ord"])
+
+
+def _wy_deltas(rows: DataFrame, versions: DataFrame, bases: DataFrame | None) -> DataFrame:
+    """Lane changes per (dataset, ord). Rows at their dataset's base are the old content of cells that change
+    later: they are no change themselves, they only end."""
     from .history import validity
-    rows = wy_seeds(history.select("dataset", "ord", "cell", "payload"))
-    spans = validity(rows, versions).select("dataset", F.col("ord").cast("int").alias("ord"),
-                                            F.col("nxt").cast("int").alias("nxt"), "seed")
+    seeded = wy_seeds(rows.select("dataset", "ord", "cell", "payload"))
+    spans = validity(seeded, versions).select("dataset", F.col("ord").cast("int").alias("ord"),
+                                              F.col("nxt").cast("int").alias("nxt"), "seed").filter("seed <> 0")
+    if bases is not None:
+        spans = (spans.join(bases, "dataset", "left")
+                 .withColumn("ord", F.when(F.expr("base is null or ord > base"), F.col("ord"))).drop("base"))
     # a seed counts from its own version until the next change of the cell
-    deltas = _wy_sums(spans.filter("seed <> 0"), ["dataset"], [("ord", 1), ("nxt", -1)])
-    deltas = deltas.withColumnRenamed("_v", "ord")
+    return _wy_sums(spans, ["dataset"], [("ord", 1), ("nxt", -1)]).withColumnRenamed("_v", "ord")
+
+
+def _wy_running(deltas: DataFrame, versions: DataFrame) -> DataFrame:
+    """Running sums of the deltas over the versions: (dataset, ord, acc). Rows of accumulators are streamed in order,
+    one held at a time; a dataset is cut into chunks of versions."""
     zero = L.zero_acc(wyhash.WY_LANES)
     spine = (versions.select("dataset", "ord").join(deltas, ["dataset", "ord"], "left")
              .withColumn("acc", F.coalesce("acc", zero))
@@ -270,15 +283,50 @@ def _wy_history(history: DataFrame, versions: DataFrame) -> DataFrame:
     outer = T.StructType(totals.schema.fields + [T.StructField("before", T.BinaryType())])
     before = _streamed(totals, ["dataset"], ["chunk"],
                        lambda it: wyhash.streamed_running(it, ["dataset"], "before", False), outer)
-    joined = (local.drop("acc").join(before.drop("acc"), ["dataset", "chunk"])
-              .select("dataset", "ord", "local", "before"))
-    final = T.StructType([f for f in joined.schema.fields if f.name in ("dataset", "ord")]
-                         + [T.StructField("acc", T.BinaryType())])
+    joined = local.drop("acc").join(before.drop("acc"), ["dataset", "chunk"])
+    return _added(joined, "local", "before")
+
+
+def _added(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(dataset, ord, acc): the lane-wise sum of two accumulator columns, NULL as zero."""
+    both = rows.select("dataset", "ord", F.col(a).alias("a"), F.col(b).alias("b"))
+    final = T.StructType([f for f in both.schema.fields if f.name in ("dataset", "ord")] + [T.StructField("acc", T.BinaryType())])
 
     def add(batches):
         import pyarrow as pa
-        for b in batches:
-            acc = wyhash.add_accs(b.column("local"), b.column("before"))
-            yield pa.RecordBatch.from_arrays([b.column("dataset"), b.column("ord"), acc],
-                                             names=["dataset", "ord", "acc"])
-    return versions.join(joined.mapInArrow(add, final), ["dataset", "ord"])
+        for batch in batches:
+            acc = wyhash.add_accs(batch.column("a"), batch.column("b"))
+            yield pa.RecordBatch.from_arrays([batch.column("dataset"), batch.column("ord"), acc], names=["dataset", "ord", "acc"])
+    return both.mapInArrow(add, final)
+
+
+def wy_subtract(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, acc)``: accumulators of ``a`` less those of ``b``, per key; a missing one is zero."""
+    both = a.select(*keys, F.col("acc").alias("_a")).join(b.select(*keys, F.col("acc").alias("_b")), keys, "full_outer")
+    schema = T.StructType([f for f in both.schema.fields if f.name in keys] + [T.StructField("acc", T.BinaryType())])
+
+    def subtract(batches):
+        import pyarrow as pa
+        for batch in batches:
+            acc = wyhash.add_accs(batch.column("_a"), wyhash.negated_accs(batch.column("_b")))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], acc], names=[*keys, "acc"])
+    return both.mapInArrow(subtract, schema)
+
+
+def extend_wy_fingerprints(existing: DataFrame, history: DataFrame, versions: DataFrame, cell_size: int | None = None) -> DataFrame:
+    """Complete stored ``lt-wy`` fingerprints, such as those of an imported file: kept rows, plus rows for the versions after them.
+
+    As ``extend_fingerprints``: only changes after the base are hashed, and the old content of the cells they touch; its
+    lanes are subtracted where the cell changes, and the base's accumulator comes from the stored row.
+    """
+    existing = checked_accumulators(existing, wyhash.WY_LANES, cell_size, WY)
+    bases = materialise(covered_prefix(existing, versions).select("dataset", "base"), "bases")
+    spine = versions.join(bases, "dataset")
+    kept = spine.filter("ord <= base").join(existing.select("dataset", "snap", "acc"), ["dataset", "snap"])
+    start = kept.filter("ord = base").select("dataset", F.col("acc").alias("_start"))
+    todo = spine.filter("base is null or ord > base").select(*versions.columns)
+    fresh = history.join(bases, "dataset").filter("base is null or ord > base").select(*history.columns)
+    rows = fresh.unionByName(old_content(history, bases).select(*history.columns))
+    sums = _wy_running(_wy_deltas(rows, versions, bases), todo).join(start, "dataset", "left")
+    added = todo.join(_added(sums, "acc", "_start"), ["dataset", "ord"])
+    return kept.select(*versions.columns, "acc").unionByName(added.select(*versions.columns, "acc"))

@@ -88,6 +88,21 @@ def test_extended_equals_from_scratch(data, models, history, kept):
     assert got == {(r["dataset"], r["ord"]): bytes(r["acc"]) for r in whole.collect()}
 
 
+@pytest.mark.parametrize("kept", [0, 2, 99])
+def test_extended_wide_lanes_equal_from_scratch(data, history, kept):
+    versions = data[0]
+    whole = materialise(FP.fingerprint_history(history, versions, algo=FP.WY), "fps")
+    stored = whole.filter(F.col("ord") <= kept)
+    got = {(r["dataset"], r["ord"]): bytes(r["acc"]) for r in FP.extend_wy_fingerprints(stored, history, versions).collect()}
+    assert got == {(r["dataset"], r["ord"]): bytes(r["acc"]) for r in whole.collect()}
+    if kept == 2:
+        first, second = (whole.filter(F.col("ord") == o).select("dataset", "acc") for o in (1, 2))
+        step = FP.wy_subtract(second, first, ["dataset"])
+        back = FP._added(step.withColumn("ord", F.lit(2)).join(first.withColumnRenamed("acc", "_a"), "dataset"), "acc", "_a")
+        assert {r["dataset"]: bytes(r["acc"]) for r in back.join(second.select("dataset"), "dataset", "left_semi").collect()} == {
+            r["dataset"]: bytes(r["acc"]) for r in second.collect()}
+
+
 def test_extension_reads_only_changed_cells(data, history):
     base = data[0].select("dataset", F.lit(1).alias("base")).distinct()
     rows = FP.old_content(history, base).filter("dataset = 'same'").collect()

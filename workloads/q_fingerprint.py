@@ -8,7 +8,7 @@ from blockhist.functions import lanes as L
 from blockhist.operators import fingerprint as FP, history as H
 from blockhist.session import materialise
 
-from . import views as V
+from . import views as V, wy_sql
 from .q_sources import doc_cells
 from .registry import query
 
@@ -212,34 +212,28 @@ def net(*values):
     return "||".join(f"octet_length(encode(cast({v} as varchar)))||':'||cast({v} as varchar)||','" for v in values)
 
 
-TABLE_SEED = ("sha256(" + net("l_orderkey", "l_linenumber") + "||'='||" + net(
-    "l_partkey", "l_suppkey", "cast(round(l_quantity*100) as bigint)", "l_returnflag", "l_linestatus") + ")")
-
-
-@query("table_fingerprint", f"""with s as (select l_returnflag, {TABLE_SEED} h from lineitem), l as ({lanes_of('s')}),
-t as (select l_returnflag, lane, sum(x) v from l group by 1, 2)
-select l_returnflag, (select count(*) from lineitem i where i.l_returnflag = t.l_returnflag) "rows", {PACK} acc from t group by 1""")
-def table_fingerprint(spark, sf):
-    """All line items, one fingerprint per return flag."""
-    items = V.table(spark, sf, "lineitem").withColumn("qty", F.round(F.col("l_quantity") * 100).cast("long"))
-    out = FP.table_fingerprint(items, ["l_orderkey", "l_linenumber"],
-                               ["l_partkey", "l_suppkey", "qty", "l_returnflag", "l_linestatus"], ["l_returnflag"])
-    return text_acc(out)
-
-
 WHOLE_SEED = ("sha256(" + net("l_orderkey", "l_linenumber") + "||'='||" + net(
     "l_partkey", "l_suppkey", *[f"cast(round(l_{c}*100) as bigint)" for c in ("quantity", "extendedprice", "discount", "tax")],
     "l_returnflag", "l_linestatus", "l_shipdate") + ")")
 
 
-@query("table_fingerprint_whole", f"""with s as (select l_returnflag, {WHOLE_SEED} h from lineitem), l as ({lanes_of('s')}),
+TABLE_SQL = f"""with s as (select l_returnflag, {WHOLE_SEED} h from lineitem), l as ({lanes_of('s')}),
 t as (select l_returnflag, lane, sum(x) v from l group by 1, 2)
-select l_returnflag, (select count(*) from lineitem i where i.l_returnflag = t.l_returnflag) "rows", {PACK} acc from t group by 1""")
-def table_fingerprint_whole(spark, sf):
+select l_returnflag, (select count(*) from lineitem i where i.l_returnflag = t.l_returnflag) "rows", {PACK} acc from t group by 1"""
+
+
+@query("table_fingerprint", TABLE_SQL)
+def table_fingerprint(spark, sf):
     """All line items with all their columns, one fingerprint per return flag."""
     return whole_fingerprint(V.table(spark, sf, "lineitem"))
 
 
+@query("table_fingerprint_whole", TABLE_SQL)
+def table_fingerprint_whole(spark, sf):
+    """The same under its earlier name."""
+    return table_fingerprint(spark, sf)
+
+
 def whole_fingerprint(items):
     money = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     items = items.withColumns({c: F.round(F.col(c) * 100).cast("long") for c in money})
@@ -262,14 +256,37 @@ def table_replica_check(spark, sf):
     return text_acc(FP.table_fingerprint(both, ["o_orderkey"], ["cents"], ["side"]))
 
 
-@query("wy_fingerprint_history")
+WY_HISTORY = f"""{V.HIST}, {V.SPINE_STEP},
+live as (select dataset, ord, cell, lower(hex(encode(payload))) h from (
+  select s.dataset, s.ord, h.cell, arg_max_null(h.payload, h.ord) payload
+  from spine s join hist h on h.dataset = s.dataset and h.ord <= s.ord group by 1, 2, 3) where payload is not null),
+{wy_sql.seeds('live')}, {wy_sql.digests('dataset, ord')}
+select s.dataset, s.snap, s.ord, coalesce(digest, {wy_sql.ZERO}) digest from spine s left join digests d on d.dataset = s.dataset and d.ord = s.ord"""
+
+
+@query("wy_fingerprint_history", f"with recursive {WY_HISTORY}")
 def wy_fingerprint_history(spark, sf):
-    """The 1,024-lane hash of every version (no SQL: 64-bit multiplication hash)."""
+    """The 1,024-lane hash of every version; the SQL hashes each version from scratch."""
     out = FP.fingerprint_history(V.cells(spark, sf), V.spine(spark, sf), algo=FP.WY)
     return out.select("dataset", "snap", "ord", L.acc_digest("acc").alias("digest"))
 
 
-@query("wy_document_fingerprints")
+@query("extend_wy_fingerprints", f"with recursive {WY_HISTORY}")
+def extend_wy_fingerprints(spark, sf):
+    """Stored 1,024-lane fingerprints of the first half of the versions, written as text, read again and extended."""
+    cells, spine = V.cells(spark, sf), V.spine(spark, sf)
+    half = FP.fingerprint_history(cells, spine, algo=FP.WY).filter("ord <= 30")
+    text = half.withColumn("acc", L.acc_to_text("acc"))
+    stored = materialise(text, "wy-text").withColumn("acc", L.acc_from_text("acc", 1024))
+    out = FP.extend_wy_fingerprints(stored, cells, spine)
+    return out.select("dataset", "snap", "ord", L.acc_digest("acc").alias("digest"))
+
+
+@query("wy_document_fingerprints", f"""with recursive docs as (select dataset, ord, encode(text) b from ({V.duck(V.DOC_VERSIONS)})),
+cut as (select dataset, ord, c cell, lower(rpad(hex(array_slice(b, c*4096+1, c*4096+4096)), 8192, '0')) h
+        from (select *, unnest(range(0, (octet_length(b)-1)//4096+1)) c from docs where octet_length(b) > 0)),
+live as (select * from cut where h <> repeat('0', 8192)), {wy_sql.seeds('live')}, {wy_sql.digests('dataset, ord')}
+select * from digests""")
 def wy_document_fingerprints(spark, sf):
     out = FP.wy_lthash(doc_cells(spark, sf, 4096), ["dataset", "ord"])
     return out.select("dataset", "ord", L.acc_digest("acc").alias("digest"))
