@@ -7,8 +7,9 @@ give in that shard; the quotas are integers and never ask for more than ``most``
 over that stream and a run of blocks that starts at a seeded block. What a document gives is the
 overlap of its own interval with that run, a closed form: no block is ever listed.
 
-The driver sees one row per source. A hot source is spread over all shards, whose number follows
-the number of rows.
+Sources are a written table, however many there are: their weights follow from their ranks in one range
+shuffle, and their targets from a level found by a few sums over that table. A hot source is spread over all
+shards, whose number follows the number of rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered
 from ..session import materialise
 from .names import free_name
 
@@ -32,20 +34,29 @@ def count_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[int], share: Fraction, most: int) -> list[Fraction]:
-    """Shares by weight of ``share`` times all sizes; one that would pass ``most`` times its size
-    stops there and the excess is shared again among the others by weight."""
-    out: dict[int, Fraction] = {}
-    total = share * sum(sizes)
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: Fraction, most: int) -> DataFrame:
+    """(source, source_size, place, target) of (source, source_size): shares by weight of ``share`` times all sizes; a
+    target that would pass ``most`` times its size stops there and the excess is shared again among the others by weight.
+
+    Sources weigh ``weights`` in turn, in order of name. A source stops below the common level (words per weight)
+    at which all is given out; the level only rises, and each step is one sum over the sources.
+    """
+    cut = ordered.range_chunks(sizes, [], ["source"])
+    placed = ordered.row_numbers(cut, [], ["source"], "place", "_chunk").drop("_chunk")
+    turn = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    placed = materialise(placed.withColumn("weight", turn), "mix-sources")
+    whole = placed.agg(F.sum("source_size")).first()[0] or 0
+    free, level = None, Fraction(0)
     while True:
-        free = [i for i in range(len(sizes)) if i not in out]
-        left, weight = total - sum(out.values()), sum(weights[i] for i in free)
-        given = {i: left * weights[i] / weight for i in free}
-        over = [i for i in free if given[i] > most * sizes[i]]
-        if not over:
-            out |= given
-            return [Fraction(out[i]) for i in range(len(sizes))]
-        out |= {i: Fraction(most * sizes[i]) for i in over}
+        full = F.col("source_size") * most < F.col("weight") * F.lit(float(level))
+        row = placed.agg(F.sum(F.when(full, F.col("source_size"))).alias("size"), F.sum(F.when(~full, F.col("weight"))).alias("weight"),
+                         F.count(F.when(~full, 1)).alias("free")).first()
+        if row["free"] == free or not row["free"]:
+            break
+        free = row["free"]
+        level = (share * whole - most * (row["size"] or 0)) / row["weight"]
+    of_weight = F.coalesce(*[F.when(F.col("weight") == w, F.lit(float(level * w))) for w in dict.fromkeys(weights)])
+    return placed.select("source", "source_size", "place", F.when(full, (F.col("source_size") * most).cast("double")).otherwise(of_weight).alias("target"))
 
 
 def apportion(votes: list[float], caps: list[int], seats: int, block: float) -> list[int]:
@@ -82,40 +93,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Frac
 
     Sources in order of code point, null last, weigh ``weights`` in turn. ``taken`` is at most
     ``most`` times ``size``. A null or empty text has size 0 and gives nothing; an empty table gives
-    no rows; repeated rows are separate documents of equal standing, which of them gives more is the
-    same in every run as far as rows can be told apart. All reruns agree.
+    no rows; repeated rows are separate documents of equal standing; rows of one id and size are told apart by
+    their texts. All reruns agree.
     """
     rows = docs.count()
     shards = max(1, -(-rows // rows_per_shard))
-    inner = [free_name(docs, f"mix_{c}") for c in ("source", "shard", "size", "order", "start")]
-    source, shard, size, order, start = inner
+    inner = [free_name(docs, f"mix_{c}") for c in ("source", "shard", "size", "order", "start", "text")]
+    source, shard, size, order, start, text = inner
     based = docs.withColumns({
-        source: F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")),
-        size: count_words("text"), order: F.xxhash64(F.lit(seed), "doc_id")})
-    based = based.withColumn(shard, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", size), F.lit(shards)).cast("int"))
+        source: F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), "source")),
+        size: count_words("text"), order: F.xxhash64(F.lit(seed), "doc_id"), text: F.xxhash64("text")})
+    based = based.withColumn(shard, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", size, text), F.lit(shards)).cast("int"))
     cells = materialise(based.groupBy(F.col(source).alias("source"), F.col(shard).alias("shard"))
                         .agg(F.sum(size).alias("words")), "mix-cells")
-    totals = {r.source: int(r.words) for r in cells.groupBy("source").agg(F.sum("words").alias("words")).collect()}
-    names = sorted(totals, key=lambda s: (s == "n", s))
-    goals = targets([totals[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], share, most) if names else []
-    goal = dict(zip(names, goals))
-    shared = docs.sparkSession.sparkContext.broadcast({s: (i, totals[s], goal[s]) for i, s in enumerate(names)})
+    known = materialise(source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "mix-targets")
 
     def quotas(of_shard: pd.DataFrame) -> pd.DataFrame:
-        known = shared.value
-        of_shard = of_shard.sort_values("source", key=lambda c: c.map(lambda s: known[s][0]))
+        of_shard = of_shard.sort_values("place")
         words = of_shard["words"].astype(int).tolist()
-        ideal = [float(known[s][2] * w / known[s][1]) if known[s][1] else 0.0 for s, w in zip(of_shard["source"], words)]
+        ideal = [float(t * w / n) if n else 0.0 for t, w, n in zip(of_shard["target"], words, of_shard["source_size"])]
         taken = apportion(ideal, [-(-most * w // block) for w in words], round(sum(ideal) / block), block)
-        return of_shard.assign(quota=[min(n * block, most * w) for n, w in zip(taken, words)],
-                               source_size=[known[s][1] for s in of_shard["source"]],
-                               target=[float(known[s][2]) for s in of_shard["source"]])
+        return of_shard.assign(quota=[min(n * block, most * w) for n, w in zip(taken, words)])[
+            ["source", "shard", "words", "quota", "source_size", "target"]]
 
-    quota = cells.groupBy("shard").applyInPandas(
+    quota = cells.join(known, "source").groupBy("shard").applyInPandas(
         quotas, "source string, shard int, words long, quota long, source_size long, target double")
     names_q = {c: f"{free_name(docs, 'quota')}_{c}" for c in quota.columns}
     quota = quota.withColumnsRenamed(names_q)
-    w = Window.partitionBy(source, shard).orderBy(order, "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(source, shard).orderBy(order, "doc_id", size, text).rowsBetween(Window.unboundedPreceding, -1)
     laid = based.withColumn(start, F.coalesce(F.sum(size).over(w), F.lit(0)))
     q = {c: F.col(n) for c, n in names_q.items()}
     joined = laid.join(quota, (F.col(source) == q["source"]) & (F.col(shard) == q["shard"]))

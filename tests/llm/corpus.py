@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from fractions import Fraction
 from collections import Counter
 
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -132,3 +133,19 @@ def quality_base(text):
 
 def in_order(rows):
     return sorted((tuple(r) for r in rows), key=str)
+
+
+def targets(sizes, weights, share, most):
+    """Shares by weight of ``share`` times all sizes; what passes ``most`` times its size stops there, the excess is
+    shared again among the others by weight. In fractions, source by source."""
+    out = {}
+    total = share * sum(sizes)
+    while True:
+        free = [i for i in range(len(sizes)) if i not in out]
+        left, weight = total - sum(out.values()), sum(weights[i] for i in free)
+        given = {i: left * weights[i] / weight for i in free}
+        over = [i for i in free if given[i] > most * sizes[i]]
+        if not over:
+            out |= given
+            return [Fraction(out[i]) for i in range(len(sizes))]
+        out |= {i: Fraction(most * sizes[i]) for i in over}

@@ -392,9 +392,30 @@ def test_apportionment_takes_the_highest_quotients():
 
 
 def test_targets_stop_at_twice_the_size():
-    assert mixing.targets([100, 100, 100], [5, 2, 1], Fraction(3, 2), 2) == [200, Fraction(500, 3), Fraction(250, 3)]
-    assert mixing.targets([10, 1000], [5, 2], Fraction(3, 2), 2) == [20, 1495]
-    assert mixing.targets([0, 0], [5, 2], Fraction(3, 2), 2) == [0, 0]
+    assert C.targets([100, 100, 100], [5, 2, 1], Fraction(3, 2), 2) == [200, Fraction(500, 3), Fraction(250, 3)]
+    assert C.targets([10, 1000], [5, 2], Fraction(3, 2), 2) == [20, 1495]
+    assert C.targets([0, 0], [5, 2], Fraction(3, 2), 2) == [0, 0]
+
+
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(6)
+    for n in (1, 2, 3, 40, 400):
+        sizes = {f"s{i:04d}": rnd.choice([0, 1, 10, 1000, rnd.randrange(10 ** 7)]) for i in range(n)}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)
+        got = {r.source: r.target for r in mixing.source_targets(df, (5, 2, 1), Fraction(3, 2), 2).collect()}
+        want = C.targets([sizes[s] for s in sorted(sizes)], [(5, 2, 1)[i % 3] for i in range(n)], Fraction(3, 2), 2)
+        assert [got[s] for s in sorted(sizes)] == pytest.approx([float(x) for x in want], rel=1e-12)
+
+
+def test_rows_of_one_id_and_size_are_spread(spark):
+    """Texts of one null id and one size: shards hold about as many rows as they should, reruns agree."""
+    rows = [(None, f"word{i} of seven words in this text", "a") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(df, rows_per_shard=100).select("text", "mix.taken")
+    cells = mixed.collect()
+    assert sum(r.taken for r in cells) == pytest.approx(1.5 * 7 * 1200, rel=.01)
+    again = mixing.mix_sources(df.repartition(7), rows_per_shard=100).select("text", "mix.taken").collect()
+    assert C.in_order(again) == C.in_order(cells)
 
 
 def test_mix(spark):
@@ -408,7 +429,7 @@ def test_mix(spark):
         sizes[r.source] = sizes.get(r.source, 0) + r.size
         goal[r.source] = r.target
     names = sorted(sizes)
-    want = mixing.targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], Fraction(3, 2), 2)
+    want = C.targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], Fraction(3, 2), 2)
     assert all(math.isclose(goal[s], w) for s, w in zip(names, want))
     assert all(abs(taken[s] - goal[s]) <= 40 for s in names)
     again = mixing.mix_sources(docs.repartition(7), rows_per_shard=60).select("doc_id", "mix.taken").collect()
