@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from blockhist.operators import history as H, policy, regrain as G, resume
-from blockhist.plans import dry_run, replay as RP
-from blockhist.session import materialise
+from blockhist.plans import convert, dry_run, replay as RP
+from blockhist.session import materialise, scratch_path
 from blockhist.sources import catalog
 
 from . import views as V
@@ -267,6 +269,51 @@ def replay_finer(spark, sf):
     return _replayed(spark, sf, 128)
 
 
+def _log(spark, sf, name, versions, images, changes, upto=None, taken=(), estimates=None):
+    """A conversion's input: every dataset read-only, nothing written since its newest version."""
+    if upto is not None:
+        versions, images, changes = (df.filter(F.col("ord") <= upto) for df in (versions, images, changes))
+    datasets = versions.select("dataset").distinct()
+    settings = datasets.select("dataset", F.lit("on").alias("readonly"), F.lit(name).alias("target"), F.lit(name + "_old").alias("backup"))
+    names = spark.createDataFrame([(n,) for n in taken], "name string")
+    return convert.Log(versions, images, changes, settings, datasets.withColumn("written", F.lit(0).cast("long")), names, estimates)
+
+
+@query("rebuild_resumed", replay_sql(2048))
+def rebuild_resumed(spark, sf):
+    """A conversion that stops after the first version, is recorded, and is taken up again; equals a full run."""
+    name = "resumed_" + uuid.uuid4().hex
+    versions = doc_versions(spark, sf).withColumn("version_id", F.col("ord").cast("long"))
+    images, changes = doc_cells(spark, sf, 512), doc_changes(spark, sf)
+    first = convert.Conversion(512, 2048, verify=False, location=scratch_path(spark, "converted"))
+    convert.convert(spark, name, _log(spark, sf, name, versions, images, changes, 1), first)
+    wanted = versions.select("dataset", F.lit("s2").alias("resume_from")).distinct()
+    again = convert.Conversion(512, 2048, resume_from=wanted, verify=False, location=scratch_path(spark, "converted"))
+    convert.convert(spark, name, _log(spark, sf, name, versions, images, changes, None, [name]), again)
+    return _shown(spark.table(name))
+
+
+@query("rebuild_drift", f"""with {CLAMPED},
+e as (select dataset, ord, cast(coalesce(sum(len) filter (op = 'WRITE'), 0) as bigint) written,
+  cast(coalesce(sum(len) filter (op = 'WRITE' and seq % 3 <> 0), 0) as bigint) estimate from clamped group by 1, 2)
+select dataset, ord, estimate, written, abs(written - estimate) diff,
+  estimate > 0 and abs(written - estimate) > 131072 and abs(written - estimate) > estimate // 10 drift from e""")
+def rebuild_drift(spark, sf):
+    """The drift rows of a conversion whose estimates leave out every third record."""
+    name = "drift_" + uuid.uuid4().hex
+    changes = clamped(spark, sf)
+    versions = change_versions(spark, sf).withColumns({
+        "snap": F.concat(F.lit("s"), F.col("ord").cast("string")), "version_id": F.col("ord").cast("long"), "is_head": F.lit(False)})
+    written = changes.filter("op = 'WRITE'").select("dataset", "ord", F.explode(F.sequence(
+        F.expr("off div 4096"), F.expr("(off + len - 1) div 4096"))).alias("cell")).distinct()
+    images = written.withColumn("payload", F.concat_ws(":", "dataset", F.col("ord").cast("string"), F.col("cell").cast("string")).cast("binary"))
+    counts = F.sum(F.when((F.col("op") == "WRITE") & (F.col("seq") % 3 != 0), F.col("len")).otherwise(0)).cast("long")
+    estimates = changes.groupBy("dataset", "ord").agg(counts.alias("estimate"))
+    done = convert.convert(spark, name, _log(spark, sf, name, versions, images, changes, estimates=estimates),
+                           convert.Conversion(4096, 65536, verify=False, location=scratch_path(spark, "converted")))
+    return done.drift
+
+
 @query("dry_run_plan", f"""with {CLAMPED},
 v as (select dataset, cast(ord as int) ord, 's'||ord snap from (select distinct dataset, ord from ({D(V.CHANGES)}))),
 e as (select dataset, ord, cast(coalesce(sum(len) filter (op = 'WRITE'), 0) as bigint) estimate from clamped group by 1, 2)
