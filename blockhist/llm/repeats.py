@@ -182,7 +182,7 @@ def _runs(flags: np.ndarray):
     return edges[::2], edges[1::2]
 
 
-def _suffix_spans(rows: DataFrame, length: int) -> DataFrame:
+def _suffix_spans(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(bucket: pa.Table) -> pa.Table:
@@ -194,7 +194,9 @@ def _suffix_spans(rows: DataFrame, length: int) -> DataFrame:
         at = pa.array([x[0] for x in out], pa.int64())
         return pa.table({"doc_id": bucket["doc_id"].take(at), "tk": bucket["tk"].take(at),
                          "start": pa.array([x[1] for x in out], pa.int32()), "end": pa.array([x[2] for x in out], pa.int32())})
-    return rows.groupBy("bucket").applyInArrow(run, f"doc_id {kind}, tk long, start int, end int")
+    # a few MB can be many seconds of sorting: the number of tasks follows the buckets, not the bytes
+    tasks = min(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, f"doc_id {kind}, tk long, start int, end int")
 
 
 def _whole_strings(rows: DataFrame, length: int) -> DataFrame:
@@ -247,7 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rivals = materialise(different.join(meeting, ["core1", "core2"]), "repeat-rivals")
     buckets = max(1, -(-rivals.count() // BUCKET))
     ordered = _suffix_spans(rivals.where(F.col("k") <= BUCKET).withColumn(
-        "bucket", F.pmod(F.xxhash64("core1", "core2"), F.lit(buckets))), length)
+        "bucket", F.pmod(F.xxhash64("core1", "core2"), F.lit(buckets))), length, buckets)
     hot = _whole_strings(rivals.where(F.col("k") > BUCKET), length)
     spans = whole.unionByName(equal).unionByName(ordered).unionByName(hot)
     return spans.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
