@@ -1,8 +1,9 @@
 """Comparison of two histories, down to the first differing byte.
 
 Cells are compared by the sha-256 digest of the whole cell (short payloads are padded with
-zeros), so the shuffle carries 32 bytes per change instead of payloads. Payloads are read again only for the first differing cell of each version. A
-change is compared once, however many versions share it.
+zeros). The histories of neighbouring cells are first compared by one digest per block, so equal histories move one
+row a block; of blocks that differ the shuffle carries 32 bytes per change. Payloads are read again only for the first
+differing cell of each version. A change is compared once, however many versions share it.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ordered
-from ..functions.cells import full_cell, is_hole
+from ..functions.cells import full_cell, idiv, is_hole
 from ..session import materialise
 from .regrain import to_finer
 
 KEY = ["dataset", "cell"]
 MODES = ("none", "head", "all", "one")
+#: cells whose histories share a digest
+BLOCK = 1 << 8
 #: levels of the binary tree over version numbers (ord is a 32-bit integer)
 LEVELS = 31
 
@@ -71,26 +74,54 @@ def _last_byte(grain: int):
 
 
 def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str, grain: int) -> DataFrame:
-    """Rows with ``v`` = first compared version that sees the row.
+    """Narrow rows ``(dataset, cell, block, v, ord, late, d, last)``: ``v`` = first compared version that sees the row,
+    ``late`` = how far that version's own number is from the row's, ``d`` the digest of the content (NULL = hole).
 
-    Both sides may number and skip versions differently. Of the rows of a cell that no
-    compared version tells apart, the latest counts.
+    Both sides may number and skip versions differently. Written: payloads are read and hashed once. The last byte
+    is looked for only where the sizes of the two sides differ.
     """
-    marks = pairs.filter(F.col(f"ord_{side}").isNotNull()).select("dataset", F.col(f"ord_{side}").alias("ord"), "v")
-    known = history.select("dataset", "ord").distinct().withColumn("v", F.lit(None).cast("int"))
-    line = (marks.unionByName(known).groupBy("dataset", "ord").agg(F.max("v").alias("v"))
+    marks = pairs.filter(F.col(f"ord_{side}").isNotNull()).select(
+        "dataset", F.col(f"ord_{side}").alias("ord"), F.struct("v", F.col(f"ord_{side}").alias("mark")).alias("_m"))
+    known = history.select("dataset", "ord").distinct().withColumn("_m", F.lit(None).cast("struct<v:int,mark:int>"))
+    line = (marks.unionByName(known).groupBy("dataset", "ord").agg(F.max("_m").alias("_m"))
             .withColumn("_neg", -F.col("ord")))
     # one row per version: with its size known the history need not move to be numbered
     line = materialise(line, "numbers")
     chunk = None if ordered.history_chunk(line) is None else -ordered.int_chunk("ord")
-    mapped = ordered.carry_forward(line, ["dataset"], "_neg", ["v"], chunk).filter("v is not null")
+    mapped = ordered.carry_forward(line, ["dataset"], "_neg", ["_m"], chunk).filter("_m is not null")
+    uneven = _common_sizes(pairs).select("dataset", F.lit(True).alias("_uneven"))
+    mapped = materialise(mapped.join(uneven, "dataset", "left").select("dataset", "ord", "_m", "_uneven"), "numbered")
     full = history.withColumn("payload", full_cell("payload", grain))
     rows = full.withColumn("_d", F.when(~is_hole("payload", grain), F.unhex(F.sha2("payload", 256))))
-    rows = rows.withColumn("_last", _last_byte(grain))
-    return (rows.join(mapped.select("dataset", "ord", "v"), ["dataset", "ord"])
-            .groupBy(*KEY, "v").agg(F.max_by(F.struct("_d", "ord", "_last"), F.col("ord")).alias("_r"))
-            .select(*KEY, "v", F.struct(F.col("_r._d").alias("d"), F.col("_r.ord").alias("at"),
-                                        F.col("_r._last").alias("last")).alias("_s")))
+    return materialise(rows.join(mapped, ["dataset", "ord"]).select(
+        *KEY, idiv("cell", BLOCK).alias("block"), F.col("_m.v").alias("v"), "ord", (F.col("_m.mark") - F.col("ord")).alias("late"),
+        F.col("_d").alias("d"), F.when(F.col("_uneven"), _last_byte(grain)).alias("last")), f"side-{side}")
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """Of the rows of a cell that no compared version tells apart the latest: ``(dataset, cell, v, _s)``."""
+    return (rows.groupBy(*KEY, "v").agg(F.max_by(F.struct("d", "ord", "last"), F.col("ord")).alias("_r"))
+            .select(*KEY, "v", F.struct(F.col("_r.d").alias("d"), F.col("_r.ord").alias("at"), F.col("_r.last").alias("last")).alias("_s")))
+
+
+def block_digests(rows: DataFrame) -> DataFrame:
+    """One row per (dataset, block of BLOCK cells): sums of two hashes over all rows of the block's whole history.
+
+    Equal sums mean equal rows, and so equal content in every compared version. Summed before the shuffle.
+    """
+    what = [F.col("cell"), F.col("v"), F.col("late"), F.coalesce("d", F.lit(b""))]
+    return rows.groupBy("dataset", "block").agg(
+        F.sum(F.xxhash64(F.lit(1), *what).cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(2), *what).cast("decimal(20,0)")).alias("h2"),
+        F.count(F.lit(1)).alias("n"))
+
+
+def open_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Blocks ``(dataset, block)`` that have to be looked into: those whose digests differ, and those of datasets
+    whose sizes differ in some version."""
+    a, b = (block_digests(x).select("dataset", "block", F.struct("h1", "h2", "n").alias(n)) for x, n in ((left, "a"), (right, "b")))
+    both = a.join(b, ["dataset", "block"], "full_outer")
+    uneven = _common_sizes(pairs).select("dataset", F.lit(True).alias("_uneven"))
+    return both.join(uneven, "dataset", "left").filter("not (a <=> b) or _uneven").select("dataset", "block")
 
 
 def _common_sizes(pairs: DataFrame) -> DataFrame:
@@ -108,8 +139,11 @@ def compared_spans(a: DataFrame, b: DataFrame, pairs: DataFrame, grain: int) ->
     listed only if it reaches past the common size of some version whose sizes differ.
     """
     p = _numbered(pairs)
-    left = _in_common_numbers(a, p, "a", grain).select(*KEY, "v", F.col("_s").alias("sa"))
-    right = _in_common_numbers(b, p, "b", grain).select(*KEY, "v", F.col("_s").alias("sb"))
+    left, right = _in_common_numbers(a, p, "a", grain), _in_common_numbers(b, p, "b", grain)
+    # from the top: equal blocks are one row a side, only the others are opened
+    opened = materialise(open_blocks(left, right, p), "open-blocks")
+    left, right = (_held(x.join(opened, ["dataset", "block"], "left_semi")) for x in (left, right))
+    left, right = left.withColumnRenamed("_s", "sa"), right.withColumnRenamed("_s", "sb")
     line = (left.unionByName(right, allowMissingColumns=True)
             .groupBy(*KEY, "v").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb")))
     chunk = ordered.history_chunk(p.select(F.col("v").alias("ord")))

@@ -149,3 +149,26 @@ def test_version_lists(spark):
     assert CMP.version_list_diff(v, v).count() == 0
     other = v.withColumn("snap", F.when(F.col("ord") == 2, "x").otherwise(F.col("snap")))
     assert {r["snap"] for r in CMP.version_list_diff(v, other).collect()} == {"s1", "x"}
+
+
+def test_equal_blocks_stay_closed(spark):
+    """Of many blocks only the one with a difference is opened, also where both sides skip versions or repeat rows."""
+    schema = "dataset string, ord int, cell long, payload binary"
+    rows = [("d", o, c, f"{o}/{c}".encode()) for o in (1, 2) for c in range(0, 40 * CMP.BLOCK, 16)]
+    v = spark.createDataFrame([("d", f"s{o}", o, 1 << 40, False) for o in (1, 2)], "dataset string, snap string, ord int, size long, is_head boolean")
+    a = spark.createDataFrame(rows, schema)
+    changed = [(n, o, c, b"other" if (o, c) == (2, 16 * 100) else p) for n, o, c, p in rows]
+    b = spark.createDataFrame(changed, schema)
+    pairs = CMP._numbered(CMP.paired_versions(v, v))
+    left, right = (CMP._in_common_numbers(x, pairs, s, 16) for x, s in ((a, "a"), (b, "b")))
+    assert CMP.block_digests(left).count() == 40 and CMP.open_blocks(left, left, pairs).count() == 0
+    assert [tuple(r) for r in CMP.open_blocks(left, right, pairs).collect()] == [("d", 1600 // CMP.BLOCK)]
+    assert {r.snap: (r.status, r.first_diff) for r in CMP.compare_history(a, v, b, v, 16).collect()} == {"s1": ("same", None), "s2": ("differs", 1600 * 16)}
+    # rows in another order inside one compared version are no equal block
+    one = v.filter("ord = 2")
+    x = spark.createDataFrame([("d", 1, 0, b"x"), ("d", 2, 0, b"y")], schema)
+    y = spark.createDataFrame([("d", 1, 0, b"y"), ("d", 2, 0, b"x")], schema)
+    assert CMP.compare_history(x, one, y, one, 16).first().status == "differs"
+    # a row twice is not no row
+    twice = spark.createDataFrame([("d", 1, 0, b"x"), ("d", 1, 0, b"x")], schema)
+    assert CMP.compare_history(twice, one, twice.limit(0), one, 16).first().status == "differs"
