@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from blockhist.functions import lanes as L
 from blockhist.operators import fingerprint as FP, history as H
-from blockhist.session import materialise
+from blockhist.plans import fingerprints as jobs
+from blockhist.session import materialise, scratch_path
 
 from . import views as V, wy_sql
 from .q_sources import doc_cells
@@ -256,6 +257,25 @@ def table_replica_check(spark, sf):
     return text_acc(FP.table_fingerprint(both, ["o_orderkey"], ["cents"], ["side"]))
 
 
+@query("fingerprint_job", f"""with {HASHES}
+select s.dataset, s.snap, s.ord, s.size, cast(version_id as varchar) version_id, acc from spine s join prints p on p.dataset = s.dataset and p.ord = s.ord""")
+def fingerprint_job(spark, sf):
+    """All versions in rounds of twenty, each persisted; the job is started twice, the first time with half of the versions."""
+    cells, spine, path = V.cells(spark, sf), V.spine(spark, sf), scratch_path(spark, "print-job")
+    jobs.fingerprint_job(spark, cells, spine.filter("ord <= 30"), path, 32, at_once=20)
+    out = jobs.fingerprint_job(spark, cells, spine, path, 32, at_once=20)
+    return text_acc(out).withColumn("version_id", F.col("version_id").cast("string")).drop("cell_size", "lanes", "algo")
+
+
+@query("verify_recut", f"""with {V.SPINE_STEP} select dataset, snap, case when ord % 7 = 0 then 'DIFFER' else 'OK' end status, false id_differs from spine""")
+def verify_recut(spark, sf):
+    """Fingerprints made at cells of 256 bytes verify a history kept at 32; those of every seventh version were damaged."""
+    cells, spine = V.cells(spark, sf), V.spine(spark, sf).withColumn("version_id", F.col("version_id").cast("decimal(20,0)"))
+    made = jobs.fingerprint_job(spark, cells, spine, scratch_path(spark, "recut-job"), 32, 256)
+    damaged = made.withColumn("acc", F.when(F.col("ord") % 7 == 0, F.unhex(F.sha2("acc", 256))).otherwise(F.col("acc")))
+    return jobs.verify_stored(damaged, cells, spine, 32).select("dataset", "snap", "status", "id_differs")
+
+
 WY_HISTORY = f"""{V.HIST}, {V.SPINE_STEP},
 live as (select dataset, ord, cell, lower(hex(encode(payload))) h from (
   select s.dataset, s.ord, h.cell, arg_max_null(h.payload, h.ord) payload
