@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import lanes as L
 from ..operators.fingerprint import SQL, WY, covered_prefix, extend_fingerprints, extend_wy_fingerprints, fingerprint_history, verify_fingerprints
 from ..operators.regrain import regrain_history
-from ..session import materialise
+from ..session import delete_folder, materialise
 from ..streaming.state import batch_numbers
 
 ROWS = "dataset STRING, snap STRING, ord INT, size BIGINT, version_id DECIMAL(20,0), cell_size BIGINT, lanes INT, algo STRING, acc BINARY"
@@ -40,10 +40,14 @@ def fingerprint_job(spark: SparkSession, history: DataFrame, versions: DataFrame
     bases = covered_prefix(finished_rows(spark, path), versions)
     # where every dataset is covered up to here, or as far as it goes
     safe = bases.agg(F.min(F.when(F.expr("base = last"), F.lit(last)).otherwise(F.coalesce("base", F.lit(first - 1))))).first()[0]
-    for low in range(first - 1, last, at_once):
+    rounds = batch_numbers(spark, f"{path}/done")
+    start = max([n for n in rounds if n <= safe], default=first - 1)
+    for n in batch_numbers(spark, f"{path}/rows"):
+        if n > start:                       # not finished, or no longer true; the marker goes first
+            delete_folder(spark, f"{path}/done/batch={n}")
+            delete_folder(spark, f"{path}/rows/batch={n}")
+    for low in range(start, last, at_once):
         high = min(low + at_once, last)
-        if high <= safe and high in batch_numbers(spark, f"{path}/done"):
-            continue
         known, upto = finished_rows(spark, path).filter(F.col("ord") <= low), versions.filter(F.col("ord") <= high)
         part = history.filter(F.col("ord") <= high)
         rows = (extend_wy_fingerprints(known, part, upto, cell_size) if algo == WY
