@@ -149,7 +149,8 @@ def contaminated_words(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFr
     ``items`` the ids as strings of the items they come from, sorted. A null or empty text has no
     words; a null or wordless item has no windows; a window of an item without an id is a span but
     names no item. Repeated rows of either table each give their own result and do not change that
-    of others. Nothing in the result depends on how often a window occurs.
+    of others. Nothing in the result depends on how often a window occurs. Without documents there are no
+    rows, without items no spans. Other columns are not read; texts of any length are read whole.
     """
     found = materialise(benchmark_windows(items, n), "benchmark-windows")
     lengths = sorted(r[0] for r in found.select("len").distinct().collect())  # at most n values

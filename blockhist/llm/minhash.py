@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     shingles (A-Z lower-cased, words without white space; fewer than five words are one shingle).
     ``component_id`` is the smallest id that can be reached over links. A null, empty or blank text has an
     empty set and is linked with nothing. Rows that repeat a text are linked like any others; null ids are
-    never the smallest, a component of null ids alone has a null id.
+    never the smallest, a component of null ids alone has a null id. An empty table gives no rows. Other columns
+    are not read, so their names cannot clash. Texts of any length are read whole.
     """
     docs = docs.select("doc_id", "text")
     rows = signatures(docs)

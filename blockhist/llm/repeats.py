@@ -226,7 +226,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     the text, ``spans`` are (start, end) in bytes of covered runs, which may overlap, in order.
 
     Strings do not cross texts; the same text counts, at another place. A null or shorter text has none.
-    Rows that repeat an id and a text cover each other and give one row.
+    Rows that repeat an id and a text cover each other and give one row. An empty table gives no rows; other
+    columns are not read, so their names cannot clash.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
     seen = materialise(occurrences(docs, length), "repeat-occurrences")

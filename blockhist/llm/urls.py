@@ -243,7 +243,7 @@ def judge_urls(pages: DataFrame, cascade: Cascade, rules: list[Rule], url: str =
     verdict of the longest rule that fits, else block for a listed host and allow for any other.
 
     A null url or one without ``://`` has an empty host and path, fits no rule and is judged by the
-    cascade like any other. Every row is judged for itself.
+    cascade like any other. Every row is judged for itself, repeated rows alike; an empty table gives no rows.
     """
     names = {w: free_name(pages, w) for w in ("host", "path", "rule", "verdict")}
     parts = pages.withColumns({names["host"]: F.coalesce(host_of(F.col(url)), F.lit("")),

@@ -547,3 +547,13 @@ def test_empty_tables(spark, empty):
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert decontaminate.contaminated_words(empty, items).count() == 0
     assert tokens.count_tokens(empty, tokens.read_vocabulary(queries.VOCABULARY)).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    hosts = pages.select(urls.host_of(F.col("url")).alias("h"))
+    assert urls.judge_urls(pages, urls.build_cascade(hosts, hosts), urls.RULES).count() == 0
+
+
+def test_repeated_pages_are_judged_alike(spark):
+    pages = spark.createDataFrame([(1, "http://spam-x.org/a")] * 3 + [(2, None)] * 2 + [(3, "http://ok.org/")], "page_id long, url string")
+    hosts = pages.select(urls.host_of(F.col("url")).alias("h"))
+    out = urls.judge_urls(pages, urls.build_cascade(hosts.where(F.col("h").rlike(urls.LISTED_LABELS)), hosts), urls.RULES)
+    assert sorted((r.page_id, r.verdict) for r in out.collect()) == [(1, "block")] * 3 + [(2, "allow")] * 2 + [(3, "allow")]
