@@ -194,7 +194,8 @@ def _verdicts(texts: DataFrame, model: dict) -> DataFrame:
     others = rest.join(scored, "word").select(
         "key", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("words"), *[(F.col(c) * F.col("n")).alias(c) for c in names])
     total = parts.drop("rest").unionByName(others).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("copies", "words", *names)])
-    words = F.col("words") / F.col("copies")
+    # a caller's filter may be evaluated together with the one on words below: no division by zero
+    words = F.when(F.col("words") > 0, F.col("words") / F.col("copies"))
     weight = F.least(words, F.lit(float(EVIDENCE))) / words / SCALE
     evidence = F.array(*[F.lit(p) + F.col(c) / F.col("copies") * weight for p, c in zip(model["prior"], names)])
     judged = total.where("words > 0").select("key", evidence.alias("e")).withColumn("top", F.array_max("e"))
