@@ -9,6 +9,9 @@ from ..functions.cells import col, generated
 # Fixed values of the log format: first words of the summary block at the end of a log.
 SUMMARY_WORDS = ["SUMMARY:", "SUMMARY", "Total", "Estimated"]
 
+#: Splits of a file, its last one aside, are at least this many bytes long.
+LEAST_SPLIT = 1 << 20
+
 
 # a word that is followed by '=' and another word; neighbouring triples may overlap. Matches
 # start at word borders only and never give characters back.
@@ -44,14 +47,21 @@ def with_line_numbers(raw: DataFrame) -> DataFrame:
     """Add ``seq``, which grows with the position of the line inside its file.
 
     ``raw`` must come straight from the text source. The number is built from the start of
-    the file split and the row number of the task, so big files stay splittable. Splits
-    must be at least 1 MiB long (Spark's default minimum is 4 MiB).
+    the file split and the row number of the task, so big files stay splittable. Two splits
+    of less than 1 MiB could share a number (Spark's default minimum is 4 MiB): a file that is
+    cut so finely fails the job as soon as ``seq`` is read.
     """
-    split_no = F.call_function("div", F.col("_metadata.file_block_start"), F.lit(1 << 20))
+    start, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
+    split_no = F.call_function("div", start, F.lit(LEAST_SPLIT))
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # the last split of a file is as short as it comes out
+    too_fine = (length < LEAST_SPLIT) & (start + length < F.col("_metadata.file_size"))
+    text = F.concat(F.lit("split of "), length, F.lit(" bytes in "), F.col("_metadata.file_path"),
+                    F.lit(f": the order of its lines needs {LEAST_SPLIT}, raise spark.sql.files.maxPartitionBytes"))
     return raw.select(F.col("value").alias("line"),
                       F.col("_metadata.file_path").alias("file"),
-                      (F.shiftleft(split_no, 33) + in_task).alias("seq"))
+                      F.when(too_fine, F.raise_error(text).cast("long"))
+                       .otherwise(F.shiftleft(split_no, 33) + in_task).alias("seq"))
 
 
 def name_parts(df: DataFrame) -> DataFrame:
