@@ -124,12 +124,12 @@ def old_content(history: DataFrame, base: DataFrame) -> DataFrame:
     ``base`` = (dataset, base). Cells that do not change are filtered out before anything of
     them is hashed.
     """
+    from .history import latest_rows
     at = base.filter("base is not null").select("dataset", "base")
     split = history.join(at, "dataset")
     touched = split.filter("ord > base").select(*KEY).distinct()
     before = split.filter("ord <= base").join(touched, KEY, "left_semi")
-    return (before.groupBy(*KEY, "base").agg(F.max_by(F.struct("payload"), F.col("ord")).alias("_v"))
-            .select("dataset", F.col("base").alias("ord"), "cell", F.col("_v.payload").alias("payload")))
+    return latest_rows(before).select("dataset", F.col("base").alias("ord"), "cell", "payload")
 
 
 def extend_fingerprints(existing: DataFrame, history: DataFrame, versions: DataFrame,

@@ -22,19 +22,29 @@ def chain_versions(versions: DataFrame) -> DataFrame:
     return prev.withColumn("step", F.when(F.col("prev_snap").isNull(), "full").otherwise("incremental"))
 
 
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """The row of the highest ``ord`` of every cell, with all columns of ``rows``.
+
+    It is found on (dataset, cell, ord) alone, so no payload is sorted or held by an aggregate; payloads are
+    read by a semi join. Its keys are those of the aggregate (no ``ord`` is above the highest, so ``>=`` says
+    equal without becoming a key): a history stored by ``write_bucketed`` is not exchanged for either.
+    """
+    newest = rows.groupBy(*KEY).agg(F.max("ord").alias("_last")).alias("newest")
+    same = [F.col(f"row.{k}") == F.col(f"newest.{k}") for k in KEY]
+    return rows.alias("row").join(newest, [*same, F.col("row.ord") >= F.col("newest._last")], "left_semi")
+
+
 def as_of(history: DataFrame, ord: int | DataFrame) -> DataFrame:
     """Live cells ``(dataset, cell, payload)`` of one version.
 
-    ``ord`` is a version number for all datasets, or a DataFrame ``(dataset, at)``. The
-    latest row per cell is found by an aggregate that combines on the map side.
+    ``ord`` is a version number for all datasets, or a DataFrame ``(dataset, at)``. A history has one row per
+    (dataset, ord, cell).
     """
     if isinstance(ord, DataFrame):
         rows = _up_to(history, ord)
     else:
         rows = history.filter(F.col("ord") <= ord)
-    return (rows.groupBy(*KEY).agg(F.max_by(F.struct("payload"), F.col("ord")).alias("_v"))
-            .select(*KEY, F.col("_v.payload").alias("payload"))
-            .filter(~is_hole("payload")))
+    return latest_rows(rows).select(*KEY, "payload").filter(~is_hole("payload"))
 
 
 def _up_to(history: DataFrame, at: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ MICROS = 1_000_000
 
 
 def throughput(events: DataFrame, totals: DataFrame | None = None, span_seconds: int = 10,
-               pieces: int | None = None) -> DataFrame:
+               pieces: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Bytes done, trailing rate, percent and ETA at every instant of ``events``.
 
     ``events`` = (dataset, ts, bytes), ``totals`` = (dataset, total), an estimate, 0 = unknown.
@@ -18,6 +18,9 @@ def throughput(events: DataFrame, totals: DataFrame | None = None, span_seconds:
     of two running sums: the sum at ``t`` and the sum just before ``t - span``, for which a
     marker row is placed on the same time line. The line is cut by range, so a dataset with
     most of the events is spread over many tasks.
+
+    ``earlier`` = (dataset, first_at, base) stands for events before those of ``events``: the instant of the first
+    one in microseconds and the bytes of those that are not in ``events`` any more.
     """
     t = F.expr("unix_micros(cast(ts as timestamp))")
     ticks = events.groupBy("dataset", "ts").agg(F.sum("bytes").cast("long").alias("b")).withColumn("_t", t)
@@ -35,6 +38,12 @@ def throughput(events: DataFrame, totals: DataFrame | None = None, span_seconds:
                           (F.col("done") - F.col("_before")).alias("window_bytes"))
     # early on less than the span has passed
     first = ticks.groupBy("dataset").agg(F.min("_t").alias("_first"))
+    if earlier is not None:
+        first = (first.join(earlier.select("dataset", "first_at", "base"), "dataset", "left")
+                 .select("dataset", F.coalesce("first_at", "_first").alias("_first"), "base"))
+        out = (out.join(first.select("dataset", "base"), "dataset")
+               .withColumn("done", F.col("done") + F.coalesce("base", F.lit(0).cast("long"))).drop("base"))
+        first = first.drop("base")
     elapsed = F.call_function("div", F.col("micros") - F.col("_first"), F.lit(MICROS))
     passed = F.greatest(F.lit(1), F.least(F.lit(span_seconds), elapsed)).cast("long")
     out = out.join(first, "dataset").withColumn("rate", F.call_function("div", F.col("window_bytes"), passed)).drop("_first")

@@ -23,6 +23,18 @@ def write_history(history: DataFrame, path: str, cell_size: int, mode: str = "er
     (out.partitionBy("dataset") if folders else out).parquet(path)
 
 
+def write_bucketed(history: DataFrame, table: str, buckets: int, mode: str = "error", location: str | None = None) -> None:
+    """Save a history as a table in ``buckets`` buckets by (dataset, cell), sorted by cell and version.
+
+    States, differences and joins by cell of such a table need no exchange. A dataset is spread over all buckets, whatever its share
+    of the rows; choose their number so that one fits in the memory of a task. Rows are brought together by
+    bucket first, so that each bucket is one file.
+    """
+    out = (history.select("dataset", "ord", "cell", "payload").repartition(buckets, "dataset", "cell")
+           .write.mode(mode).bucketBy(buckets, "dataset", "cell").sortBy("dataset", "cell", "ord"))
+    (out.option("path", location) if location else out).saveAsTable(table)
+
+
 def read_history(spark: SparkSession, path: str, cell_size: int) -> DataFrame:
     """Read a history; a stored cell size other than ``cell_size`` is an error."""
     df = spark.read.schema("ord INT, cell BIGINT, payload BINARY, cell_size BIGINT, dataset STRING").parquet(path)

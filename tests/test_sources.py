@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from blockhist.operators import changes as C
+from blockhist.operators import changes as C, history as H
 from blockhist.sources import catalog, change_log, fingerprints as fp, history, image_files, images
 
 LOG = """BEGIN record
@@ -58,6 +58,23 @@ def test_rejects(spark, line, reason):
         C.strict_changes(rec).collect()
 
 
+def test_splits_too_fine_for_line_numbers_are_refused(spark, tmp_path):
+    with open(tmp_path / "d@3.log", "w") as f:
+        for i in range(30000):
+            f.write(f"WRITE object = 1 offset = {i} length = 1\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, str(1 << 18))
+        with pytest.raises(Exception, match="raise spark.sql.files.maxPartitionBytes"):
+            change_log.read_change_log(spark, str(tmp_path)).select("seq").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    # one whole file below the bound is its own last split
+    assert change_log.read_change_log(spark, str(tmp_path)).select("seq").distinct().count() == 30000
+
+
 def test_line_numbers_follow_the_file_across_splits(spark, tmp_path):
     path = tmp_path / "d@3.log"
     n = 90000
@@ -178,3 +195,26 @@ def test_image_names_are_versions(spark, tmp_path):
     (tmp_path / "noversion.img").write_bytes(b"x")
     with pytest.raises(Exception, match="not an image of a version"):
         image_files.read_images(spark, str(tmp_path), 512).collect()
+
+
+def test_a_bucketed_history_is_not_exchanged(spark, tmp_path):
+    rows = [("d", o, c, f"{o}/{c}".encode() if (o + c) % 4 else None) for o in range(6) for c in range(40) if (o * c) % 3 < 2]
+    flat = spark.createDataFrame(rows, "dataset string, ord int, cell bigint, payload binary")
+    history.write_bucketed(flat, "bucketed_history", 4, location=str(tmp_path / "h"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = H.as_of(spark.table("bucketed_history"), 4)
+        plan = state._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortAggregate" not in plan and "max_by" not in plan
+        delta = H.delta_between(spark.table("bucketed_history"), 2, 4)
+        assert "Exchange" not in delta._jdf.queryExecution().executedPlan().toString()
+        got = {(r["cell"], bytes(r["payload"])) for r in state.collect()}
+        changed = {(r["cell"], r["op"]) for r in delta.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.sql("drop table bucketed_history")
+    assert got == {(r["cell"], bytes(r["payload"])) for r in H.as_of(flat, 4).collect()}
+    at = [{c: p for _, o, c, p in rows if o <= v} for v in (2, 4)]
+    assert got == {(c, p) for c, p in at[1].items() if p is not None}
+    assert changed == {(c, "WRITE" if p else "FREE") for c, p in at[1].items() if p != at[0].get(c)}

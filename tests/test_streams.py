@@ -139,3 +139,35 @@ def test_compacted_history_goes_on(spark, images):
         return sorted((r["ord"], r["cell"], r["payload"] and bytes(r["payload"])) for r in apply.applied_history(spark, p).collect())
     assert rows_of(path) == rows_of(plain)
     assert [r for r in rows_of(plain) if r[0] == 2] == [(2, 0, b"2/0"), (2, 1, None), (2, 2, None), (2, 3, None)]
+
+
+def test_progress_is_the_same_however_batches_are_cut(spark):
+    import datetime as dt
+    from blockhist.operators.progress import throughput
+    from blockhist.streaming import progress
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda rows: [(n, t0 + dt.timedelta(seconds=s), b) for n, s, b in rows]
+    schema = "dataset string, ts timestamp, bytes bigint"
+    rows = [("d", 0, 100), ("d", 5, 50), ("d", 5, 50), ("d", 10, 10), ("d", 11, 20), ("d", 30, 5), ("e", 3, 7), ("e", 40, 9)]
+    totals = spark.createDataFrame([("d", 300)], "dataset string, total bigint")
+    path = scratch_path(spark, "progress")
+    # the second batch runs twice, an instant of d lies in two batches, e has nothing in the middle ones
+    for number, part in [(0, rows[:2] + rows[6:7]), (1, rows[2:4]), (1, rows[2:4]), (2, rows[4:5]), (3, rows[5:6] + rows[7:] + [("d", 9, 1000)])]:
+        progress.progress_batch(spark.createDataFrame(at(part), schema), number, path, 10, totals, 4)
+    progress.finish_progress(spark, path, 10, totals, 4)
+    got = sorted(tuple(r) for r in progress.stored_progress(spark, path).collect())
+    assert got == sorted(tuple(r) for r in throughput(spark.createDataFrame(at(rows), schema), totals, 10).collect())
+    assert [r["bytes"] for r in spark.read.parquet(f"{path}/late").collect()] == [1000]
+
+
+def test_the_state_of_progress_holds_one_span(spark):
+    import datetime as dt
+    from blockhist.streaming import progress
+    path, seen = scratch_path(spark, "progress"), []
+    for n in range(5):
+        rows = [("d", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n * 20 + i), 1) for i in range(20)]
+        progress.progress_batch(spark.createDataFrame(rows, "dataset string, ts timestamp, bytes bigint"), n, path, 5, None, 4)
+        seen.append(progress._states(spark, path, 4)[1].read(n + 1).count())
+    assert seen == [6] * 5
+    done = [r["done"] for r in progress.stored_progress(spark, path, False).orderBy("micros").collect()]
+    assert done == list(range(1, 100))

@@ -70,7 +70,7 @@ def reservations(spark, sf):
 SPAN = 21600
 
 
-@query("throughput", f"""with e as (select dataset, ts, cast(sum(bytes) as bigint) b from ({D(V.PROGRESS)}) group by 1, 2),
+THROUGHPUT = f"""with e as (select dataset, ts, cast(sum(bytes) as bigint) b from ({D(V.PROGRESS)}) group by 1, 2),
 t as (select dataset, cast(sum(bytes) as bigint) * case when dataset = 'u2' then 0 else 1 end total from ({D(V.PROGRESS)}) group by 1),
 f as (select *, greatest(1, least({SPAN}, (epoch_us(ts) - epoch_us(min(ts) over (partition by dataset))) // 1000000)) passed from e),
 w as (select dataset, ts, passed, cast(sum(b) over (partition by dataset order by ts) as bigint) done,
@@ -78,13 +78,20 @@ w as (select dataset, ts, passed, cast(sum(b) over (partition by dataset order b
 select w.dataset, epoch_us(ts) micros, done, window_bytes, window_bytes // passed rate, total,
   case when total > 0 then least(100, done * 100 // total) end percent,
   case when total > 0 and window_bytes // passed > 0 and total > done then (total - done) // (window_bytes // passed) end eta_seconds
-from w join t on t.dataset = w.dataset""", text=('percent', 'eta_seconds'))
+from w join t on t.dataset = w.dataset"""
+
+
+def estimates(events):
+    """What each dataset comes to; that of one dataset is unknown."""
+    return events.groupBy("dataset").agg(F.sum("bytes").alias("total")).withColumn(
+        "total", F.when(F.col("dataset") == "u2", F.lit(0).cast("long")).otherwise(F.col("total")))
+
+
+@query("throughput", THROUGHPUT, text=('percent', 'eta_seconds'))
 def throughput(spark, sf):
     """Trailing six hours; the total of one dataset is unknown."""
     e = V.view(spark, sf, V.PROGRESS)
-    totals = e.groupBy("dataset").agg(F.sum("bytes").alias("total")).withColumn(
-        "total", F.when(F.col("dataset") == "u2", F.lit(0).cast("long")).otherwise(F.col("total")))
-    return progress.throughput(e, totals, SPAN)
+    return progress.throughput(e, estimates(e), SPAN)
 
 
 @query("published_tables", """

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from blockhist.functions import lanes as L
 from blockhist.operators.regrain import drop_unchanged
 from blockhist.sources import change_log
-from blockhist.streaming import apply, fingerprint, ingest, rate
+from blockhist.streaming import apply, fingerprint, ingest, progress, rate
 
 from . import views as V
 from .q_fingerprint import HASHES
 from .q_history import RESIZED
+from .q_policy import SPAN, THROUGHPUT, estimates
 from .q_ranges import TOUCHED
 from .q_sources import JUDGED, clamped
 from .registry import query
-from blockhist.session import scratch_path
+from blockhist.session import materialise, scratch_path
 
 D = V.duck
 
@@ -149,3 +150,18 @@ def stream_rate(spark, sf):
     q.awaitTermination()
     last = spark.read.parquet(out).groupBy("dataset", "window_start").agg(F.max_by(F.struct("bytes", "events"), "batch").alias("r"))
     return last.select("dataset", F.unix_micros("window_start").alias("window_start"), "r.bytes", "r.events")
+
+
+@query("stream_progress", THROUGHPUT, text=("percent", "eta_seconds"))
+def stream_progress(spark, sf):
+    """Progress events in three batches by time: bytes done, rate, percent and time left equal those of the whole table."""
+    events = V.view(spark, sf, V.PROGRESS).withColumn("ts", F.col("ts").cast("timestamp"))
+    totals = materialise(estimates(events), "totals")
+    out, ck = scratch_path(spark, "progress"), scratch_path(spark, "progress-state")
+    timed = events.select("dataset", "ts", "bytes", F.unix_micros("ts").alias("micros"))
+
+    def run(path):
+        return progress.stream_progress(spark.readStream.schema(timed.schema).parquet(path), out, ck, SPAN, totals)
+    arrivals(timed, "progress-events", "micros", run)
+    progress.finish_progress(spark, out, SPAN, totals)
+    return progress.stored_progress(spark, out)
