@@ -8,7 +8,9 @@ and the last is even.
 
 Keys are dealt to shards of at most ``keys_per_shard`` listed keys. A cascade of one shard, or of
 several that together stay under ``broadcast_bytes``, is sent to every executor. Beyond that the
-rows are grouped by (shard, salt) and meet the filter of their shard alone.
+rows are grouped by (shard, salt) and meet the filter of their shard alone, while the cascade is built
+as well as when it is asked. The number of salts follows the counted rows, so a group holds about
+``rows_per_group`` of them however large the universe is.
 """
 
 from __future__ import annotations
@@ -141,6 +143,11 @@ def _level(keys: DataFrame, level: int, rate: float) -> DataFrame:
     return words.groupBy("shard").applyInPandas(whole, "shard int, level int, m long, k int, bits binary")
 
 
+def salts_for(rows: int, shards: int, rows_per_group: int) -> int:
+    """Into how many groups the rows of a shard are cut; twice as many as if shards were even."""
+    return max(1, -(-rows // (rows_per_group * shards)) * 2)
+
+
 class Cascade:
     """Exact membership over a universe of keys; see the module."""
 
@@ -149,6 +156,10 @@ class Cascade:
         self.bytes = levels.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
         self.small = self.bytes <= broadcast_bytes
 
+    def copies(self, salts: int) -> DataFrame:
+        """The filters of each shard, once for every salt."""
+        return self.levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
     def _local(self) -> dict[int, list]:
         out: dict[int, list] = {}
         for r in sorted(self.levels.collect(), key=lambda r: (r.shard, r.level)):
@@ -172,10 +183,10 @@ class Cascade:
                 return pd.Series(result)
             found = F.pandas_udf(listed, "boolean")(h1, h2)
             return hashed.select(*df.columns, (F.col(key).isNotNull() & found).alias(out))
-        salts = max(1, -(-df.count() // (rows_per_group * self.shards)) * 2)
+        salts = salts_for(df.count(), self.shards, rows_per_group)
         salted = hashed.withColumns({shard: F.pmod(F.col(h2), F.lit(self.shards)).cast("int"),
                                      salt: F.floor(F.rand(5) * salts).cast("int")})
-        copies = self.levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        copies = self.copies(salts)
         columns = df.columns
 
         def both(rows: pa.Table, filters: pa.Table) -> pa.Table:
@@ -188,7 +199,7 @@ class Cascade:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, keys_per_shard: int = 4_000_000,
-                  broadcast_bytes: int = 32 << 20) -> Cascade:
+                  broadcast_bytes: int = 32 << 20, rows_per_group: int = 500_000) -> Cascade:
     """The cascade over the first column of ``listed`` and of ``universe``; nulls are left out, repeated
     keys count once, listed keys need not be part of the universe. Nothing listed: nothing is found."""
     listed, universe = (d.select(F.col(d.columns[0]).alias("key")).where("key is not null") for d in (listed, universe))
@@ -207,14 +218,14 @@ def build_cascade(listed: DataFrame, universe: DataFrame, keys_per_shard: int =
         made = materialise(_level(source, at, rate), "cascade-level")
         levels = made if levels is None else levels.unionByName(made)
         one = Cascade(made, shards, broadcast_bytes)
-        passed = materialise(_passing(target, one, at), "cascade-passed")
+        passed = materialise(_passing(target, one, at, rows_per_group), "cascade-passed")
         if passed.isEmpty():
             return Cascade(levels, shards, broadcast_bytes)
         source, target, at = passed, source, at + 1
 
 
-def _passing(keys: DataFrame, level: Cascade, at: int) -> DataFrame:
-    """Keys that one level holds; a shard without a filter holds nothing."""
+def _passing(keys: DataFrame, level: Cascade, at: int, rows_per_group: int) -> DataFrame:
+    """The keys of a written table that one level holds; a shard without a filter holds nothing."""
     if level.small:
         shared = keys.sparkSession.sparkContext.broadcast(level._local())
 
@@ -233,8 +244,10 @@ def _passing(keys: DataFrame, level: Cascade, at: int) -> DataFrame:
         ok = np.zeros(rows.num_rows, dtype=bool)
         for r in filters.to_pylist():
             ok = _holds(np.asarray(rows["h1"]), np.asarray(rows["h2"]), at, r["m"], r["k"], np.frombuffer(r["bits"], dtype=np.uint8))
-        return rows.filter(pa.array(ok))
-    return (keys.select("h1", "h2", "shard").groupBy("shard").cogroup(level.levels.groupBy("shard"))
+        return rows.select(["h1", "h2", "shard"]).filter(pa.array(ok))
+    salts = salts_for(keys.count(), level.shards, rows_per_group)
+    salted = keys.select("h1", "h2", "shard", F.pmod(F.col("h1"), F.lit(salts)).cast("int").alias("salt"))
+    return (salted.groupBy("shard", "salt").cogroup(level.copies(salts).groupBy("shard", "salt"))
             .applyInArrow(both, "h1 long, h2 long, shard int"))
 
 

@@ -216,6 +216,26 @@ def test_cascade_is_exact(spark, per_shard, limit):
     assert {r.host for r in rows if r.listed_} == listed
 
 
+def test_no_group_of_a_cascade_holds_a_whole_shard(spark, monkeypatch):
+    """One shard whose filter is not broadcast: its keys and rows meet it in groups of bounded size."""
+    keys = [f"host{i}.example" for i in range(4000)]
+    listed = keys[::5]
+    sizes = spark.sparkContext.accumulator(0)
+    real = urls._holds
+
+    def counted(h1, *rest):
+        if len(h1) > 150:
+            sizes.add(1)
+        return real(h1, *rest)
+    monkeypatch.setattr(urls, "_holds", counted)
+    universe = spark.createDataFrame([(k,) for k in keys] + [(keys[0],)] * 2000, "host string")
+    cascade = urls.build_cascade(spark.createDataFrame([(k,) for k in listed], "host string"), universe, 10 ** 6, 0, 100)
+    assert cascade.shards == 1 and not cascade.small
+    rows = cascade.test(universe, "host", rows_per_group=100).collect()
+    assert len(rows) == 6000 and {r.host for r in rows if r.listed} == set(listed)
+    assert sizes.value == 0
+
+
 def test_empty_cascade(spark):
     none = spark.createDataFrame([], "host string")
     some = spark.createDataFrame([("a",), (None,)], "host string")
