@@ -213,12 +213,15 @@ def _least_per_version(spans: DataFrame, pairs: DataFrame, value) -> DataFrame:
                                 F.when(right, F.struct(level.alias("level"), (down - 1).alias("block")))),
                         lambda x: x.isNotNull())
 
-    tree = (s.select("dataset", "_first", F.explode(F.flatten(F.transform(levels, blocks))).alias("b"))
-            .groupBy("dataset", F.col("b.level").alias("level"), F.col("b.block").alias("block"))
-            .agg(F.min("_first").alias("_first")))
-    asks = _numbered(pairs).select("dataset", "snap", "is_head", "v", F.explode(levels).alias("level")).withColumn(
+    tree = materialise(s.select("dataset", "_first", F.explode(F.flatten(F.transform(levels, blocks))).alias("b"))
+                       .groupBy("dataset", F.col("b.level").alias("level"), F.col("b.block").alias("block"))
+                       .agg(F.min("_first").alias("_first")), "tree")
+    # a version asks only the levels that its dataset's tree has: none where nothing was found
+    used = tree.groupBy("dataset").agg(F.collect_set("level").alias("_levels"))
+    asks = _numbered(pairs).join(used, "dataset").select("dataset", "snap", "is_head", "v", F.explode("_levels").alias("level")).withColumn(
         "block", F.call_function("shiftright", F.col("v").cast("long"), F.col("level")))
-    return (asks.join(tree, ["dataset", "level", "block"])
+    # Spark takes an exploded table for as small as its source, and would send it whole through the driver
+    return (asks.hint("merge").join(tree, ["dataset", "level", "block"])
             .groupBy("dataset", "snap", "is_head", "v").agg(F.min("_first").alias("_f")))
 
 
