@@ -28,3 +28,20 @@ def test_versions_meet_spans_without_the_driver(spark):
     found = CMP.first_cells(materialise(spans, "spans"), pairs)
     assert not re.search(r"BroadcastHashJoin \[dataset#\d+, level#", plan_of(found))
     assert sorted((r["dataset"], r["cell"]) for r in found.collect()) == [("d7", 3), ("d8", 4)]
+
+
+def test_history_of_images_moves_each_image_once(spark):
+    rnd, rows, want = random.Random(5), [], []
+    for name in ("a", "b", "c"):
+        image, before = bytes(rnd.randrange(256) for _ in range(70)), {}
+        for ord_ in range(1, 9):
+            rows.append((name, ord_, image))
+            now = cells_of(image, 16)
+            want += [(name, ord_, c, now.get(c)) for c in set(now) | set(before) if now.get(c) != before.get(c)]
+            before, cut = now, rnd.choice([0, 5, 33, 64, 70, 90])
+            image = b"" if cut == 0 else (image + bytes(20))[:cut] if cut != 70 else image[:10] + b"x" + image[11:]
+    made = IMG.to_history(spark.createDataFrame(rows, "dataset string, ord int, bytes binary"), "bytes", 16)
+    assert plan_of(made).count("Exchange hashpartitioning") == 1
+    key = lambda r: (r[0], r[1], r[2])
+    got = sorted(((r["dataset"], r["ord"], r["cell"], None if r["payload"] is None else bytes(r["payload"])) for r in made.collect()), key=key)
+    assert got == sorted(want, key=key)

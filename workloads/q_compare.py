@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockhist.operators import compare as CMP, history as H, regrain as G
+from blockhist.operators import compare as CMP, history as H
 from blockhist.session import materialise
 from blockhist.sources import catalog, images
 
@@ -27,17 +27,9 @@ ORIG, COPY = 512, 2048
 
 
 def _history(spark, sf, text, cell_size):
-    """Cell history of document versions: only what changed, holes as tombstones.
-
-    A version's image and the one before it are compared cell by cell.
-    """
-    rows = V.view(spark, sf, text).withColumn("bytes", F.encode("text", "UTF-8")).drop("text")
-    cells = materialise(images.to_cells(rows, ["dataset", "ord"], "bytes", cell_size), "cells")
-    v = rows.select("dataset", "ord", F.octet_length("bytes").cast("long").alias("size"))
-    # a cell past the end of a shorter version becomes a tombstone
-    shrunk = H.apply_resize(cells, v, cell_size)
-    last = shrunk.groupBy("dataset", "ord", "cell").agg(F.max_by("payload", F.col("payload").isNotNull()).alias("payload"))
-    return G.drop_unchanged(last, v, cell_size)
+    """Cell history of document versions: only what changed, holes as tombstones."""
+    rows = V.view(spark, sf, text).withColumn("bytes", F.encode("text", "UTF-8"))
+    return images.to_history(rows, "bytes", cell_size)
 
 
 def _versions(spark, sf, text):
