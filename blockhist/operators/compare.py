@@ -8,7 +8,7 @@ differing cell of each version. A change is compared once, however many versions
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import ordered
 from ..functions.cells import full_cell, idiv, is_hole
@@ -73,7 +73,7 @@ def _last_byte(grain: int):
     return F.when(F.col("_d").isNotNull(), F.col("cell") * grain + length - 1).otherwise(F.lit(-1).cast("long"))
 
 
-def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str, grain: int) -> DataFrame:
+def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str, grain: int, common: DataFrame | None = None) -> DataFrame:
     """Narrow rows ``(dataset, cell, block, v, ord, late, d, last)``: ``v`` = first compared version that sees the row,
     ``late`` = how far that version's own number is from the row's, ``d`` the digest of the content (NULL = hole).
 
@@ -89,7 +89,7 @@ def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str, grain: i
     line = materialise(line, "numbers")
     chunk = None if ordered.history_chunk(line) is None else -ordered.int_chunk("ord")
     mapped = ordered.carry_forward(line, ["dataset"], "_neg", ["_m"], chunk).filter("_m is not null")
-    uneven = _common_sizes(pairs).select("dataset", F.lit(True).alias("_uneven"))
+    uneven = (common or _common_sizes(pairs)).select("dataset", F.lit(True).alias("_uneven"))
     mapped = materialise(mapped.join(uneven, "dataset", "left").select("dataset", "ord", "_m", "_uneven"), "numbered")
     full = history.withColumn("payload", full_cell("payload", grain))
     rows = full.withColumn("_d", F.when(~is_hole("payload", grain), F.unhex(F.sha2("payload", 256))))
@@ -98,12 +98,6 @@ def _in_common_numbers(history: DataFrame, pairs: DataFrame, side: str, grain: i
         F.col("_d").alias("d"), F.when(F.col("_uneven"), _last_byte(grain)).alias("last")), f"side-{side}")
 
 
-def _held(rows: DataFrame) -> DataFrame:
-    """Of the rows of a cell that no compared version tells apart the latest: ``(dataset, cell, v, _s)``."""
-    return (rows.groupBy(*KEY, "v").agg(F.max_by(F.struct("d", "ord", "last"), F.col("ord")).alias("_r"))
-            .select(*KEY, "v", F.struct(F.col("_r.d").alias("d"), F.col("_r.ord").alias("at"), F.col("_r.last").alias("last")).alias("_s")))
-
-
 def block_digests(rows: DataFrame) -> DataFrame:
     """One row per (dataset, block of BLOCK cells): sums of two hashes over all rows of the block's whole history.
 
@@ -115,12 +109,12 @@ def block_digests(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def open_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+def open_blocks(left: DataFrame, right: DataFrame, pairs: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """Blocks ``(dataset, block)`` that have to be looked into: those whose digests differ, and those of datasets
     whose sizes differ in some version."""
     a, b = (block_digests(x).select("dataset", "block", F.struct("h1", "h2", "n").alias(n)) for x, n in ((left, "a"), (right, "b")))
     both = a.join(b, ["dataset", "block"], "full_outer")
-    uneven = _common_sizes(pairs).select("dataset", F.lit(True).alias("_uneven"))
+    uneven = (common or _common_sizes(pairs)).select("dataset", F.lit(True).alias("_uneven"))
     return both.join(uneven, "dataset", "left").filter("not (a <=> b) or _uneven").select("dataset", "block")
 
 
@@ -139,27 +133,33 @@ def compared_spans(a: DataFrame, b: DataFrame, pairs: DataFrame, grain: int) ->
     listed only if it reaches past the common size of some version whose sizes differ.
     """
     p = _numbered(pairs)
-    left, right = _in_common_numbers(a, p, "a", grain), _in_common_numbers(b, p, "b", grain)
+    # written: its size is known then, so that no row of a cell is moved to a dataset's one key
+    common = materialise(_common_sizes(p), "common-sizes")
+    left, right = (_in_common_numbers(x, p, n, grain, common) for x, n in ((a, "a"), (b, "b")))
     # from the top: equal blocks are one row a side, only the others are opened
-    opened = materialise(open_blocks(left, right, p), "open-blocks")
-    left, right = (_held(x.join(opened, ["dataset", "block"], "left_semi")) for x in (left, right))
-    left, right = left.withColumnRenamed("_s", "sa"), right.withColumnRenamed("_s", "sb")
-    line = (left.unionByName(right, allowMissingColumns=True)
-            .groupBy(*KEY, "v").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb")))
+    opened = materialise(open_blocks(left, right, p, common), "open-blocks")
     chunk = ordered.history_chunk(p.select(F.col("v").alias("ord")))
     if chunk is not None:
         chunk = ordered.int_chunk("v")
+    both = [x.join(opened, ["dataset", "block"], "left_semi").select(*KEY, "v", F.struct("ord", "d", "last").alias(n))
+            for x, n in ((left, "sa"), (right, "sb"))]
+    # a cell's line is moved once; of the rows that no compared version tells apart the latest holds
+    line = both[0].unionByName(both[1], allowMissingColumns=True)
+    line = (line if chunk is not None else line.repartition(*KEY)).groupBy(*KEY, "v").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"))
     state = ordered.carry_forward(line, KEY, "v", ["sa", "sb"], chunk)
-    back = state.withColumn("_back", -F.col("v").cast("long"))
-    nxt = ordered.previous(back, KEY, "_back", {"nxt": "v"}, None if chunk is None else -ordered.int_chunk("v"))
+    if chunk is None:
+        nxt = state.withColumn("nxt", F.lead("v").over(Window.partitionBy(*KEY).orderBy("v")))
+    else:
+        back = state.withColumn("_back", -F.col("v").cast("long"))
+        nxt = ordered.previous(back, KEY, "_back", {"nxt": "v"}, -ordered.int_chunk("v"))
     unequal = ~F.col("sa.d").eqNullSafe(F.col("sb.d"))
     last = F.greatest(F.coalesce("sa.last", F.lit(-1)), F.coalesce("sb.last", F.lit(-1))).cast("long")
-    return (nxt.join(_common_sizes(p), "dataset", "left")
+    return (nxt.join(common, "dataset", "left")
             .withColumn("differs", unequal).withColumn("last", last)
             .filter("differs or last >= _common")
             .select(*KEY, "v", "nxt", "differs", "last",
-                    F.when(F.col("sa.d").isNotNull(), F.col("sa.at")).alias("at_a"),
-                    F.when(F.col("sb.d").isNotNull(), F.col("sb.at")).alias("at_b")))
+                    F.when(F.col("sa.d").isNotNull(), F.col("sa.ord")).alias("at_a"),
+                    F.when(F.col("sb.d").isNotNull(), F.col("sb.ord")).alias("at_b")))
 
 
 def differing_counts(spans: DataFrame, pairs: DataFrame) -> DataFrame:
