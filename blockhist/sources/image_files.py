@@ -25,11 +25,18 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..functions.cells import idiv
+from ..session import materialise
+
 NAME = "blockhist_images"
 SUFFIX = ".img"
 SCHEMA = "dataset STRING, ord INT, cell BIGINT, payload BINARY"
 #: bytes read at a time, and bytes of a split unless the caller says otherwise
 CHUNK, SPLIT = 1 << 22, 1 << 27
+#: bytes of an image that one task writes in a row
+PIECE = 1 << 23
+#: With more splits than this they grow, up to SPLIT: every split is a task with a Python process to feed
+MOST_SPLITS = 1 << 12
 
 # tasks receive this module with the job: workers need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,9 +61,11 @@ class Split(InputPartition):
 def splits(path: str, cell_size: int, split_size: int, pattern: str = "*") -> list[Split]:
     """The splits of all image files of a folder; each begins at a cell."""
     store, folder = file_system(path)
+    found = store.get_file_info(fs.FileSelector(folder))
+    split_size = max(split_size, min(SPLIT, sum(info.size or 0 for info in found) // MOST_SPLITS))
     step = max(split_size // cell_size, 1) * cell_size
     out = []
-    for info in store.get_file_info(fs.FileSelector(folder)):
+    for info in found:
         name = info.base_name
         if info.type != fs.FileType.File or not name.endswith(SUFFIX) or not fnmatch.fnmatchcase(name, pattern):
             continue
@@ -130,10 +139,15 @@ class Written(WriterCommitMessage):
 
 
 class ImageWriter(DataSourceArrowWriter):
-    """Rows (dataset, ord, size, cell, payload) sorted by version and cell; each file gets its name when all are written."""
+    """Rows (dataset, ord, size, cell, payload) sorted by version and cell; each file gets its name when all are written.
+
+    On local and shared folders any number of tasks write into one file, each at the places of its cells; a task that
+    runs again writes the same bytes. Other stores take a file from one task, in order.
+    """
 
     def __init__(self, options):
         self.path, self.cell_size = options["path"], int(options["cellsize"])
+        self.run = uuid.uuid4().hex
 
     def write(self, iterator):
         store, folder = file_system(self.path)
@@ -151,21 +165,23 @@ class ImageWriter(DataSourceArrowWriter):
                 out.truncate(size) if local else zeros(size - at)
                 out.close()
         for batch in iterator:
-            for row in batch.to_pylist():
-                if (row["dataset"], row["ord"]) != current:
+            columns = [batch.column(c).to_pylist() for c in ("dataset", "ord", "size", "cell", "payload")]
+            for dataset, ord_, full, cell, payload in zip(*columns):
+                if (dataset, ord_) != current:
                     finish()
-                    current, size, at = (row["dataset"], row["ord"]), row["size"], 0
-                    final = f"{folder}/{quote(row['dataset'], safe='')}@{row['ord']}{SUFFIX}"
-                    part = f"{folder}/.{uuid.uuid4().hex}.part"
+                    current, size, at = (dataset, ord_), full, 0
+                    final = f"{folder}/{quote(dataset, safe='')}@{ord_}{SUFFIX}"
+                    part = f"{folder}/.{self.run if local else uuid.uuid4().hex}-{quote(dataset, safe='')}@{ord_}.part"
                     files.append((part, final))
-                    out = open(part, "wb") if local else store.open_output_stream(part)
-                if row["payload"] is None:
+                    out = os.fdopen(os.open(part, os.O_WRONLY | os.O_CREAT, 0o666), "wb", CHUNK) if local else store.open_output_stream(part)
+                if payload is None:
                     continue
-                start = row["cell"] * self.cell_size
-                piece = row["payload"][:max(size - start, 0)]
+                start = cell * self.cell_size
+                piece = payload[:max(size - start, 0)]
                 if start < at or not piece:
                     continue
-                out.seek(start) if local else zeros(start - at)
+                if start > at or at == 0:
+                    out.seek(start) if local else zeros(start - at)
                 out.write(piece)
                 at = start + len(piece)
         finish()
@@ -173,15 +189,13 @@ class ImageWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         store, _ = file_system(self.path)
-        for m in messages:
-            for part, final in m.files if m else ():
-                store.move(part, final)
+        for part, final in sorted({f for m in messages if m for f in m.files}):
+            store.move(part, final)
 
     def abort(self, messages):
         store, _ = file_system(self.path)
-        for m in messages:
-            for part, _ in m.files if m else ():
-                store.delete_file(part)
+        for part in sorted({part for m in messages if m for part, _ in m.files}):
+            store.delete_file(part)
 
 
 class ImageFiles(DataSource):
@@ -208,15 +222,22 @@ def read_images(spark: SparkSession, path: str, cell_size: int, split_size: int
             .load(path))
 
 
-def write_images(cells: DataFrame, versions: DataFrame, path: str, cell_size: int) -> None:
+def write_images(cells: DataFrame, versions: DataFrame, path: str, cell_size: int, piece: int = PIECE) -> None:
     """One file per version of ``versions`` (dataset, ord, size) from its live ``cells`` (dataset, ord, cell, payload).
 
-    Cells past the size are cut; holes are left out where the file system knows sparse files. A file is
-    written in order, by one task; files appear under their names when all of them are written.
+    Cells past the size are cut; holes are left out where the file system knows sparse files. On local and shared
+    folders a file is written by many tasks, ``piece`` bytes of it at a time; on other stores by one, in order. Files
+    appear under their names when all of them are written.
     """
-    cells.sparkSession.dataSource.register(ImageFiles)
-    rows = (versions.select("dataset", "ord", "size").join(cells.select("dataset", "ord", "cell", "payload"), ["dataset", "ord"], "left")
-            .select("dataset", F.col("ord").cast("int").alias("ord"), F.col("size").cast("long").alias("size"),
-                    F.col("cell").cast("long").alias("cell"), "payload"))
-    (rows.repartition("dataset", "ord").sortWithinPartitions("dataset", "ord", "cell")
+    spark = cells.sparkSession
+    spark.dataSource.register(ImageFiles)
+    # written: with their size known the cells need not move to meet them
+    sizes = materialise(versions.select("dataset", F.col("ord").cast("int").alias("ord"), F.col("size").cast("long").alias("size")), "image-sizes")
+    rows = cells.select("dataset", "ord", F.col("cell").cast("long").alias("cell"), "payload").join(sizes, ["dataset", "ord"])
+    # a version without cells has a file, too
+    every = rows.unionByName(sizes, allowMissingColumns=True).select("dataset", "ord", "size", "cell", "payload")
+    keys = ["dataset", "ord"]
+    if isinstance(file_system(path)[0], fs.LocalFileSystem):
+        keys.append(F.coalesce(idiv("cell", max(piece // cell_size, 1)), F.lit(0)))
+    (every.repartition(*keys).sortWithinPartitions("dataset", "ord", "cell")
      .write.format(NAME).option("cellSize", cell_size).mode("append").save(path))

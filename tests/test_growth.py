@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from blockhist.operators import compare as CMP
 from blockhist.session import materialise
-from blockhist.sources import images as IMG
+from blockhist.sources import image_files, images as IMG
 from tests.model import cells_of
+from workloads import q_sources
 
 
 def plan_of(df):
@@ -45,3 +46,29 @@ def test_history_of_images_moves_each_image_once(spark):
     key = lambda r: (r[0], r[1], r[2])
     got = sorted(((r["dataset"], r["ord"], r["cell"], None if r["payload"] is None else bytes(r["payload"])) for r in made.collect()), key=key)
     assert got == sorted(want, key=key)
+
+
+def test_log_files_are_sorted_once(spark):
+    """The writer must not sort by folder again: that sort is not stable once it spills."""
+    q_sources.log_files(spark, "/root/testdata/sf0.001", "log")
+    last = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+    assert len(set(re.findall(r"^\((\d+)\) Sort\b", last.split("Initial Plan")[0], re.M))) <= 1
+
+
+def test_image_is_written_by_many_tasks(spark, tmp_path):
+    """Pieces of one image lie in several tasks; the file is what one task would write, and a version without cells has one."""
+    cells = spark.range(4000).filter("id % 3 > 0").select(
+        F.lit("v").alias("dataset"), F.lit(1).alias("ord"), F.col("id").alias("cell"), F.rpad(F.col("id").cast("string").cast("binary"), F.lit(64), F.lit(b"x")).alias("payload"))
+    versions = spark.createDataFrame([("v", 1, 3990 * 64 + 5), ("v", 2, 100)], "dataset string, ord int, size bigint")
+    image_files.write_images(cells, versions, str(tmp_path), 64, piece=64 * 10)
+    want = b"".join(str(i).encode().ljust(64, b"x") if i % 3 else bytes(64) for i in range(4000))[:3990 * 64 + 5]
+    assert (tmp_path / "v@1.img").read_bytes() == want and (tmp_path / "v@2.img").read_bytes() == bytes(100)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["v@1.img", "v@2.img"]
+
+
+def test_splits_grow_with_what_there_is_to_read(tmp_path, monkeypatch):
+    (tmp_path / "v@1.img").write_bytes(b"x" * 10_000)
+    assert len(image_files.splits(str(tmp_path), 16, 16)) == 625
+    monkeypatch.setattr(image_files, "MOST_SPLITS", 10)
+    few = image_files.splits(str(tmp_path), 16, 16)
+    assert len(few) == 11 and sum(s.length for s in few) == 10_000 and all(s.offset % 16 == 0 for s in few)

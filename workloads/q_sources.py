@@ -73,8 +73,9 @@ def log_files(spark, sf, label):
     path = scratch_path(spark, label)
     lines = V.view(spark, sf, V.LOG)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (lines.repartitionByRange(n, "dataset", "ord", "seq").sortWithinPartitions("dataset", "ord", "seq")
-     .select(F.concat_ws("@", "dataset", F.col("ord").cast("string")).alias("version"), "line")
+    # sorted by the folder first: otherwise the writer sorts by it once more, which keeps the order of lines only until it spills
+    named = lines.select(F.concat_ws("@", "dataset", F.col("ord").cast("string")).alias("version"), "seq", "line")
+    (named.repartitionByRange(n, "version", "seq").sortWithinPartitions("version", "seq").select("version", "line")
      .write.partitionBy("version").text(path))
     return path
 
@@ -143,7 +144,8 @@ def image_file_cells(spark, sf):
     sized = docs.withColumn("n", F.expr("(octet_length(bytes) + 511L) div 512"))
     places = ordered.running_sums(sized.select("volume", "doc", "ord", "n"), ["volume", "ord"], ["doc"], {"upto": "n"},
                                   ordered.int_chunk("doc"))
-    cells = (images.to_cells(docs, ["volume", "doc", "ord"], "bytes", 512).join(places, ["volume", "doc", "ord"])
+    # a document is cut into cells where it has met its place
+    cells = (images.to_cells(docs.join(places, ["volume", "doc", "ord"]), ["volume", "ord", "upto", "n"], "bytes", 512)
              .select(F.col("volume").alias("dataset"), "ord", (F.col("cell") + F.col("upto") - F.col("n")).alias("cell"), "payload"))
     versions = sized.groupBy(F.col("volume").alias("dataset"), "ord").agg((F.sum("n") * 512).alias("size"))
     path = scratch_path(spark, "images")
