@@ -73,7 +73,7 @@ def log_files(spark, sf, label):
     path = scratch_path(spark, label)
     lines = V.view(spark, sf, V.LOG)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # sorted by the folder first: otherwise the writer sorts by it once more, which keeps the order of lines only until it spills
+    # sorted by the folder first: otherwise the writer's own sort by folder takes the place of this one
     named = lines.select(F.concat_ws("@", "dataset", F.col("ord").cast("string")).alias("version"), "seq", "line")
     (named.repartitionByRange(n, "version", "seq").sortWithinPartitions("version", "seq").select("version", "line")
      .write.partitionBy("version").text(path))
