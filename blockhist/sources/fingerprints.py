@@ -106,7 +106,8 @@ def import_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
                        F.when(four, F.get(w, F.lit(3))).alias("version_id"))
     good, bad = read_fingerprints(cols)
     bad = bad.withColumn("reason", F.when(F.col("snap").isNull(), "not four fields").otherwise(F.col("reason")))
-    sizes = file_problems(lines, lines.select("dataset").distinct())
+    # one row a file, written: lines need not move to meet it, and it is read twice
+    sizes = materialise(file_problems(lines, lines.select("dataset").distinct()), "file-problems")
     good = good.join(sizes.filter(F.col("problem").isNull()).drop("problem"), "dataset")
     refused = sizes.filter(F.col("problem").isNotNull()).select(
         "dataset", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("line"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from blockhist.functions import ordered
 from blockhist.functions.cells import is_hole
 from blockhist.operators import changes as C, policy
-from blockhist.session import scratch_path
+from blockhist.session import materialise, scratch_path
 from blockhist.sources import catalog, change_log, fingerprints as fp_io, history as hist_io, image_files, images
 
 from . import views as V
@@ -233,7 +233,8 @@ def fingerprint_text(spark, sf):
 
 @query("fingerprint_text_import", f"""select dataset, snap, size, acc, version_id, 512 cell_size from ({ORDER_FPS})""")
 def fingerprint_text_import(spark, sf):
-    good, _ = fp_io.import_text(fp_io.export_text(order_fingerprints(spark, sf)))
+    # written as a file is: every check of its lines would make them anew
+    good, _ = fp_io.import_text(materialise(fp_io.export_text(order_fingerprints(spark, sf)), "text"))
     return good.select("dataset", "snap", "size", F.lower(F.hex("acc")).alias("acc"),
                        F.col("version_id").cast("string").alias("version_id"), "cell_size")
 
