@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..session import materialise
+from ..functions.cells import generated
 from ..functions.lanes import acc_to_text
 
 _NUMBER = r"^[0-9]+$"
@@ -95,9 +96,9 @@ def import_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns (fingerprints with ``cell_size``, rejected lines with a reason).
     """
-    t = F.trim(F.regexp_replace("line", r"\s+", " "))
-    w = F.split(t, " ")
-    body = lines.withColumn("_t", t).filter((F.col("_t") != "") & ~F.col("_t").startswith("#"))
+    # generated: words are found once a line, not once for each use of them
+    body = generated(lines, _t=F.trim(F.regexp_replace("line", r"\s+", " "))).filter((F.col("_t") != "") & ~F.col("_t").startswith("#"))
+    body, w = generated(body, _w=F.split("_t", " ")), F.col("_w")
     four = F.size(w) == 4
     cols = body.select("dataset", "line_no", "line",
                        F.when(four, F.get(w, F.lit(0))).alias("snap"),
