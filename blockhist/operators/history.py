@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ordered
 from ..functions.cells import align_size, cell_count, hole_to_null, is_hole, pad_cell
+from ..functions.filters import possible
 from ..session import materialise
 from .ranges import cells_in_ranges, merge_adjacent
 
@@ -84,7 +85,8 @@ def cut_rows(rows: DataFrame, versions: DataFrame, cell_size: int, chunk) -> Dat
     that holds at that moment. So the work is rows plus shrunk cells, not rows times shrinks. Of several shrinks
     that meet one row the cell keeps the smallest part that any of them left over.
     """
-    lost = shrinks(versions).withColumn("off", F.col("size")).withColumn("len", F.col("prev_size") - F.col("size"))
+    lost = materialise(shrinks(versions).withColumn("off", F.col("size")).withColumn("len", F.col("prev_size") - F.col("size")), "shrinks")
+    rows = possible(rows, lost, ["dataset"])
     met = cells_in_ranges(lost, rows.select(*KEY).distinct(), cell_size).select(
         *KEY, F.col("at").alias("ord"), "size", (F.col("at").cast("long") * 2 + 1).alias("_o"))
     # a row stands before a shrink of its own version: what that version writes is not cut by it
@@ -119,7 +121,8 @@ def resize_rows(rows: DataFrame, narrow: DataFrame, versions: DataFrame, cell_si
     holes = cut.filter("_least = 0").select("dataset", F.col("at").alias("ord"), "cell",
                                             F.lit(None).cast("binary").alias("payload"))
     short = pad_cell(F.substring("payload", F.lit(1), F.col("_least").cast("int")), cell_size)
-    parts = (rows.join(cut.filter("_least > 0"), KEY + ["ord"])
+    partly = cut.filter("_least > 0")
+    parts = (possible(rows, partly, KEY + ["ord"]).join(partly, KEY + ["ord"])
              .select("dataset", F.col("at").alias("ord"), "cell", hole_to_null(short, cell_size).alias("payload")))
     return holes.unionByName(parts)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ordered
 from ..functions.cells import align_size, idiv
+from ..functions.filters import possible
 from ..session import materialise
 
 #: cells enumerated by one generated row; longer ranges are first cut into spans, twice
@@ -147,7 +148,7 @@ def cells_in_ranges(ranges: DataFrame, cells: DataFrame, cell_size: int) -> Data
                .withColumn("_hi", idiv(F.col("off") + F.col("len") - 1, cell_size))
                .select(*ranges.columns, F.inline(_blocks())))
     ups = ", ".join(f"struct({n} as _level, shiftright(cell, {n}) as _block)" for n in BLOCK_LEVELS)
-    c = cells.select("*", F.expr(f"inline(array({ups}))"))
+    c = possible(cells.select("*", F.expr(f"inline(array({ups}))")), r, ["dataset", "_level", "_block"])
     at = F.col("cell") * cell_size
     return (c.join(r, ["dataset", "_level", "_block"])
             .withColumn("covered", (at >= F.col("off")) & (at + cell_size <= F.col("off") + F.col("len")))
@@ -185,7 +186,8 @@ def ended_touches(live: DataFrame, blocks: DataFrame, chunk: Column | None) -> D
     ``free_blocks`` and should be written."""
     ups = ", ".join(f"struct({n} as _level, shiftright(cell, {n}) as _block)" for n in BLOCK_LEVELS)
     line = ["dataset", "_level", "_block"]
-    asked = live.select("*", F.expr(f"inline(array({ups}))")).join(blocks.select(*line).distinct(), line, "left_semi")
+    # a touch that no free answers is left out at the end; most are before they are shuffled
+    asked = possible(live.select("*", F.expr(f"inline(array({ups}))")), blocks, line)
     both = (asked.withColumn("_free", F.lit(None).cast("struct<ord:int,seq:bigint>"))
             .unionByName(blocks.withColumn("_free", F.struct("ord", "seq")), allowMissingColumns=True)
             .withColumn("_at", F.struct((-F.col("ord")).alias("o"), (-F.col("seq")).alias("s"))))

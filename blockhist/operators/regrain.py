@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ordered
 from ..functions.cells import full_cell, hole_to_null, idiv, is_hole, zeros
@@ -112,7 +112,24 @@ def overlay_cells(touched: DataFrame, image_cells: DataFrame) -> DataFrame:
     A cell fully covered by a FREE is a hole. Any other touched cell, in particular one
     whose edges lie outside the range, takes its whole content from the version's image.
     """
-    gone = (F.col("op") == "FREE") & F.col("covered")
     image = image_cells.select("dataset", "ord", "cell", F.col("payload").alias("_image"))
     return (touched.join(image, ["dataset", "ord", "cell"], "left")
-            .withColumn("payload", F.when(~gone, hole_to_null("_image"))).drop("_image"))
+            .withColumn("payload", F.when(~_is_gone(), hole_to_null("_image"))).drop("_image"))
+
+
+def overlay_parts(touched: DataFrame, image_cells: DataFrame, old: int, new: int) -> DataFrame:
+    """:func:`overlay_cells` from image cells that hold ``old / new`` touched cells each.
+
+    A touched cell meets the image cell it lies in and takes its part of it behind the join: an image cell is moved
+    once, whole, however many cells it holds.
+    """
+    k = ratio(old, new)
+    image = image_cells.select("dataset", "ord", F.col("cell").alias("_whole"), F.col("payload").alias("_image"))
+    part = F.substring(full_cell("_image", old), (F.pmod("cell", F.lit(k)) * new + 1).cast("int"), F.lit(new))
+    return (touched.withColumn("_whole", idiv("cell", k)).join(image, ["dataset", "ord", "_whole"], "left")
+            .withColumn("_part", part).withColumn("payload", F.when(~_is_gone(), hole_to_null("_part", new)))
+            .drop("_whole", "_image", "_part"))
+
+
+def _is_gone() -> Column:
+    return (F.col("op") == "FREE") & F.col("covered")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import ordered
 from ..functions.cells import idiv
+from ..functions.filters import possible
 from ..operators.changes import cut_at, lost_writes, past_end
 from ..operators.history import resize_rows
 from ..operators.ranges import resolve_touches
-from ..operators.regrain import assemble, overlay_cells, ratio, to_finer, unchanged_rows, with_digest
+from ..operators.regrain import assemble, overlay_cells, overlay_parts, ratio, unchanged_rows, with_digest
 from ..session import materialise
 
 KEYS = ["dataset", "ord"]
@@ -17,22 +18,21 @@ KEYS = ["dataset", "ord"]
 SHOWN = 8
 
 
-def image_at_grain(images: DataFrame, wanted: DataFrame, old: int, new: int) -> DataFrame:
-    """Content of the ``wanted`` cells (new grain) from image cells kept at the old grain.
+def overlay_images(touched: DataFrame, images: DataFrame, old: int, new: int) -> DataFrame:
+    """Content of the ``touched`` cells (new grain, written) from image cells kept at the old grain.
 
-    Only image cells under a wanted cell pass the semi join, before anything is re-cut. Small cells are
-    joined by the cell they go into, the key they are assembled by: their bytes are shuffled once.
+    Image cells that no touch asks for stay where they are, all but the few that a filter lets through; the others
+    are shuffled once, as they are: big cells are cut behind the join, small ones are joined by the cell they go
+    into, the key they are assembled by.
     """
-    if new == old:
-        return images.join(wanted, KEYS + ["cell"], "left_semi")
-    if new > old:
-        k = ratio(new, old)
-        parts = images.withColumn("_t", idiv("cell", k)).join(wanted.withColumnRenamed("cell", "_t"), KEYS + ["_t"], "left_semi")
-        return assemble(parts, KEYS, old, new)
-    k = ratio(old, new)
-    parents = wanted.select(*KEYS, idiv("cell", k).alias("cell")).distinct()
-    pieces = to_finer(images.join(parents, KEYS + ["cell"], "left_semi"), old, new)
-    return pieces.filter(F.col("payload").isNotNull())
+    at = idiv("cell", ratio(old, new)) if new <= old else F.col("cell")
+    wanted = touched.filter("op = 'WRITE' or not covered").select(*KEYS, at.alias("_at"))
+    placed = images.withColumn("_at", idiv("cell", ratio(new, old)) if new > old else F.col("cell"))
+    asked = possible(possible(placed, wanted, KEYS), wanted, KEYS + ["_at"])
+    if new <= old:
+        return overlay_parts(touched, asked.drop("_at"), old, new)
+    parts = asked.join(wanted, KEYS + ["_at"], "left_semi")
+    return overlay_cells(touched, assemble(parts, KEYS, old, new))
 
 
 def _clamped(changes: DataFrame, sizes: DataFrame, strict: bool) -> DataFrame:
@@ -53,8 +53,7 @@ def _content(touched: DataFrame, images: DataFrame, old: int, new: int) -> DataF
     """Cells ``(dataset, ord, cell, payload, digest)`` as the touches leave them; payload NULL = a hole."""
     # the touches are read twice, and what they came from is no small plan
     touched = materialise(touched, "touched")
-    wanted = touched.filter("op = 'WRITE' or not covered").select(*KEYS, "cell")
-    rows = overlay_cells(touched, image_at_grain(images, wanted, old, new)).select(*KEYS, "cell", "payload")
+    rows = overlay_images(touched, images, old, new).select(*KEYS, "cell", "payload")
     rows = with_digest(rows, new).withColumn("payload", F.when(F.col("digest").isNotNull(), F.col("payload")))
     # the rebuilt content is read by several branches later: written once
     return materialise(rows, "rebuilt")
@@ -63,15 +62,16 @@ def _content(touched: DataFrame, images: DataFrame, old: int, new: int) -> DataF
 def _settled(rows: DataFrame, versions: DataFrame, new: int) -> DataFrame:
     """``rows`` (with digests) after the shrinks of the versions, without rows that change nothing.
 
-    Both steps compare digests; payloads are read at the end, and stay where they are as long as the keys
-    that go are few enough for a broadcast.
+    Both steps compare digests; payloads are read at the end, and of them only those are shuffled that may go.
     """
     narrow = rows.select(*KEYS, "cell", "digest")
     added = resize_rows(rows, narrow.select(*KEYS, "cell", F.col("digest").isNotNull().alias("live")), versions, new)
     added = materialise(with_digest(added, new), "resized")
     both = narrow.unionByName(added.select(*narrow.columns))
     gone = materialise(unchanged_rows(both, ordered.history_chunk(versions)), "unchanged")
-    return rows.unionByName(added).drop("digest").join(gone, KEYS + ["cell"], "left_anti").select(*KEYS, "cell", "payload")
+    every = rows.unionByName(added).select(*KEYS, "cell", "payload")
+    doubtful = possible(every, gone, KEYS + ["cell"]).join(gone, KEYS + ["cell"], "left_anti")
+    return possible(every, gone, KEYS + ["cell"], "left_anti").unionByName(doubtful)
 
 
 def replay(images: DataFrame, changes: DataFrame, versions: DataFrame, old: int, new: int,
