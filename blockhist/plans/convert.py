@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -95,6 +95,8 @@ def convert(spark: SparkSession, table: str, log: Log, o: Conversion) -> Convert
     written before all checks passed.
     """
     resuming = o.resume_from is not None
+    # read by most of the steps: what they are made from is read once
+    log = replace(log, versions=materialise(log.versions, "versions"), changes=materialise(log.changes, "changes"))
     named = log.versions.filter(~F.coalesce("is_head", F.lit(False)))
     checks = policy.preflight(log.settings, log.versions, log.written, log.names, o.new_grain, force=o.force, no_swap=True, resuming=resuming)
     _refuse(checks.filter("not ok"), lambda r: f"{r['dataset']}: {r['rule']} ({r['detail']})")

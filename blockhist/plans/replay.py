@@ -8,7 +8,7 @@ from ..functions import ordered
 from ..functions.cells import idiv
 from ..functions.filters import possible
 from ..operators.changes import cut_at, lost_writes, past_end
-from ..operators.history import resize_rows
+from ..operators.history import latest_rows, resize_rows, shrinks
 from ..operators.ranges import resolve_touches
 from ..operators.regrain import assemble, overlay_cells, overlay_parts, ratio, unchanged_rows, with_digest
 from ..session import materialise
@@ -103,11 +103,12 @@ def _resumed(images, changes, versions, old, new, strict, target, bases) -> Data
     def later(df: DataFrame) -> DataFrame:
         return df.join(points, "dataset", "left").filter("base is null or ord > base").drop("base")
     kept = target.select(*KEYS, "cell", "payload").join(points, "dataset").filter("ord <= base").drop("base")
-    # the state at the base: what the first later change of a cell, or a shrink, is compared with
-    newest = kept.groupBy("dataset", "cell").agg(F.max("ord").alias("ord"))
-    state = materialise(kept.join(newest, ["dataset", "cell", "ord"]), "state")
+    changes = materialise(later(changes), "later")
+    # the state at the base: what the first later change of a cell, or a shrink, is compared with; a dataset that has neither needs none
+    moving = materialise(changes.select("dataset").unionByName(later(shrinks(versions).withColumnRenamed("at", "ord")).select("dataset")).distinct(), "moving")
+    state = materialise(latest_rows(possible(kept, moving, ["dataset"])), "state")
     live = state.filter("payload is not null").select("dataset", "cell", "ord")
-    touched = resolve_touches(_clamped(later(changes), versions, strict), new, ordered.history_chunk(versions), live)
+    touched = resolve_touches(_clamped(changes, versions, strict), new, ordered.history_chunk(versions), live)
     rows = _content(touched, later(images), old, new)
     added = _settled(with_digest(state, new).unionByName(rows), versions, new)
     return kept.unionByName(later(added).select(*kept.columns))

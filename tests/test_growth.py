@@ -110,3 +110,22 @@ def test_an_image_is_shuffled_once_when_it_is_replayed(spark):
         part = whole[c % 4 * 8:c % 4 * 8 + 8] if whole and not (op == "FREE" and covered) else None
         want[d, o, c] = part if part and part.strip(b"\0") else None
     assert {(r["dataset"], r["ord"], r["cell"]): None if r["payload"] is None else bytes(r["payload"]) for r in rows} == want
+
+
+def test_a_resumed_replay_reads_payloads_of_what_goes_on(spark, monkeypatch):
+    """Of the target only cells of datasets with a later change or a shrink are read again: a dataset without stays as it is."""
+    versions = spark.createDataFrame([(d, o, 8 if d == "shrinks" and o == 2 else 32) for d in ("idle", "moves", "shrinks") for o in (1, 2)],
+                                     "dataset string, ord int, size bigint")
+    images = spark.createDataFrame([(d, o, c, bytes([65 + o]) * 8) for d in ("idle", "moves", "shrinks") for o in (1, 2) for c in range(4)
+                                    if (d, o) == ("moves", 2) or o == 1], "dataset string, ord int, cell bigint, payload binary")
+    changes = spark.createDataFrame([(d, 1, 1, "WRITE", 0, 32) for d in ("idle", "moves", "shrinks")] + [("moves", 2, 2, "WRITE", 8, 8)],
+                                    "dataset string, ord int, seq bigint, op string, off bigint, len bigint")
+    whole = materialise(replay.replay(images, changes, versions, 8, 8), "whole")
+    bases = spark.createDataFrame([(d, 1) for d in ("idle", "moves", "shrinks")], "dataset string, base int")
+    written = {}
+    monkeypatch.setattr(replay, "materialise", lambda df, label: written.setdefault(label, materialise(df, label)))
+    again = replay.replay(images, changes, versions, 8, 8, target=whole.filter("ord = 1"), bases=bases)
+    key = lambda r: (r["dataset"], r["ord"], r["cell"])
+    assert sorted(again.collect(), key=key) == sorted(whole.select(*again.columns).collect(), key=key)
+    assert sorted({r["dataset"] for r in written["state"].collect()}) == ["moves", "shrinks"]
+    assert whole.filter("dataset = 'shrinks' and ord = 2 and payload is null").count() == 3

@@ -283,8 +283,8 @@ def _log(spark, sf, name, versions, images, changes, upto=None, taken=(), estima
 def rebuild_resumed(spark, sf):
     """A conversion that stops after the first version, is recorded, and is taken up again; equals a full run."""
     name = "resumed_" + uuid.uuid4().hex
-    versions = doc_versions(spark, sf).withColumn("version_id", F.col("ord").cast("long"))
-    images, changes = doc_cells(spark, sf, 512), doc_changes(spark, sf)
+    versions = materialise(doc_versions(spark, sf).withColumn("version_id", F.col("ord").cast("long")), "versions")
+    images, changes = doc_cells(spark, sf, 512), materialise(doc_changes(spark, sf), "changes")
     first = convert.Conversion(512, 2048, verify=False, location=scratch_path(spark, "converted"))
     convert.convert(spark, name, _log(spark, sf, name, versions, images, changes, 1), first)
     wanted = versions.select("dataset", F.lit("s2").alias("resume_from")).distinct()
