@@ -20,37 +20,37 @@ def merge_adjacent(rows: DataFrame, keys: list[str], order: str, chunk: Column,
 
     A row continues its predecessor when it has the same ``op``, starts where that one ends
     and ``condition`` holds for it. Runs are formed inside chunks of the order column, in one
-    shuffle; only the first and the last run of each chunk can go on across its border, and
-    these are merged in a second step over at most two rows per chunk.
+    shuffle and one sort: a run is read off its first and its last row, which look at their neighbours. Only the
+    first and the last run of each chunk can go on across its border, and these are merged in a second step over at
+    most two rows per chunk.
     """
     part = keys + ["_chunk"]
     line = Window.partitionBy(*part).orderBy(order)
-    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-
-    def link(w):
-        return F.expr(f"op = lag_op and off = lag_end and {condition}"), {
-            "lag_op": F.lag("op").over(w), "lag_end": F.lag("_end").over(w)}
-
-    def runs(df, w, upto, new):
-        joined, lags = link(w)
-        return (df.withColumns(lags).withColumn("_new", F.when(F.coalesce(new(joined), F.lit(False)), 0).otherwise(1))
-                .withColumn("_run", F.sum("_new").over(upto)))
-
-    def merged(df, by):
-        return df.groupBy(*by).agg(F.min(order).alias(order), F.first("op").alias("op"), F.min("off").alias("off"),
-                                   F.max("_end").alias("_end"), F.sum("merged").alias("merged"))
-    base = rows.select(*keys, order, "op", "off", (F.col("off") + F.col("len")).alias("_end"),
-                       F.lit(1).cast("long").alias("merged"), chunk.alias("_chunk"))
-    local = merged(runs(base, line, so_far, lambda j: j), part + ["_run"])
-    local = local.withColumn("_last", F.max("_run").over(Window.partitionBy(*part)))
-    edge = F.expr("_run = 1 or _run = _last")
+    base = rows.select(*keys, order, "op", "off", (F.col("off") + F.col("len")).alias("_end"), chunk.alias("_chunk"),
+                       F.expr(condition).alias("_may"))
+    # plain columns: a struct would be made, and moved, before the window
+    placed = base.withColumns({
+        "_n": F.row_number().over(line), **{f"_was_{c}": F.lag(c).over(line) for c in ("op", "_end")},
+        **{f"_next_{c}": F.lead(c).over(line) for c in ("op", "off", "_may")}})
+    joins = F.expr("_may and op = _was_op and off = _was__end")
+    goes_on = F.expr("_next__may and _next_op = op and _next_off = _end")
+    ends = placed.select(*part, order, "op", "off", "_end", "_n", (~F.coalesce(joins, F.lit(False))).alias("_new"),
+                         (~F.coalesce(goes_on, F.lit(False))).alias("_stop")).filter("_new or _stop")
+    # a first row that is not the last one of its run has that one next to it
+    to = {f"_to_{c}": F.when(F.col("_stop"), F.col(c)).otherwise(F.lead(c).over(line)) for c in ("_end", "_n")}
+    starts = ends.withColumns(to).filter("_new").select(
+        *part, order, "op", "off", F.col("_to__end").alias("_end"), (F.col("_to__n") - F.col("_n") + 1).cast("long").alias("merged"))
+    local = starts.withColumns({"_first": F.lag(order).over(line).isNull(), "_last": F.lead(order).over(line).isNull()})
+    edge = F.expr("_first or _last")
     inner = local.filter(~edge).select(*keys, order, "op", "off", "_end", "merged")
 
     across = Window.partitionBy(*keys).orderBy(order)
-    edges = local.filter(edge).withColumnRenamed("_run", "_local")
-    chained = runs(edges, across, across.rowsBetween(Window.unboundedPreceding, 0),
-                   lambda j: j & (F.col("_local") == 1))
-    outer = merged(chained, keys + ["_run"]).select(*keys, order, "op", "off", "_end", "merged")
+    chained = (local.filter(edge).withColumns({f"_was_{c}": F.lag(c).over(across) for c in ("op", "_end")})
+               .withColumn("_new", F.when(F.expr(f"_first and op = _was_op and off = _was__end and {condition}"), 0).otherwise(1))
+               .withColumn("_run", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0))))
+    outer = chained.groupBy(*keys, "_run").agg(
+        F.min(order).alias(order), F.first("op").alias("op"), F.min("off").alias("off"), F.max("_end").alias("_end"),
+        F.sum("merged").alias("merged")).select(*keys, order, "op", "off", "_end", "merged")
     return inner.unionByName(outer).select(*keys, order, "op", "off", (F.col("_end") - F.col("off")).alias("len"), "merged")
 
 

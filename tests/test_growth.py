@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from blockhist.functions.filters import possible
-from blockhist.operators import compare as CMP
+from blockhist.operators import compare as CMP, ranges as R
 from blockhist.plans import replay
 from blockhist.session import materialise
 from blockhist.sources import image_files, images as IMG
@@ -129,3 +129,21 @@ def test_a_resumed_replay_reads_payloads_of_what_goes_on(spark, monkeypatch):
     assert sorted(again.collect(), key=key) == sorted(whole.select(*again.columns).collect(), key=key)
     assert sorted({r["dataset"] for r in written["state"].collect()}) == ["moves", "shrinks"]
     assert whole.filter("dataset = 'shrinks' and ord = 2 and payload is null").count() == 3
+
+
+def test_runs_are_formed_in_one_sort(spark):
+    """No aggregate, with a sort of its own, over all rows of a chunk; runs over several chunks come out whole."""
+    rnd, rows, at = random.Random(9), [], 0
+    for seq in range(300):
+        at = at if rnd.random() < 0.8 else at + 8
+        rows.append(("d", 1, seq, "FREE" if rnd.random() < 0.1 else "WRITE", at, 8))
+        at += 8
+    merged = R.coalesce_ranges(spark.createDataFrame(rows, "dataset string, ord int, seq bigint, op string, off bigint, len bigint"), chunk_width=7)
+    assert not re.search(r"Aggregate\(key=\[[^\]]*_chunk", plan_of(merged))
+    want = []
+    for _, _, seq, op, off, n in rows:
+        if want and op == "WRITE" == want[-1][1] and want[-1][2] + want[-1][3] == off:
+            want[-1] = (*want[-1][:3], want[-1][3] + n, want[-1][4] + 1)
+        else:
+            want.append((seq, op, off, n, 1))
+    assert sorted((r["seq"], r["op"], r["off"], r["len"], r["merged"]) for r in merged.collect()) == want
