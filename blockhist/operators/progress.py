@@ -10,11 +10,11 @@ MICROS = 1_000_000
 
 
 def throughput(events: DataFrame, totals: DataFrame | None = None, span_seconds: int = 10,
-               pieces: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
+               pieces: int | None = None, earlier: DataFrame | None = None, summed: bool = False) -> DataFrame:
     """Bytes done, trailing rate, percent and ETA at every instant of ``events``.
 
     ``events`` = (dataset, ts, bytes), ``totals`` = (dataset, total), an estimate, 0 = unknown.
-    Events of one instant are summed first. The bytes of the trailing window are a difference
+    Events of one instant are summed first, unless they are ``summed`` already: one row per instant. The bytes of the trailing window are a difference
     of two running sums: the sum at ``t`` and the sum just before ``t - span``, for which a
     marker row is placed on the same time line. The line is cut by range, so a dataset with
     most of the events is spread over many tasks.
@@ -23,7 +23,8 @@ def throughput(events: DataFrame, totals: DataFrame | None = None, span_seconds:
     one in microseconds and the bytes of those that are not in ``events`` any more.
     """
     t = F.expr("unix_micros(cast(ts as timestamp))")
-    ticks = events.groupBy("dataset", "ts").agg(F.sum("bytes").cast("long").alias("b")).withColumn("_t", t)
+    one = events.select("dataset", "ts", F.col("bytes").cast("long").alias("b"))
+    ticks = (one if summed else one.groupBy("dataset", "ts").agg(F.sum("b").alias("b"))).withColumn("_t", t)
     # a marker sorts before the events of its own instant: the window includes its start
     line = ticks.select("dataset", F.explode(F.array(
         F.struct(F.col("_t").alias("at"), F.lit(1).alias("kind"), F.col("b").alias("b"), F.col("_t").alias("t")),

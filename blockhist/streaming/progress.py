@@ -48,7 +48,7 @@ def progress_batch(events: DataFrame, batch: int, path: str, span_seconds: int =
     moved = materialise(head.join(tops, "dataset", "full").select(
         "dataset", F.coalesce("first_at", "_first").alias("first_at"), F.coalesce("_top", "newest").alias("newest"),
         F.col("newest").alias("_open"), F.coalesce("base", F.lit(0).cast("long")).alias("base")), "progress-heads")
-    rows = throughput(line, totals, span_seconds, earlier=head).join(moved.select("dataset", "newest", "_open"), "dataset")
+    rows = throughput(line, totals, span_seconds, earlier=head, summed=True).join(moved.select("dataset", "newest", "_open"), "dataset")
     closed = rows.filter("micros < newest and (_open is null or micros >= _open)").drop("newest", "_open")
     write_batch(closed, f"{path}/progress", batch)
     write_batch(marked.filter(late).drop("newest"), f"{path}/late", batch)
@@ -65,7 +65,7 @@ def finish_progress(spark, path: str, span_seconds: int = 10, totals: DataFrame
     last = (batch_numbers(spark, f"{path}/heads/owners") or [-1])[-1]
     heads, recent = _states(spark, path, buckets)
     head = heads.read(last + 1)
-    rows = throughput(recent.read(last + 1), totals, span_seconds, earlier=head)
+    rows = throughput(recent.read(last + 1), totals, span_seconds, earlier=head, summed=True)
     write_batch(rows.join(head.select("dataset", F.col("newest").alias("micros")), ["dataset", "micros"], "left_semi"),
                 f"{path}/progress", last + 1)
 

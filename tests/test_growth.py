@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from blockhist.functions.filters import possible
-from blockhist.operators import compare as CMP, ranges as R
+from blockhist.operators import compare as CMP, progress, ranges as R
 from blockhist.plans import replay
 from blockhist.session import materialise
 from blockhist.sources import image_files, images as IMG
@@ -147,3 +147,12 @@ def test_runs_are_formed_in_one_sort(spark):
         else:
             want.append((seq, op, off, n, 1))
     assert sorted((r["seq"], r["op"], r["off"], r["len"], r["merged"]) for r in merged.collect()) == want
+
+
+def test_summed_instants_are_not_grouped_again(spark):
+    """A stream hands over one row per instant: it is not shuffled to be summed once more, and gives what its events give."""
+    events = spark.range(60).selectExpr("concat('d', id % 2) dataset", "timestamp_seconds(id div 3 * 4) ts", "id * id bytes")
+    summed = materialise(events.groupBy("dataset", "ts").agg(F.sum("bytes").alias("bytes")), "ticks")
+    made = progress.throughput(summed, None, 10, summed=True)
+    assert not re.search(r"Aggregate\(keys?=\[dataset#\d+, ts#", plan_of(made))
+    assert sorted(made.collect()) == sorted(progress.throughput(events, None, 10).collect())
