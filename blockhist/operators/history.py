@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import ordered
 from ..functions.cells import align_size, cell_count, hole_to_null, is_hole, pad_cell
 from ..functions.filters import possible
-from ..session import materialise
+from ..session import listed, materialise
 from .ranges import cells_in_ranges, merge_adjacent
 
 KEY = ["dataset", "cell"]
@@ -122,7 +122,7 @@ def resize_rows(rows: DataFrame, narrow: DataFrame, versions: DataFrame, cell_si
                                             F.lit(None).cast("binary").alias("payload"))
     short = pad_cell(F.substring("payload", F.lit(1), F.col("_least").cast("int")), cell_size)
     partly = cut.filter("_least > 0")
-    parts = (possible(rows, partly, KEY + ["ord"]).join(partly, KEY + ["ord"])
+    parts = (possible(rows, partly, KEY + ["ord"]).join(listed(partly), KEY + ["ord"])
              .select("dataset", F.col("at").alias("ord"), "cell", hole_to_null(short, cell_size).alias("payload")))
     return holes.unionByName(parts)
 

@@ -150,7 +150,8 @@ def cells_in_ranges(ranges: DataFrame, cells: DataFrame, cell_size: int) -> Data
     ups = ", ".join(f"struct({n} as _level, shiftright(cell, {n}) as _block)" for n in BLOCK_LEVELS)
     c = possible(cells.select("*", F.expr(f"inline(array({ups}))")), r, ["dataset", "_level", "_block"])
     at = F.col("cell") * cell_size
-    return (c.join(r, ["dataset", "_level", "_block"])
+    # Spark takes the blocks for as small as the ranges they are made of, and would send them whole through the driver
+    return (c.join(r.hint("merge"), ["dataset", "_level", "_block"])
             .withColumn("covered", (at >= F.col("off")) & (at + cell_size <= F.col("off") + F.col("len")))
             .drop("_level", "_block"))
 

@@ -11,7 +11,7 @@ from ..operators.changes import cut_at, lost_writes, past_end
 from ..operators.history import latest_rows, resize_rows, shrinks
 from ..operators.ranges import resolve_touches
 from ..operators.regrain import assemble, overlay_cells, overlay_parts, ratio, unchanged_rows, with_digest
-from ..session import materialise
+from ..session import listed, materialise
 
 KEYS = ["dataset", "ord"]
 #: Offending records named in an error.
@@ -38,7 +38,7 @@ def overlay_images(touched: DataFrame, images: DataFrame, old: int, new: int) ->
 def _clamped(changes: DataFrame, sizes: DataFrame, strict: bool) -> DataFrame:
     """The ranges of the log, cut at their version's size. Written: they are read several times. Writes past
     the end are counted on the way; only a log that has any is looked into."""
-    log = changes.select(*KEYS, "seq", "op", "off", "len").join(sizes, KEYS, "left")
+    log = changes.select(*KEYS, "seq", "op", "off", "len").join(listed(sizes), KEYS, "left")
     seen = Observation()
     past = F.sum(F.when(past_end(F.col("size")).isNotNull(), 1).otherwise(0)).alias("past")
     log = materialise(log.observe(seen, past), "log")
@@ -70,7 +70,7 @@ def _settled(rows: DataFrame, versions: DataFrame, new: int) -> DataFrame:
     both = narrow.unionByName(added.select(*narrow.columns))
     gone = materialise(unchanged_rows(both, ordered.history_chunk(versions)), "unchanged")
     every = rows.unionByName(added).select(*KEYS, "cell", "payload")
-    doubtful = possible(every, gone, KEYS + ["cell"]).join(gone, KEYS + ["cell"], "left_anti")
+    doubtful = possible(every, gone, KEYS + ["cell"]).join(listed(gone), KEYS + ["cell"], "left_anti")
     return possible(every, gone, KEYS + ["cell"], "left_anti").unionByName(doubtful)
 
 

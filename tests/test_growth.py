@@ -5,8 +5,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from blockhist import session
 from blockhist.functions.filters import possible
-from blockhist.operators import compare as CMP, progress, ranges as R
+from blockhist.operators import compare as CMP, history as H, progress, ranges as R
 from blockhist.plans import replay
 from blockhist.session import materialise
 from blockhist.sources import image_files, images as IMG
@@ -156,3 +157,44 @@ def test_summed_instants_are_not_grouped_again(spark):
     made = progress.throughput(summed, None, 10, summed=True)
     assert not re.search(r"Aggregate\(keys?=\[dataset#\d+, ts#", plan_of(made))
     assert sorted(made.collect()) == sorted(progress.throughput(events, None, 10).collect())
+
+
+def test_blocks_of_ranges_stay_off_the_driver(spark):
+    """Ranges become blocks, of which Spark knows no more than the size of the ranges' files."""
+    ranges = materialise(spark.range(300).select(F.concat(F.lit("d"), F.col("id") % 50).alias("dataset"), F.col("id").alias("seq"),
+                                                 (F.col("id") * 8 + 3).alias("off"), (F.col("id") % 40 + 1).alias("len")), "ranges")
+    cells = materialise(spark.range(600).select(F.concat(F.lit("d"), F.col("id") % 50).alias("dataset"), F.col("id").alias("cell")), "cells")
+    met = R.cells_in_ranges(ranges, cells, 8)
+    assert not re.search(r"BroadcastHashJoin \[dataset#\d+, _level#", plan_of(met))
+    want = [(f"d{i % 50}", i, c, c * 8 >= i * 8 + 3 and c * 8 + 8 <= i * 8 + 3 + i % 40 + 1) for i in range(300) for c in range(600)
+            if c % 50 == i % 50 and (i * 8 + 3) // 8 <= c <= (i * 8 + 3 + i % 40) // 8]
+    assert sorted((r["dataset"], r["seq"], r["cell"], r["covered"]) for r in met.collect()) == sorted(want)
+
+
+def test_replay_broadcasts_tables_of_few_rows_only(spark, monkeypatch):
+    """Versions, cut cells and unchanged cells go through the driver if they are few, whatever the size of their files."""
+    names = [f"d{i}" for i in range(50)]
+    versions = spark.createDataFrame([(d, o, s) for d in names for o, s in ((1, 64), (2, 20))], "dataset string, ord int, size bigint")
+    images = spark.createDataFrame([(d, o, c, b"x" * (4 if (o, c) == (2, 2) else 8)) for d in names for o, n in ((1, 8), (2, 3)) for c in range(n)],
+                                   "dataset string, ord int, cell bigint, payload binary")
+    changes = spark.createDataFrame([(d, o, o, "WRITE", 0, n) for d in names for o, n in ((1, 64), (2, 8))],
+                                    "dataset string, ord int, seq bigint, op string, off bigint, len bigint")
+    want = sorted((d, o, c, p) for d in names for o, c, p in [(1, c, b"x" * 8) for c in range(8)] + [(2, 2, b"xxxx" + bytes(4))] + [(2, c, b"") for c in range(3, 8)])
+    seen = []
+
+    def written(df, label):
+        seen.append(plan_of(df))
+        return materialise(df, label)
+    for module in (replay, H, R):
+        monkeypatch.setattr(module, "materialise", written)
+
+    def joined():
+        """Keys of broadcast joins, without those of filters."""
+        seen.clear()
+        made = replay.replay(images, changes, versions, 8, 8)
+        assert sorted((r["dataset"], r["ord"], r["cell"], bytes(r["payload"] or b"")) for r in made.collect()) == want
+        keys = re.findall(r"BroadcastHashJoin \[(.*?)\], \[(?!_word)", "\n".join([*seen, plan_of(made)]))
+        return {re.sub(r"#\d+L?", "", x) for x in keys}
+    assert joined() == {"dataset, ord", "dataset, cell, ord", "dataset, ord, cell"}
+    monkeypatch.setattr(session, "FEW", 10)
+    assert not joined()
